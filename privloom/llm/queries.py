@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL, where SQL can express one."""
 
 from privloom.llm.encode_op import op7_byte_bpe
+from privloom.llm.lang_op import op6_language_id
+from privloom.llm.pack_op import op4_packing
 from privloom.llm.simhash_op import op9_simhash
 from privloom.llm.url_op import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op4_packing": op4_packing,
+    "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_simhash": op9_simhash,
 }
