@@ -2,6 +2,7 @@
 
 from privloom.llm.encode_op import op7_byte_bpe
 from privloom.llm.lang_op import op6_language_id
+from privloom.llm.omh_op import op2_order_minhash
 from privloom.llm.pack_op import op4_packing
 from privloom.llm.quality_op import op10_quality
 from privloom.llm.simhash_op import op9_simhash
@@ -9,6 +10,7 @@ from privloom.llm.toxic_op import op5_toxicity
 from privloom.llm.url_op import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
