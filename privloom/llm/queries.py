@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express one."""
 
+from privloom.llm.ann_op import op1_ann
 from privloom.llm.encode_op import op7_byte_bpe
 from privloom.llm.lang_op import op6_language_id
 from privloom.llm.omh_op import op2_order_minhash
@@ -10,6 +11,7 @@ from privloom.llm.toxic_op import op5_toxicity
 from privloom.llm.url_op import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_order_minhash": op2_order_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
