@@ -3,6 +3,7 @@
 from privloom.llm.ann_op import op1_ann
 from privloom.llm.encode_op import op7_byte_bpe
 from privloom.llm.lang_op import op6_language_id
+from privloom.llm.line_op import op8_line_dedup
 from privloom.llm.omh_op import op2_order_minhash
 from privloom.llm.pack_op import op4_packing
 from privloom.llm.quality_op import op10_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }

@@ -147,5 +147,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, small: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest doc_id, and one row of it.
+
+    All columns pass through. Rows with a null doc_id are kept, as they can't be told apart.
+    """
+    found = durable(near_duplicates(docs.filter("doc_id is not null"), radius).select("doc_id", "component_id"), "near_duplicates")
+    gone = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near_gone")
+    gone = F.broadcast(gone) if gone.count() <= small else gone
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    repeated = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept["doc_id"].cast("long") == repeated["__twice"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept["doc_id"].cast("long") == repeated["__twice"], "left_anti").unionByName(once)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
