@@ -10,7 +10,10 @@ from pyspark.sql.window import Window
 
 from privloom.functions import number
 
-ALL = Window.partitionBy(F.lit(1))
+
+def everything():
+    """One window over all cells: these are distinct values or groups, never the rows themselves."""
+    return Window.partitionBy(F.lit(1))
 
 
 def sides(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def cell_distance(both: DataFrame, cells: Sequence[str]) -> DataFrame:
     """One row (distance): half the summed difference of the two sides' fractions over the cells; rows with a null cell are left out."""
     one = both.dropna(subset=list(cells)).groupBy(*cells).agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1"))
     # numbers of both sides come with the same single pass over the cells
-    one = one.withColumns({"t0": F.sum("n0").over(ALL), "t1": F.sum("n1").over(ALL)})
+    one = one.withColumns({"t0": F.sum("n0").over(everything()), "t1": F.sum("n1").over(everything())})
     return one.agg((F.sum(F.abs(F.col("n0") / F.col("t0") - F.col("n1") / F.col("t1"))) / 2).alias("distance"))
 
 
@@ -40,8 +43,8 @@ def pairwise_distance(both: DataFrame, codes: dict[str, Column]) -> DataFrame:
 def wasserstein(both: DataFrame, column: str) -> DataFrame:
     """One row (distance): the area between the two sides' distribution functions."""
     cells = both.select("side", number(F.col(column)).alias("x")).dropna().groupBy("x").agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1"))
-    cells = cells.withColumns({"t0": F.sum("n0").over(ALL), "t1": F.sum("n1").over(ALL)})
-    w = ALL.orderBy("x")
+    cells = cells.withColumns({"t0": F.sum("n0").over(everything()), "t1": F.sum("n1").over(everything())})
+    w = everything().orderBy("x")
     cells = cells.withColumns({"gap": F.abs(F.sum("n0").over(w) / F.col("t0") - F.sum("n1").over(w) / F.col("t1")), "width": F.lead("x").over(w) - F.col("x")})
     return cells.agg(F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("distance"))
 
@@ -49,7 +52,7 @@ def wasserstein(both: DataFrame, column: str) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row (auc): chance that a row of label 1 scores above one of label 0, ties half."""
     cells = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y")).dropna().groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    below = F.sum("q").over(ALL.orderBy("s")) - F.col("q")
+    below = F.sum("q").over(everything().orderBy("s")) - F.col("q")
     return cells.withColumn("w", F.col("p") * (below + F.col("q") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
@@ -57,7 +60,7 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (v): bias-corrected association of two columns; null if one has a single level."""
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).dropna()
     wa, wb = Window.partitionBy(a), Window.partitionBy(b)
-    cells = cells.withColumns({"t": F.sum("n").over(ALL), "ra": F.sum("n").over(wa), "rb": F.sum("n").over(wb)})
+    cells = cells.withColumns({"t": F.sum("n").over(everything()), "ra": F.sum("n").over(wa), "rb": F.sum("n").over(wb)})
     # chi-square over n: the sum of n^2 / (row * column) over observed cells, less one
     one = cells.agg((F.sum(F.col("n") * F.col("n") / (F.col("ra") * F.col("rb"))) - 1).alias("phi2"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("k"), F.max("t").alias("n"))
     fixed = F.greatest(F.lit(0.0), F.col("phi2") - (F.col("k") - 1) * (F.col("r") - 1) / (F.col("n") - 1))

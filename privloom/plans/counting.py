@@ -25,13 +25,13 @@ def _(spark, read):
     return C.contingency(read("lineitem"), _SETS)
 
 
-_FLAG = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
 _FLAG_SQL = "(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)"
 _CODES_SQL = f"(SELECT {_FLAG_SQL} AS f, (l_linestatus = 'O')::INT AS s, (l_linenumber - 1)::INT AS c FROM lineitem)"
 
 
 def _coded(read):
-    return read("lineitem").select(_FLAG.alias("f"), (F.col("l_linestatus") == "O").cast("int").alias("s"), (F.col("l_linenumber") - 1).cast("int").alias("c"), "l_orderkey", "l_linenumber")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return read("lineitem").select(flag.alias("f"), (F.col("l_linestatus") == "O").cast("int").alias("s"), (F.col("l_linenumber") - 1).cast("int").alias("c"), "l_orderkey", "l_linenumber")
 
 
 @query("agg_cpt", f"SELECT (f * 2 + s)::BIGINT AS key, c AS child, count(*) AS n FROM {_CODES_SQL} GROUP BY 1, 2")
