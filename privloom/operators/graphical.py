@@ -199,8 +199,8 @@ class Model:
 
         mu = self.marginals()
         now, grads = loss(mu)
-        step = 1.0 / max(self.total, 1.0) ** 2 * max(min(s for _, _, s in measured), 1e-9) ** 2 * 1e2
-        for _ in range(steps):
+        step = max(min(s for _, _, s in measured), 1e-9) ** 2 / max(self.total, 1.0)
+        for t in range(steps):
             for _ in range(30):
                 new = [t - Factor(g.domain, g.values * step) for t, g in zip(self.potentials, grads)]
                 mu_new = self.marginals(new)
@@ -209,7 +209,7 @@ class Model:
                 if now - after >= 0.5 * slope or step < 1e-300:
                     break
                 step *= 0.5
-            done = abs(now - after) <= tolerance * max(now, 1e-12)
+            done = t >= 20 and abs(now - after) <= tolerance * max(now, 1e-12)
             self.potentials, mu, grads, now = new, mu_new, grads_new, after
             step *= 1.5
             if done:
@@ -255,7 +255,8 @@ class Model:
             rows = rows.withColumn("__key", key).withColumn("__part", F.pmod(F.xxhash64(id_column, F.lit(name)), F.lit(64)))
             rows = rows.withColumn("__i", F.row_number().over(w.orderBy(hash_uniform(seed, name, F.col(id_column)), id_column)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
             rows = rows.join(F.broadcast(cdf), "__key")
-            at = (F.col("__i") + 0.5) / F.col("__n")
+            # a group's start is random, so that groups of a row or two are still drawn in proportion
+            at = (F.col("__i") + hash_uniform(seed, f"{name}|start", F.col("__key"), F.col("__part"))) / F.col("__n")
             rows = rows.withColumn(name, F.least(F.size(F.filter("__cdf", lambda c: c <= at)), F.lit(self.domain.sizes[name] - 1)).cast("int")).drop("__key", "__part", "__i", "__n", "__cdf")
             done.append(name)
         return rows
