@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def contingency(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = None) -> DataFrame:
-    """Counts of each attribute set in one pass: (set_id, columns of all sets, n). Columns outside a set are null."""
+def contingency(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = None, name: str = "n") -> DataFrame:
+    """Counts of each attribute set in one pass: (set_id, columns of all sets, ``name``). Columns outside a set are null."""
     names = list(dict.fromkeys(c for s in sets for c in s))
     n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
-    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names]).agg(F.grouping_id().alias("gid"), n.alias("n"))
+    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names]).agg(F.grouping_id().alias("__gid"), n.alias(name))
     ids = {sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in s): k for k, s in enumerate(sets)}
     which = F.create_map(*[x for gid, k in ids.items() for x in (F.lit(gid).cast("long"), F.lit(k))])
-    return out.withColumn("set_id", F.element_at(which, F.col("gid").cast("long"))).select("set_id", *names, "n")
+    return out.withColumn("set_id", F.element_at(which, F.col("__gid").cast("long"))).select("set_id", *names, name)
 
 
 def histogram(df: DataFrame, code: Column, size: int, name: str = "n") -> DataFrame:

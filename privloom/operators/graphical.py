@@ -266,9 +266,9 @@ def measure(df: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], eps
     """Marginals of all cliques in one pass, with Gaussian noise for (epsilon, delta) as one zCDP budget; without noise if None."""
     sets = [tuple(c) for c in cliques]
     counts = {c: np.zeros(tuple(domain.sizes[n] for n in c)) for c in sets}
-    for row in contingency(df, sets).collect():
+    for row in contingency(df, sets, name="__n").collect():
         c = sets[row.set_id]
-        counts[c][tuple(row[n] for n in c)] = row.n
+        counts[c][tuple(row[n] for n in c)] = row["__n"]
     sigma = 0.0
     if epsilon is not None:
         sigma = math.sqrt(len(sets) / (2 * rho_of(epsilon, delta)))

@@ -76,9 +76,11 @@ def dense_pairs(df: DataFrame, sizes: dict[str, int]) -> dict[tuple[str, str], n
     names = list(sizes)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     out = {p: np.zeros((sizes[p[0]], sizes[p[1]])) for p in pairs}
-    for row in contingency(df, pairs).collect():
+    if not pairs:
+        return out
+    for row in contingency(df, pairs, name="__n").collect():
         a, b = pairs[row.set_id]
-        out[a, b][row[a], row[b]] = row.n
+        out[a, b][row[a], row[b]] = row["__n"]
     return out
 
 
