@@ -86,11 +86,11 @@ def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     return df.agg(F.percentile(column, F.array(*[F.lit(float(q)) for q in at])).alias("quantiles"))
 
 
-def average_rank(by: Sequence[str], order: str) -> Column:
-    """1-based ranks in which ties share the mean, within groups of ``by``."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, order))
-    return low + (ties - 1) / F.lit(2.0)
+def with_average_rank(df: DataFrame, column: str, name: str = "average_rank") -> DataFrame:
+    """``df`` with 1-based ranks in which ties share the mean. The window runs over counts of distinct values, which join back."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(F.lit(1)).orderBy(column))
+    return df.join(counts.select(column, (upto - (F.col("__m") - 1) / F.lit(2.0)).alias(name)), column, "left")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -73,6 +73,33 @@ def exact_split(df: DataFrame, key: str, shares: Sequence[float], seed: str = "s
     return ranked.withColumn("part", part).drop("__u", "__b", "__base", "__r")
 
 
+def global_rank(df: DataFrame, by: str, ties: Sequence[str], name: str = "rank", group: int = 50_000) -> DataFrame:
+    """``df`` with exact ranks from 0 by a number and then by ``ties``, without sorting all rows in one task.
+
+    Rows fall into ranges cut at approximate quantiles; counts of the ranges give each its first rank. Equal numbers share a range, so a
+    number that very many rows have should come with a second number in front.
+    """
+    n = df.count()
+    parts = max(1, min(4_096, n // group))
+    cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    at = F.from_json(F.lit(str(sorted({float(c) for c in cuts or []}))), "array<double>")
+    rows = df.withColumn("__part", F.size(F.filter(at, lambda c: c < F.col(by).cast("double"))))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    first = F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__part")) - F.col("__n")
+    rows = rows.join(F.broadcast(sizes.select("__part", first.alias("__base"))), "__part")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(by, *ties)) - 1
+    return rows.withColumn(name, F.col("__base") + inside).drop("__part", "__base")
+
+
+def tiles(df: DataFrame, by: str, ties: Sequence[str], k: int, name: str = "part") -> DataFrame:
+    """``df`` with tiles from 1 to ``k`` of equal sizes in an order, the first ones a row larger where the rows don't divide."""
+    n = df.count()
+    small, larger = divmod(n, k)
+    rank = F.col("__rank")
+    tile = F.when(rank < larger * (small + 1), F.floor(rank / F.lit(small + 1)) + 1).otherwise(larger + F.floor((rank - larger * (small + 1)) / F.lit(max(small, 1))) + 1)
+    return global_rank(df, by, ties, "__rank").withColumn(name, tile.cast("int")).drop("__rank")
+
+
 def sample(df: DataFrame, key: str, n: int, seed: str = "sample") -> DataFrame:
     """``n`` rows without replacement, those with the smallest hashes of their key."""
     return df.orderBy(hash_uniform(seed, "sample", F.col(key)), key).limit(n)

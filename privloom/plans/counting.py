@@ -133,7 +133,7 @@ def _(spark, read):
 
 @query("win_rank", f"SELECT event_id, {_RK.format('user_id')} AS average_rank FROM events")
 def _(spark, read):
-    return read("events").select("event_id", C.average_rank([], "user_id").alias("average_rank"))
+    return C.with_average_rank(read("events"), "user_id").select("event_id", "average_rank")
 
 
 @query("A_mi", f"""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2), p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY a) / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS pb FROM c)
@@ -280,9 +280,10 @@ def _(spark, read):
     return R.sample(read("customer"), "c_custkey", 250).select("c_custkey")
 
 
-@query("lim_head", "SELECT part, count(*) AS n FROM (SELECT ntile(5) OVER (ORDER BY p_retailprice, p_partkey) AS part FROM part) GROUP BY 1".replace("ntile(5) OVER", "(ntile(5) OVER").replace("p_partkey) AS", "p_partkey))::INT AS"))
+@query("lim_head", "SELECT p_partkey, (ntile(5) OVER (ORDER BY p_retailprice, p_partkey))::INT AS part FROM part")
 def _(spark, read):
-    return read("part").select(F.ntile(5).over(Window.partitionBy(F.lit(1)).orderBy("p_retailprice", "p_partkey")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    """Fifths of the rows in an order, such as the first fifth that one profile tests on."""
+    return R.tiles(read("part"), "p_retailprice", ["p_partkey"], 5).select("p_partkey", "part")
 
 
 @query("set_union", "SELECT origin, count(*) AS n, round(sum(balance), 4) + 0.0 AS total FROM (SELECT 'c' AS origin, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_acctbal FROM supplier) GROUP BY 1")
