@@ -68,8 +68,8 @@ def test_sources(spark, tmp_path):
     assert df.repartition(7).orderBy("id").collect() == df.orderBy("id").collect()
     (tmp_path / "x.csv").write_text("a;b\n1;2\n3;4\n")
     assert sources.read_table(spark, str(tmp_path / "x.csv")).agg(F.sum("b")).first()[0] == 6
-    (tmp_path / "crn_eps0.5_seed3.csv").write_text("a\n1\n")
-    assert sources.read_runs(spark, str(tmp_path / "*_eps*.csv"), "a int").first()[1:] == ("crn", 0.5, 3)
+    (tmp_path / "network_eps0.5_seed3.csv").write_text("a\n1\n")
+    assert sources.read_runs(spark, str(tmp_path / "*_eps*.csv"), "a int").first()[1:] == ("network", 0.5, 3)
     assert sources.uniform_rows(spark, {"a": 3}, 100).agg(F.max("a")).first()[0] == 2
     assert sources.dump({"x": float("nan"), "y": [float("inf"), 1]}, None) == '{"x": null, "y": [null, 1]}'
     assert r"a\_b" in sources.latex_table(spark.createDataFrame([(1.0,)], "a_b double"), ["a_b"])
