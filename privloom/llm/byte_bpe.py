@@ -17,7 +17,7 @@ import regex
 #: Bytes of a leaf of the tree; a leaf is merged directly.
 LEAF = 24
 #: Entries that a worker's memo holds before it starts anew, and the longest text kept in it.
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 200_000, 48
 #: White space besides space and line feed (Unicode White_Space and what Python counts to it): fixed values.
 RARE_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 
