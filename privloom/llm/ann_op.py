@@ -6,8 +6,9 @@ verifies them; it stops once a vector as far as its k-th best would, with the wa
 Inner products become distances by one more coordinate that gives all vectors the same length.
 
 On Spark the projected space is cut by a kd-tree's upper levels (fitted on a bounded sample) into cells, and cells into blocks of
-bounded size. A query first searches one block of its own cell; the k-th distance that it finds bounds how far any cell may be
-that the stopping test could still want, and the second round visits those blocks alone, each with a kd-tree of its own.
+bounded size. A query first looks at that sample and at one block of its own cell; the k-th distance that it finds bounds how far any
+cell may be that the stopping test could still want, and the second round visits those blocks alone, each with a kd-tree of its own.
+A block answers with what is within the bound, which is seldom more than a few rows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql.window import Window
 from privloom.llm.common import durable, sample_rows, table
 
 #: Neighbours, projections, probability of the stopping test.
-NEAREST, DIRECTIONS, SURE = 20, 10, 0.97
-#: Vectors that the cells are fitted on, vectors of a block, cells at most, queries that meet a block in one task, points of a leaf.
-SAMPLE, BLOCK, CELLS, QUERIES, LEAF = 20_000, 1_000, 1_024, 2_000, 32
+NEAREST, DIRECTIONS, SURE = 20, 10, 0.95
+#: Bytes of the sample at most: it is sent to every executor.
+SAMPLE_BYTES = 16_000_000
+#: Vectors of the sample (an eighth of all at most) that cells are fitted on and that queries look at first, vectors of a block, cells at most, queries that meet a block in one task, points of a leaf.
+SAMPLE, BLOCK, CELLS, QUERIES, LEAF = 20_000, 1_000, 1_024, 2_000, 64
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -120,6 +123,7 @@ class KdTree:
             edges = new
         self.order, self.edges = order, edges
         self.points = p[order]
+        self.rows = [np.arange(a, b) for a, b in edges]
         self.lo = np.array([self.points[a:b].min(0) for a, b in edges])
         self.hi = np.array([self.points[a:b].max(0) for a, b in edges])
 
@@ -130,30 +134,43 @@ class KdTree:
         return order, dist[order]
 
 
-def search(space: Space, tree: KdTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qp: np.ndarray, qid: int, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+def search(space: Space, tree: KdTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qp: np.ndarray, qid: int, k: int, bound: float, far: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the query's best in one block, ``x`` and ``ids`` in the tree's order. ``bound``: a squared distance within which the
-    query already has k neighbours."""
-    best_id, best = np.zeros(0, np.int64), np.zeros(0)
+    query already has k neighbours. ``far`` and ``product``: squared projected distances and inner products of the whole block, which come
+    from one matrix product for many queries; only those of verified rows are looked at."""
+    # matrix products rank the rows, within a margin; the scores that count are sums along each row, whatever its
+    # place, so that equal vectors get equal scores and ties are ties
+    margin = 1e-12 * (1 + float(np.sqrt((q**2).sum() * space.longest)))
+
+    def exact(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = (x[at] * q).sum(1)
+        keep = np.lexsort((ids[at], -score))[:k]
+        return at[keep], score[keep]
+
+    best, near_score = np.zeros(0, np.int64), np.zeros(0)
     leaves, near = tree.leaves_by_distance(qp)
     base, worst = (q**2).sum() + space.longest, bound
-    at, take = 0, 2
+    at, take = 0, 4
     while at < len(leaves) and near[at] <= space.stop * worst:
         group = leaves[at : at + take]
         at, take = at + take, min(take * 2, 16)
-        rows = np.concatenate([np.arange(*tree.edges[i]) for i in group.tolist()])
+        rows = np.concatenate([tree.rows[i] for i in group.tolist()])
         if math.isfinite(worst):  # those that would come after the stop are never verified
-            rows = rows[((tree.points[rows] - qp) ** 2).sum(1) <= space.stop * worst]
+            rows = rows[far[rows] <= space.stop * worst]
         rows = rows[ids[rows] != qid]
         if not len(rows):
             continue
-        # a sum along each row, whatever its place: equal vectors get equal scores
-        best_id, best = np.append(best_id, ids[rows]), np.append(best, (x[rows] * q).sum(1))
+        best, near_score = np.append(best, rows), np.append(near_score, product[rows])
         if len(best) > k:
-            keep = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[keep], best[keep]
-        if len(best) == k:
-            worst = min(worst, max(base - 2 * best.min(), 0) * (1 + 1e-12))
-    return best_id, best
+            least = np.partition(near_score, len(best) - k)[len(best) - k] - margin
+            keep = near_score >= least
+            best, near_score = best[keep], near_score[keep]
+            if len(best) > 2 * k:  # many ties
+                best, near_score = exact(best)
+        if len(best) >= k:
+            worst = min(worst, max(base - 2 * (near_score.min() - margin), 0) * (1 + 1e-12))
+    best, score = exact(best)
+    return ids[best], score
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -170,17 +187,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
-def fit_space(rows: DataFrame, directions: int = DIRECTIONS, sure: float = SURE, seed: int = 11) -> Space | None:
+def fit_space(rows: DataFrame, directions: int = DIRECTIONS, sure: float = SURE, seed: int = 11) -> tuple[Space, np.ndarray, np.ndarray] | None:
+    """The space, and the ids and vectors of the sample (those with the smallest hashes); None without rows."""
     n, longest, dim = rows.agg(F.count("*"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), F.max(F.size("x"))).first()
     if not n:
         return None
     rng = np.random.default_rng(seed)
     space = Space(rng.normal(size=(dim + 1, directions)), float(longest) * (1 + 1e-9), [], 0, chi_square_quantile(sure, directions))
+    sample = sample_rows(rows, F.col("vec_id"), max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim), n // 8))).toArrow()
+    x = _matrix(sample.column("x"))
     depth = min(int(math.log2(CELLS)), max(0, int(math.log2(max(1, n / (8 * BLOCK))))))
     if depth:
-        sample = np.array([r.x for r in sample_rows(rows, F.col("vec_id"), SAMPLE).collect()])  # SAMPLE rows at most
-        space.splits, space.depth = fit_splits(space.project(sample, True), depth), depth
-    return space
+        space.splits, space.depth = fit_splits(space.project(x, True), depth), depth
+    return space, sample.column("vec_id").to_numpy(), x
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, sure: float = SURE) -> DataFrame:
@@ -192,10 +211,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, sure: float =
     """
     spark = vectors.sparkSession
     rows = durable(valid_vectors(vectors).distinct(), "vectors")
-    space = fit_space(rows, sure=sure)
+    fitted = fit_space(rows, sure=sure)
     result = "query_id long, rank int, vec_id long, score double"
-    if space is None:
+    if fitted is None:
         return spark.createDataFrame([], result)
+    space = fitted[0]
+    sample = spark.sparkContext.broadcast(fitted[1:])  # SAMPLE_BYTES at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,13 +243,34 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, sure: float =
     stored = stored.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
     asked = rows.filter(F.col("vec_id") % every == 0)
 
+    def first_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The squared distance within which the sample has k others."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                q, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                known, x = sample.value
+                bound, found, scores = np.full(len(q), np.inf), [], []
+                near = q @ x.T
+                for i in range(len(q)):
+                    near[i, known == ids[i]] = -np.inf
+                    others = int(np.isfinite(near[i]).sum())
+                    least = np.partition(near[i], -k)[-k] if others >= k else -np.inf
+                    at_least = np.flatnonzero((near[i] >= least - 1e-9 * (1 + abs(least))) & np.isfinite(near[i]) if others >= k else np.isfinite(near[i]))
+                    score = (x[at_least] * q[i]).sum(1)
+                    keep = np.lexsort((known[at_least], -score))[:k]
+                    found.append(known[at_least][keep].tolist())
+                    scores.append(score[keep].tolist())
+                    if len(keep) == k:
+                        bound[i] = max((q[i] ** 2).sum() + space.longest - 2 * score[keep].min(), 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound * (1 + 1e-9)), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["query_id", "x", "bound", "found", "scores"])
+
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cell = space.cell(space.project(_matrix(batch.column(1)), True))
                 ids = batch.column(0).to_numpy()
-                none = pa.array(np.full(len(ids), np.inf))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first[cell] + ids % parts[cell], pa.int64()), none], ["query_id", "x", "block", "bound"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first[cell] + ids % parts[cell], pa.int64()), batch.column(2)], ["query_id", "x", "block", "bound"])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +295,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, sure: float =
             x, ids = x[tree.order], ids[tree.order]
             q, qids, bounds = _matrix(queries.column("x")), queries.column("query_id").to_numpy(), queries.column("bound").to_numpy()
             qp = space.project(q, False)
+            size = (tree.points**2).sum(1)
             for i in range(len(q)):
-                found, score = search(space, tree, x, ids, q[i], qp[i], qids[i], k, bounds[i])
+                if i % 64 == 0:
+                    some = slice(i, i + 64)
+                    far = np.maximum((qp[some] ** 2).sum(1)[:, None] + size - 2 * (qp[some] @ tree.points.T), 0)
+                    product = q[some] @ x.T
+                found, score = search(space, tree, x, ids, q[i], qp[i], qids[i], k, bounds[i], far[i % 64], product[i % 64])
+                if math.isfinite(bounds[i]):  # others are not among the k nearest
+                    within = 2 * score >= (q[i] ** 2).sum() + space.longest - bounds[i] * (1 + 1e-9)
+                    found, score = found[within], score[within]
                 out.append(np.rec.fromarrays([np.full(len(found), qids[i]), found, score], names="q,v,s"))
         whole = np.concatenate(out) if out else np.rec.fromarrays([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names="q,v,s")
         return pa.table({"query_id": pa.array(whole["q"]), "vec_id": pa.array(whole["v"]), "score": pa.array(whole["s"])})
@@ -264,16 +314,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, sure: float =
         return left.cogroup(stored.groupBy("block", "wave")).applyInArrow(meet, "query_id long, vec_id long, score double")
 
     shape = "query_id long, x array<double>, block long, bound double"
-    one = run(asked.mapInArrow(home, shape))
+    asked = durable(asked.mapInArrow(first_bound, "query_id long, x array<double>, bound double, found array<long>, scores array<double>"), "queries")
+    seen = asked.select("query_id", F.explode(F.arrays_zip("found", "scores")).alias("f")).select("query_id", F.col("f.found").alias("vec_id"), F.col("f.scores").alias("score"))
+    asked = asked.select("query_id", "x", "bound")
+    one = durable(run(asked.mapInArrow(home, shape)), "home")
     # each query's k-th score so far, if it has k; its squared distance bounds the second round
     scored = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    asked = asked.withColumnRenamed("vec_id", "query_id").join(scored, "query_id", "left")
+    asked = asked.join(scored, "query_id", "left")
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     bound = F.when(F.col("n") >= k, F.greatest(square + F.lit(space.longest) - 2 * F.col("least"), F.lit(0.0)) * (1 + 1e-9)).otherwise(float("inf"))
-    asked = durable(asked.select("query_id", "x", bound.alias("bound")), "queries")
+    asked = durable(asked.select("query_id", "x", F.least(bound, F.col("bound")).alias("bound")), "queries")
     two = run(asked.mapInArrow(reach, shape))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return two.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return two.union(one).union(seen).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
