@@ -4,6 +4,10 @@ A text's tokens (runs of at most eight characters that aren't white space) give
 number. A hash of both puts each numbered k-mer into one of ``BINS`` bins; each bin selects its ``TUPLE`` smallest, puts them
 back into text order and hashes that tuple. Two texts' likeness is the share of equal bins among those that
 either fills: it falls with k-mers that differ and with k-mers in another order.
+
+Bins of a text with few k-mers hold less than a tuple, which has no order. The dense fingerprint replaces these by independent
+hashes: the two smallest of all the text's numbered k-mers by a hash of the bin's own. Texts of up to ``SHORT`` characters
+also have one of character k-mers, by which two short texts are compared.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from privloom.llm.common import table
 
 #: Tokens of a k-mer, k-mers of a tuple, bins (a power of two).
 KMER, TUPLE, BINS = 2, 2, 64
+#: Characters of a k-mer of a short text, and of the longest short text.
+SHORT_KMER, SHORT = 5, 1_000
 #: Low bits that hold a position: texts of up to 2^29 tokens.
 POSITION_BITS = 29
 #: Documents of a group within which the next document is found.
@@ -29,8 +35,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fingerprint(text: Column, bins: int = BINS) -> Column:
-    """Eight hexadecimal digits for each bin, and eight dashes for an empty one; equal texts have equal fingerprints."""
+def signatures(tokens: Column, kmer: int, bins: int = BINS) -> Column:
+    """struct(plain, dense) of an array of tokens: eight hexadecimal digits for each bin, and eight dashes for an empty one. In
+    ``dense`` no bin of a text with two k-mers or more holds less than a tuple."""
     position = (1 << POSITION_BITS) - 1
     clear = ~position & (2**63 - 1)
     width = 63 - POSITION_BITS
@@ -39,8 +46,8 @@ def fingerprint(text: Column, bins: int = BINS) -> Column:
 
     def packed(tokens: Column) -> Column:
         """Sorted (k-mer hash, position); a text of fewer tokens than a k-mer has is one k-mer."""
-        n = F.greatest(F.size(tokens) - (KMER - 1), F.least(F.size(tokens), F.lit(1)))
-        one = lambda i: F.xxhash64(*[item(tokens, i + j) for j in range(KMER)]).bitwiseAND(F.lit(clear)).bitwiseOR(i.cast("long"))
+        n = F.greatest(F.size(tokens) - (kmer - 1), F.least(F.size(tokens), F.lit(1)))
+        one = lambda i: F.xxhash64(*[item(tokens, i + j) for j in range(kmer)]).bitwiseAND(F.lit(clear)).bitwiseOR(i.cast("long"))
         return F.when(n > 0, F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), one))).otherwise(F.array().cast("array<bigint>"))
 
     def occurrences(kmers: Column) -> Column:
@@ -65,21 +72,57 @@ def fingerprint(text: Column, bins: int = BINS) -> Column:
 
         def digest(i: Column) -> Column:
             same = F.filter(F.slice(order, i + 1, TUPLE), lambda x: bin_of(x) == bin_of(item(order, i)))
-            by_place = F.array_sort(same, lambda a, b: (a.bitwiseAND(F.lit(position)) - b.bitwiseAND(F.lit(position))).cast("int"))
-            code = F.xxhash64(F.transform(by_place, hash_part))
-            return F.struct(bin_of(item(order, i)).cast("int").alias("bin"), F.substring(F.lpad(F.lower(F.hex(code)), 16, "0"), 1, 8).alias("code"))
+            return F.struct(bin_of(item(order, i)).cast("int").alias("bin"), F.struct(code_of(same).alias("code"), (F.size(same) == TUPLE).alias("whole")).alias("held"))
 
         return F.map_from_entries(F.transform(firsts, digest))
 
-    empty = F.lit("-" * 8 * bins)
-    return let(
-        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S{1,8})"), F.lit(1)),
-        lambda tokens: F.when(F.size(tokens) == 0, empty).otherwise(
-            let(packed(tokens), lambda kmers: let(numbered(kmers), lambda order: let(signature(order), lambda found: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at(found, b), F.lit("-" * 8))), ""))))
-        ),
+    def digits(chosen: Column) -> Column:
+        return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(chosen))), 16, "0"), 1, 8)
+
+    def code_of(chosen: Column) -> Column:
+        """The digits of a tuple, put into text order."""
+        by_place = F.array_sort(chosen, lambda a, b: (a.bitwiseAND(F.lit(position)) - b.bitwiseAND(F.lit(position))).cast("int"))
+        return digits(F.transform(by_place, hash_part))
+
+    def smallest(hashes: Column, b: Column) -> Column:
+        """The digits of the two smallest by the hash function of bin ``b``, over all numbered k-mers in text order."""
+
+        def before_or_after(mixed: Column, least: Column, at: Column) -> Column:
+            left, right = F.array_min(F.slice(mixed, 1, at - 1)), F.array_min(F.slice(mixed, at + 1, F.size(mixed)))
+            pair = lambda x: F.when(x["r"].isNull() | (x["l"] < x["r"]), F.array(x["l"], least)).otherwise(F.array(least, x["r"]))
+            return F.when(F.size(mixed) == 1, mixed).otherwise(let(F.struct(left.alias("l"), right.alias("r")), pair))
+
+        mixed = F.transform(hashes, lambda h: F.xxhash64(h, b))
+        chosen = let(mixed, lambda m: let(F.array_min(m), lambda least: before_or_after(m, least, F.array_position(m, least).cast("int"))))
+        return digits(chosen)
+
+    def both(order: Column, found: Column) -> Column:
+        held = lambda b: F.element_at(found, b)
+        whole = lambda b: F.coalesce(held(b)["whole"], F.lit(False))
+        every = F.sequence(F.lit(0), F.lit(bins - 1))
+        plain = F.array_join(F.transform(every, lambda b: F.coalesce(held(b)["code"], F.lit("-" * 8))), "")
+        placed = F.sort_array(F.transform(order, lambda x: F.shiftleft(x.bitwiseAND(F.lit(position)), width).bitwiseOR(hash_part(x))))
+        hashes = F.transform(placed, lambda x: x.bitwiseAND(F.lit((1 << width) - 1)))
+        dense = let(hashes, lambda h: F.array_join(F.transform(every, lambda b: F.when(whole(b), held(b)["code"]).otherwise(smallest(h, b.cast("long")))), ""))
+        full = F.size(F.filter(F.map_values(found), lambda x: x["whole"])) == bins
+        return let(plain, lambda p: F.struct(p.alias("plain"), F.when(full, p).otherwise(dense).alias("dense")))
+
+    blank = F.lit("-" * 8 * bins)
+    return F.when(F.size(tokens) == 0, F.struct(blank.alias("plain"), blank.alias("dense"))).otherwise(
+        let(packed(tokens), lambda kmers: let(numbered(kmers), lambda order: let(signature(order), lambda found: both(order, found))))
     )
 
 
+def fingerprints(text: Column, bins: int = BINS) -> Column:
+    """struct(plain, dense) of a text, equal for equal texts. ``dense`` has twice as many bins for a short text: the second half is
+    that of its character k-mers, in which a run of white space is one space."""
+    text = F.coalesce(text, F.lit(""))
+    letters = F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("(?s)(.)"), F.lit(1))
+    short = F.when(F.char_length(text) <= SHORT, let(letters, lambda x: signatures(x, SHORT_KMER, bins))["dense"]).otherwise(F.lit(""))
+    words = let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), lambda x: signatures(x, KMER, bins))
+    return let(words, lambda w: F.struct(w["plain"].alias("plain"), F.concat(w["dense"], short).alias("dense")))
+
+
 def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     """Share of equal bins among those that either fills; 1 if neither fills any."""
     blank = F.lit("-" * 8)
@@ -94,6 +137,14 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a == b, 1.0).otherwise(counts)
 
 
+def dense_likeness(a: Column, b: Column, bins: int = BINS) -> Column:
+    """``likeness`` of dense fingerprints: by character k-mers if both texts are short, else by token k-mers."""
+    n = 8 * bins
+    both = (F.length(a) > n) & (F.length(b) > n)
+    part = lambda x: F.when(both, F.substring(x, n + 1, n)).otherwise(F.substring(x, 1, n))
+    return let(F.struct(part(a).alias("a"), part(b).alias("b")), lambda x: likeness(x["a"], x["b"], bins))
+
+
 def _cuts_below(value: Column, cuts: list[int]) -> Column:
     """How many of the sorted ``cuts`` are below ``value``: a coarse look at every k-th, then a fine one at the k after it."""
     k = max(1, int(len(cuts) ** 0.5))
@@ -133,23 +184,27 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one (an empty text has a fingerprint of dashes). Repeated rows are judged each; rows of one doc_id follow each
     other in the order of their texts' hashes. The next of the last row is the first, which with a single row is itself. Other
-    columns of ``docs`` are not read.
+    columns of ``docs`` are not read. The ``dense`` columns are those of the dense fingerprint, which keeps the order of short texts.
     """
     rows = with_next(docs)
     if "turn" not in rows.columns:
         rows = rows.withColumn("turn", F.lit(False))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("text")))
+    rows = rows.withColumn("prints", fingerprints(F.col("text")))
     ahead = Window.partitionBy("part").orderBy("guest", "turn", "doc_id", F.xxhash64("text"))
-    rows = rows.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_print", F.lead("fingerprint").over(ahead)).filter(~F.col("guest"))
+    rows = rows.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_prints", F.lead("prints").over(ahead)).filter(~F.col("guest"))
     n = F.char_length("text")
     half = F.floor(n / F.lit(2)).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next_text", "text"), F.lit(1), half))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "prints", fingerprints(F.col("edited")).alias("edited_prints"), F.coalesce("next_prints", "prints").alias("next_prints"))
+    own, changed, ahead = F.col("prints"), F.col("edited_prints"), F.col("next_prints")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.coalesce("next_print", "fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", own["plain"].alias("fingerprint"), changed["plain"].alias("edited_fingerprint"),
+        likeness(own["plain"], changed["plain"]).alias("near_edited"),
+        likeness(own["plain"], ahead["plain"]).alias("near_next"),
+        own["dense"].alias("dense_fingerprint"), changed["dense"].alias("edited_dense_fingerprint"),
+        dense_likeness(own["dense"], changed["dense"]).alias("dense_near_edited"),
+        dense_likeness(own["dense"], ahead["dense"]).alias("dense_near_next"),
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -88,3 +89,46 @@ def test_order_matters(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[30:] + words[:30])), (3, " ".join(words[::-1]))], "doc_id long, text string")
     near = {r.doc_id: r.near_next for r in omh_op.fingerprint_edits(df).collect()}
     assert near[1] < 1 and near[2] < near[1]
+
+
+@pytest.mark.parametrize("n", [15, 30, 60, 120])
+def test_dense_keeps_the_order_of_short_texts(spark, n):
+    rng = random.Random(n)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n)]
+    wide = ["".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(n)]
+    rows = [(i, " ".join(x)) for i, x in enumerate([words, words[n // 2 :] + words[: n // 2], wide, wide[n // 2 :] + wide[: n // 2]])]
+    near = {r.doc_id: (r.near_next, r.dense_near_next) for r in omh_op.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near[0][1] < 0.62 and near[0][1] > 0.2 and (near[0][1] < near[0][0])
+    assert 0.2 < near[2][1] < 0.75
+
+
+def test_dense_is_brute_force(spark):
+    words = [f"w{i % 50}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, "one two"), (3, "one"), (4, None), (5, "a b c a b c " * 3), (6, "the end of it all is near, they said to us"), (7, "x " * 3000)]
+    for r in omh_op.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id] or ""
+        assert r.fingerprint == brute(text)
+        want = brute_dense(re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text), 2)
+        if len(text) <= 1000:
+            want += brute_dense(list(re.sub(r"\s+", " ", text).strip()), 5)
+        assert r.dense_fingerprint == want, r.doc_id
+    few = {r.doc_id: r for r in omh_op.fingerprint_edits(spark.createDataFrame([(1, "four words are here"), (2, "other things to say")], "doc_id long, text string")).collect()}
+    assert few[1].near_edited == 0 and few[1].dense_near_edited > 0
+
+
+def brute_dense(tokens, k, bins=64):
+    if not tokens:
+        return "-" * 8 * bins
+    mask = (1 << 29) - 1
+    seen, kmers = {}, []
+    for i in range(max(len(tokens) - k + 1, 1)):
+        h = (spark_hash(*tokens[i : i + k]) & (2**63 - 1)) >> 29
+        o = seen[h] = seen.get(h, -1) + 1
+        kmers.append(((xxhash.xxh64_intdigest(o.to_bytes(4, "little"), spark_hash(h) % (1 << 64)) & (2**63 - 1)) >> 29, i))
+    out = []
+    for b in range(bins):
+        chosen = sorted(x for x in kmers if x[0] >> 28 == b)[:2]
+        if len(chosen) < 2:
+            chosen = sorted((spark_hash(h, b), i) for h, i in kmers)[:2]
+        out.append(f"{spark_hash(*[h for h, _ in sorted(chosen, key=lambda x: x[1])]) % (1 << 64):016x}"[:8])
+    return "".join(out)
