@@ -8,6 +8,7 @@ documents are relabelled by the model between rounds, each such document keeping
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -204,9 +205,18 @@ def train(x: np.ndarray, size: np.ndarray, lengths: np.ndarray, label: np.ndarra
     return field
 
 
+def some_lines(lines: list[str]) -> list[str]:
+    """At most ``TRAIN_LINES`` lines in a row, from a place that a hash of the first and last line and their number chooses."""
+    spare = len(lines) - TRAIN_LINES
+    if spare <= 0:
+        return lines
+    at = zlib.crc32(f"{len(lines)} {lines[0]} {lines[-1]}".encode("utf-8", "surrogatepass")) % (spare + 1)
+    return lines[at : at + TRAIN_LINES]
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulus: int = 5, held: int = 0) -> LineField | None:
     """A field from labelled documents whose crc32(doc_id) mod ``modulus`` isn't ``held``: a bounded sample of both labels, of those
-    with the smallest hashes; None if they don't have both labels."""
+    with the smallest hashes; None if they don't have both labels. A document of more than ``TRAIN_LINES`` lines teaches by a run of so many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     marks = marks.filter(remainder(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -217,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulu
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 each = [lines_of(t) for t in batch.column(0).to_pylist()]
-                each = [e if len(e) <= TRAIN_LINES else [] for e in each]
+                each = [some_lines(e) for e in each]
                 x, size = line_features([line for lines in each for line in lines])
                 edge = np.concatenate(([0], np.cumsum([len(e) for e in each])))
                 packed = [np.column_stack([x[a:b], size[a:b]]).astype("<f4").tobytes() for a, b in zip(edge, edge[1:])]

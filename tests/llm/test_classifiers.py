@@ -92,3 +92,13 @@ def test_whole_words_and_stems():
     v = toxic_op.Voters(["loser", "abc*"])
     n = v.counts(["Loser losers closer", "abcd xabc abc", None, "x!!! ###"])
     assert n[0, 0] == 1 and n[1, 1] == 2 and n[2].sum() == 0
+
+
+def test_quality_learns_from_long_documents(spark):
+    good = [(i, "\n".join(f"The people of town {i} walked to the river and sat there, talking for {j} hours." for j in range(5)), 0.0, 1) for i in range(30)]
+    bad = [(i, "\n".join(f"$$ >> {j} || ## {i}" for j in range(1200)), 0.0, 1) for i in range(30, 60)]
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], LABELS)
+    field = quality_op.fit(spark.createDataFrame(good + bad, DOCS), labels)
+    assert field is not None
+    score = field.score([good[0][1], bad[0][1]])
+    assert score[0] > 0.7 and score[1] < 0.3
