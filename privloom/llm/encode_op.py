@@ -48,8 +48,7 @@ def encode_documents(docs: DataFrame, name: str = RANKS, pattern: str | None = N
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: list[list] = [[], [], [], []]
-                for text in batch.column(1).to_pylist():
-                    packed = text_ids(text or "")
+                for packed in text_ids.batch([text or "" for text in batch.column(1).to_pylist()]):
                     ids = np.frombuffer(packed, "<u4")
                     out[0].append(len(ids))
                     out[1].append(ids.astype(np.int64) if keep_ids else None)

@@ -37,12 +37,12 @@ def _worker(tokenizer: str, ranks: str):
     slow = Tokenizer.from_file(vocabulary(tokenizer))
     special = tuple(t.content for t in slow.get_added_tokens_decoder().values())
     fast = tiktoken.Encoding("ranks", pat_str=split_pattern(), mergeable_ranks=load_ranks(vocabulary(ranks)), special_tokens={})
-    plain = TextEncoder(lambda unit: np.array(fast.encode_ordinary(unit), "<u4").tobytes())
+    plain = TextEncoder(lambda units: [np.array(fast.encode_ordinary(unit), "<u4").tobytes() for unit in units])
 
-    def ids(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return plain(text)
+    def ids(texts: list[str]) -> list[bytes]:
+        spell = [any(s in text for s in special) for text in texts]
+        fine = iter(plain.batch([text for text, odd in zip(texts, spell) if not odd]))
+        return [np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if odd else next(fine) for text, odd in zip(texts, spell)]
 
     return ids
 
@@ -55,8 +55,9 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID) -> D
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 rows: list[tuple] = []
-                for doc_id, text in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns)):
-                    packed = ids(text or "") + end
+                batch = whole.slice(at, 512)
+                for doc_id, packed in zip(batch.column(0).to_pylist(), ids([text or "" for text in batch.column(1).to_pylist()])):
+                    packed += end
                     n = len(packed) // 4
                     rows += [(doc_id, s, min(sequence, n - s), zlib.crc32(packed[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
