@@ -1,14 +1,15 @@
-"""Approximate nearest neighbours by stable projections, a kd-tree and a chi-square stopping test.
+"""Approximate nearest neighbours by stable projections, kd-trees and a chi-square stopping test.
 
-Vectors are projected onto a few Gaussian directions: for a distance d the squared projected distance divided by d^2 follows a
-chi-square law with as many degrees of freedom. A query takes its neighbours in the order of their projected distance and
-verifies them; it stops once a vector as far as its k-th best would, with the wanted probability, have come up by now.
-Inner products become distances by one more coordinate that gives all vectors the same length.
+Vectors are projected onto a few Gaussian directions, made orthogonal, which keeps their law and lessens its spread: for a distance d the
+squared projected distance divided by d^2 follows (nearly) a chi-square law with as many degrees of freedom. A query takes its
+neighbours in the order of their projected distance and verifies them one chunk after the other; it stops once a vector as far as its
+k-th best would, with the wanted probability, have come up by now. What comes after the stop is never compared in full. Inner
+products become distances by one more coordinate that gives all vectors the same length.
 
 On Spark the projected space is cut by a kd-tree's upper levels (fitted on a bounded sample) into cells, and cells into blocks of
-bounded size. A query first looks at that sample and at one block of its own cell; the k-th distance that it finds bounds how far any
-cell may be that the stopping test could still want, and the second round visits those blocks alone, each with a kd-tree of its own.
-A block answers with what is within the bound, which is seldom more than a few rows.
+bounded size, each with a kd-tree of its own. A query first searches that sample; the k-th distance that it finds bounds how far any
+cell may be that the stopping test could still want, and the query visits those blocks alone. A block's vectors lie in one task, once,
+and its queries stream past them. A block answers with what is within the bound, which is seldom more than a few rows.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from privloom.llm.common import durable, sample_rows, table
+from privloom.llm.common import durable, sample_rows, slices, table
 
 #: Neighbours, projections, probability of the stopping test.
-NEAREST, DIRECTIONS, SURE = 20, 10, 0.95
+NEAREST, DIRECTIONS, SURE = 20, 32, 0.8
 #: Bytes of the sample at most: it is sent to every executor.
 SAMPLE_BYTES = 16_000_000
-#: Vectors of the sample (an eighth of all at most) that cells are fitted on and that queries look at first, vectors of a block, cells at most, queries that meet a block in one task, points of a leaf.
-SAMPLE, BLOCK, CELLS, QUERIES, LEAF = 20_000, 1_000, 1_024, 2_000, 64
+#: Vectors of the sample (an eighth of all at most) that cells are fitted on and that queries look at first, vectors of a block, cells at
+#: most, queries that are projected and searched together, points of a leaf, and projected neighbours verified between two looks at the stopping test.
+SAMPLE, BLOCK, CELLS, QUERIES, LEAF, STEP = 20_000, 4_096, 1_024, 64, 64, 64
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -127,59 +129,77 @@ class KdTree:
         self.lo = np.array([self.points[a:b].min(0) for a, b in edges])
         self.hi = np.array([self.points[a:b].max(0) for a, b in edges])
 
-    def leaves_by_distance(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gap = np.maximum(np.maximum(self.lo - q, q - self.hi), 0)
-        dist = (gap**2).sum(1)
-        order = np.argsort(dist, kind="stable")
-        return order, dist[order]
-
-
-def search(space: Space, tree: KdTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qp: np.ndarray, qid: int, k: int, bound: float, far: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the query's best in one block, ``x`` and ``ids`` in the tree's order. ``bound``: a squared distance within which the
-    query already has k neighbours. ``far`` and ``product``: squared projected distances and inner products of the whole block, which come
-    from one matrix product for many queries; only those of verified rows are looked at."""
-    # matrix products rank the rows, within a margin; the scores that count are sums along each row, whatever its
-    # place, so that equal vectors get equal scores and ties are ties
-    margin = 1e-12 * (1 + float(np.sqrt((q**2).sum() * space.longest)))
-
-    def exact(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score = (x[at] * q).sum(1)
-        keep = np.lexsort((ids[at], -score))[:k]
-        return at[keep], score[keep]
-
-    best, near_score = np.zeros(0, np.int64), np.zeros(0)
-    leaves, near = tree.leaves_by_distance(qp)
-    base, worst = (q**2).sum() + space.longest, bound
-    at, take = 0, 4
-    while at < len(leaves) and near[at] <= space.stop * worst:
-        group = leaves[at : at + take]
-        at, take = at + take, min(take * 2, 16)
-        rows = np.concatenate([tree.rows[i] for i in group.tolist()])
-        if math.isfinite(worst):  # those that would come after the stop are never verified
-            rows = rows[far[rows] <= space.stop * worst]
-        rows = rows[ids[rows] != qid]
-        if not len(rows):
-            continue
-        best, near_score = np.append(best, rows), np.append(near_score, product[rows])
-        if len(best) > k:
-            least = np.partition(near_score, len(best) - k)[len(best) - k] - margin
-            keep = near_score >= least
-            best, near_score = best[keep], near_score[keep]
-            if len(best) > 2 * k:  # many ties
-                best, near_score = exact(best)
-        if len(best) >= k:
-            worst = min(worst, max(base - 2 * (near_score.min() - margin), 0) * (1 + 1e-12))
-    best, score = exact(best)
-    return ids[best], score
+    def leaf_distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of projected queries to the leaves' boxes (queries x leaves)."""
+        gap = np.maximum(np.maximum(self.lo[None] - q[:, None], q[:, None] - self.hi[None]), 0)
+        return (gap**2).sum(2)
+
+
+@dataclass
+class Found:
+    rows: list[np.ndarray]  # of each query: places in the block, best first
+    scores: list[np.ndarray]
+    verified: int
+
+
+class Block:
+    """Vectors of one block behind their kd-tree. ``ids`` decide ties; ``x`` and ``ids`` are reordered to the tree's order."""
+
+    def __init__(self, space: Space, ids: np.ndarray, x: np.ndarray):
+        self.space, self.tree = space, KdTree(space.project(x, True))
+        self.place = self.tree.order
+        self.ids, self.x = ids[self.place], x[self.place]
+        self.size = (self.tree.points**2).sum(1)
+
+    def search(self, qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int) -> Found:
+        """The best of each query among the vectors of other ids. ``bounds``: squared distances within which a query already has k neighbours."""
+        out = Found([], [], 0)
+        for at in range(0, len(q), QUERIES):
+            some = slice(at, at + QUERIES)
+            qp, reach = self.space.project(q[some], False), self.space.stop * bounds[some]
+            # leaves that no query of the group could want stay closed
+            near = (self.tree.leaf_distances(qp) <= reach[:, None]).any(axis=0)
+            opened = np.concatenate([r for r, want in zip(self.tree.rows, near.tolist()) if want] or [np.zeros(0, np.int64)])
+            far = np.maximum((qp**2).sum(1)[:, None] + self.size[opened] - 2 * (qp @ self.tree.points[opened].T), 0)
+            for i in range(len(qp)):
+                rows, scores, n = self._one(qids[at + i], q[at + i], far[i], opened, bounds[at + i], k)
+                out.rows.append(rows)
+                out.scores.append(scores)
+                out.verified += n
+        return out
+
+    def _one(self, qid: int, q: np.ndarray, far: np.ndarray, opened: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        stop, base, worst = self.space.stop, float((q**2).sum() + self.space.longest), bound
+        wanted = np.flatnonzero((far <= stop * worst) & (self.ids[opened] != qid))
+        order = wanted[np.argsort(far[wanted], kind="stable")]  # projected neighbours, nearest first
+        far, order = far[order], opened[order]
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, STEP
+        while at < len(order) and far[at] <= stop * worst:
+            end = at + step if math.isinf(worst) else min(at + step, int(np.searchsorted(far, stop * worst, side="right")))
+            rows = order[at:end]
+            # sums along each row, whatever its place: equal vectors get equal scores, and ties are ties
+            best, score = np.append(best, rows), np.append(score, (self.x[rows] * q).sum(1))
+            at, step = at + len(rows), 2 * step
+            if len(best) > k:
+                keep = np.lexsort((self.ids[best], -score))[:k]
+                best, score = best[keep], score[keep]
+            if len(best) >= k:
+                worst = min(worst, max(base - 2 * float(score.min()), 0) * (1 + 1e-12))
+        keep = np.lexsort((self.ids[best], -score))
+        best, score = best[keep], score[keep]
+        if math.isfinite(bound):  # others are not among the k nearest
+            within = 2 * score >= base - bound * (1 + 1e-9)
+            best, score = best[within], score[within]
+        return self.place[best], score, at
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x array<double>) of the rows that take part: of the commonest length (ties: the shorter), finite, not null, not zero."""
+    """(vec_id, x array<double>, tag) of the different rows that take part: finite, not null, not zero. ``tag`` tells vectors of one id apart."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad) & F.exists("x", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("x") == (sizes.n if sizes else 0))
+    return rows.distinct().withColumn("tag", F.xxhash64("x"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -187,146 +207,128 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
-def fit_space(rows: DataFrame, directions: int = DIRECTIONS, sure: float = SURE, seed: int = 11) -> tuple[Space, np.ndarray, np.ndarray] | None:
-    """The space, and the ids and vectors of the sample (those with the smallest hashes); None without rows."""
+def fit_space(rows: DataFrame, directions: int = DIRECTIONS, sure: float = SURE, seed: int = 11) -> tuple[Space, pa.Table]:
+    """The space of vectors of one length, and the sample (rows of the smallest hashes of their ids)."""
     n, longest, dim = rows.agg(F.count("*"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), F.max(F.size("x"))).first()
-    if not n:
-        return None
-    rng = np.random.default_rng(seed)
-    space = Space(rng.normal(size=(dim + 1, directions)), float(longest) * (1 + 1e-9), [], 0, chi_square_quantile(sure, directions))
+    space = new_space(dim, float(longest) * (1 + 1e-9), directions, sure, seed)
     sample = sample_rows(rows, F.col("vec_id"), max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim), n // 8))).toArrow()
-    x = _matrix(sample.column("x"))
-    depth = min(int(math.log2(CELLS)), max(0, int(math.log2(max(1, n / (8 * BLOCK))))))
+    depth = min(int(math.log2(CELLS)), max(0, math.ceil(math.log2(n / BLOCK))), max(0, int(math.log2(max(1, sample.num_rows / 16)))))
     if depth:
-        space.splits, space.depth = fit_splits(space.project(x, True), depth), depth
-    return space, sample.column("vec_id").to_numpy(), x
+        space.splits, space.depth = fit_splits(space.project(_matrix(sample.column("x")), True), depth), depth
+    return space, sample
+
+
+def new_space(dim: int, longest: float, directions: int = DIRECTIONS, sure: float = SURE, seed: int = 11) -> Space:
+    directions = min(directions, dim + 1)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim + 1, directions)))[0] * math.sqrt(dim + 1)
+    return Space(basis, longest, [], 0, chi_square_quantile(sure, directions))
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST, sure: float = SURE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` largest inner products found for each query.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but those with the query's own vec_id. Ties go to
-    the smaller vec_id. Vectors null, zero, of another length than most, or with null or non-finite components take no part. A
-    repeated vec_id is a candidate (and a query) once for each different vector; repeats of the whole row count once. Other columns are not read.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows of the query's length but those with its own vec_id. Ties go
+    to the smaller vec_id. Vectors null, zero, or with null or non-finite components take no part, nor do rows with a null vec_id; an empty table
+    gives an empty one. A repeated vec_id is a candidate (and a query) once for each different vector; repeats of the whole row count
+    once. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = durable(valid_vectors(vectors).distinct(), "vectors")
-    fitted = fit_space(rows, sure=sure)
-    result = "query_id long, rank int, vec_id long, score double"
-    if fitted is None:
-        return spark.createDataFrame([], result)
-    space = fitted[0]
-    sample = spark.sparkContext.broadcast(fitted[1:])  # SAMPLE_BYTES at most
+    rows = durable(valid_vectors(vectors), "vectors")
+    lengths = [r.n for r in rows.select(F.size("x").alias("n")).distinct().orderBy("n").collect()]  # one row a length
+    found = spark.createDataFrame([], "query_id long, tag long, vec_id long, other long, score double")
+    for n in lengths:
+        found = found.unionByName(_nearest_of(rows.filter(F.size("x") == n), every, k, sure))
+    order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id", "other")
+    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of(rows: DataFrame, every: int, k: int, sure: float) -> DataFrame:
+    """(query_id, tag, vec_id, other, score): candidates of each query among vectors of one length; ``other`` is the candidate's tag."""
+    space, sample_table = fit_space(rows, sure=sure)
+    sample = rows.sparkSession.sparkContext.broadcast((sample_table.column("vec_id").to_numpy(), _matrix(sample_table.column("x")), sample_table.column("tag").to_numpy()))  # SAMPLE_BYTES at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cell = space.cell(space.project(_matrix(batch.column(1)), True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["vec_id", "x", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["vec_id", "x", "tag", "cell"])
 
-    placed = rows.mapInArrow(place, "vec_id long, x array<double>, cell int")
+    shape = "vec_id long, x array<double>, tag long"
+    placed = rows.mapInArrow(place, f"{shape}, cell int")
     sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # CELLS rows at most
     parts = np.array([max(1, math.ceil(sizes.get(c, 0) / BLOCK)) for c in range(2**space.depth)])
     first = np.concatenate(([0], np.cumsum(parts)))
-    blocks = int(first[-1])
     lo, hi = space.boxes()
-    waves = max(1, math.ceil(rows.filter(F.col("vec_id") % every == 0).count() / QUERIES))
+    columns = ["vec_id", "x", "tag", "block", "bound"]
 
     def to_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = batch.column(2).to_numpy()
+            cell = batch.column(3).to_numpy()
             ids = batch.column(0).to_numpy().view(np.uint64)
             sub = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[cell]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first[cell] + sub, pa.int64())], ["vec_id", "x", "block"])
-
-    stored = placed.mapInArrow(to_block, "vec_id long, x array<double>, block long")
-    stored = stored.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
-    asked = rows.filter(F.col("vec_id") % every == 0)
-
-    def first_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The squared distance within which the sample has k others."""
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                q, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                known, x = sample.value
-                bound, found, scores = np.full(len(q), np.inf), [], []
-                near = q @ x.T
-                for i in range(len(q)):
-                    near[i, known == ids[i]] = -np.inf
-                    others = int(np.isfinite(near[i]).sum())
-                    least = np.partition(near[i], -k)[-k] if others >= k else -np.inf
-                    at_least = np.flatnonzero((near[i] >= least - 1e-9 * (1 + abs(least))) & np.isfinite(near[i]) if others >= k else np.isfinite(near[i]))
-                    score = (x[at_least] * q[i]).sum(1)
-                    keep = np.lexsort((known[at_least], -score))[:k]
-                    found.append(known[at_least][keep].tolist())
-                    scores.append(score[keep].tolist())
-                    if len(keep) == k:
-                        bound[i] = max((q[i] ** 2).sum() + space.longest - 2 * score[keep].min(), 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound * (1 + 1e-9)), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["query_id", "x", "bound", "found", "scores"])
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cell = space.cell(space.project(_matrix(batch.column(1)), True))
-                ids = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first[cell] + ids % parts[cell], pa.int64()), batch.column(2)], ["query_id", "x", "block", "bound"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first[cell] + sub, pa.int64()), pa.nulls(len(cell), pa.float64())], columns)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The squared distance within which the sample has k others, and these."""
+        known, x, tags = sample.value
+        block = Block(space, known, x)
+        for batch in slices(batches, None, 4 * QUERIES):
+            q, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            found = block.search(ids, q, np.full(len(q), np.inf), k)
+            bound = np.array([max((v**2).sum() + space.longest - 2 * s.min(), 0) * (1 + 1e-9) if len(s) == k else np.inf for v, s in zip(q, found.scores)])
+            near = [[{"vec_id": i, "other": t, "score": s} for i, t, s in zip(known[r].tolist(), tags[r].tolist(), each.tolist())] for r, each in zip(found.rows, found.scores)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bound), pa.array(near, pa.list_(pa.struct([("vec_id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])))], ["vec_id", "x", "tag", "bound", "near"])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, bound = space.project(_matrix(batch.column(1)), False), batch.column(2).to_numpy(zero_copy_only=False)
+            p, bound = space.project(_matrix(batch.column(1)), False), batch.column(3).to_numpy(zero_copy_only=False)
             for i in range(len(p)):
                 gap = np.maximum(np.maximum(lo - p[i], p[i] - hi), 0)
-                cells = np.flatnonzero((gap**2).sum(1) <= space.stop * bound[i])
-                if not len(cells):
+                wanted = np.flatnonzero((gap**2).sum(1) <= space.stop * bound[i])
+                to = np.concatenate([np.arange(first[c], first[c + 1]) for c in wanted] or [np.zeros(0, np.int64)])
+                if len(to):
+                    row = batch.slice(i, 1)
+                    again = pa.array(np.zeros(len(to), np.int64))
+                    yield pa.RecordBatch.from_arrays([*(row.column(c).take(again) for c in range(3)), pa.array(to), row.column(3).take(again)], columns)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, its vectors (without a bound) before its queries: the vectors are kept, the queries stream past."""
+        at, vectors, block, tags = None, [], None, None
+        for whole in batches:
+            blocks, stored = whole.column(3).to_numpy(), np.asarray(whole.column(4).is_null())
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (stored[1:] != stored[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+                if a == b:
+                    continue
+                part = whole.slice(a, b - a)
+                if blocks[a] != at:
+                    at, vectors, block = blocks[a], [], None
+                if stored[a]:
+                    vectors.append(part)
                     continue
-                to = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells])
-                row = batch.slice(i, 1)
-                again = pa.array(np.zeros(len(to), np.int64))
-                yield pa.RecordBatch.from_arrays([row.column(0).take(again), row.column(1).take(again), pa.array(to), pa.array(np.full(len(to), bound[i]))], ["query_id", "x", "block", "bound"])
-
-    def meet(queries: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
-        if queries.num_rows and block.num_rows:
-            x, ids = _matrix(block.column("x")), block.column("vec_id").to_numpy()
-            tree = KdTree(space.project(x, True))
-            x, ids = x[tree.order], ids[tree.order]
-            q, qids, bounds = _matrix(queries.column("x")), queries.column("query_id").to_numpy(), queries.column("bound").to_numpy()
-            qp = space.project(q, False)
-            size = (tree.points**2).sum(1)
-            for i in range(len(q)):
-                if i % 64 == 0:
-                    some = slice(i, i + 64)
-                    far = np.maximum((qp[some] ** 2).sum(1)[:, None] + size - 2 * (qp[some] @ tree.points.T), 0)
-                    product = q[some] @ x.T
-                found, score = search(space, tree, x, ids, q[i], qp[i], qids[i], k, bounds[i], far[i % 64], product[i % 64])
-                if math.isfinite(bounds[i]):  # others are not among the k nearest
-                    within = 2 * score >= (q[i] ** 2).sum() + space.longest - bounds[i] * (1 + 1e-9)
-                    found, score = found[within], score[within]
-                out.append(np.rec.fromarrays([np.full(len(found), qids[i]), found, score], names="q,v,s"))
-        whole = np.concatenate(out) if out else np.rec.fromarrays([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names="q,v,s")
-        return pa.table({"query_id": pa.array(whole["q"]), "vec_id": pa.array(whole["v"]), "score": pa.array(whole["s"])})
-
-    def run(queries: DataFrame) -> DataFrame:
-        left = queries.withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)).cast("int")).groupBy("block", "wave")
-        return left.cogroup(stored.groupBy("block", "wave")).applyInArrow(meet, "query_id long, vec_id long, score double")
-
-    shape = "query_id long, x array<double>, block long, bound double"
-    asked = durable(asked.mapInArrow(first_bound, "query_id long, x array<double>, bound double, found array<long>, scores array<double>"), "queries")
-    seen = asked.select("query_id", F.explode(F.arrays_zip("found", "scores")).alias("f")).select("query_id", F.col("f.found").alias("vec_id"), F.col("f.scores").alias("score"))
-    asked = asked.select("query_id", "x", "bound")
-    one = durable(run(asked.mapInArrow(home, shape)), "home")
-    # each query's k-th score so far, if it has k; its squared distance bounds the second round
-    scored = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    asked = asked.join(scored, "query_id", "left")
-    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    bound = F.when(F.col("n") >= k, F.greatest(square + F.lit(space.longest) - 2 * F.col("least"), F.lit(0.0)) * (1 + 1e-9)).otherwise(float("inf"))
-    asked = durable(asked.select("query_id", "x", F.least(bound, F.col("bound")).alias("bound")), "queries")
-    two = run(asked.mapInArrow(reach, shape))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return two.union(one).union(seen).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if block is None:
+                    if not vectors:
+                        continue
+                    ids = np.concatenate([v.column(0).to_numpy() for v in vectors])
+                    block, tags = Block(space, ids, np.concatenate([_matrix(v.column(1)) for v in vectors])), np.concatenate([v.column(2).to_numpy() for v in vectors])
+                    vectors = [part.slice(0, 0)]
+                qids, qtags = part.column(0).to_numpy(), part.column(2).to_numpy()
+                found = block.search(qids, _matrix(part.column(1)), part.column(4).to_numpy(zero_copy_only=False), k)
+                n, rows_of = [len(r) for r in found.rows], np.concatenate(found.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qids, n)), pa.array(np.repeat(qtags, n)), pa.array(ids[rows_of]), pa.array(tags[rows_of]), pa.array(np.concatenate(found.scores))],
+                    ["query_id", "tag", "vec_id", "other", "score"],
+                )
+
+    with_block = f"{shape}, block long, bound double"
+    asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(look, f"{shape}, bound double, near array<struct<vec_id: long, other: long, score: double>>")
+    asked = durable(asked, "queries")
+    seen = asked.select(F.col("vec_id").alias("query_id"), "tag", F.explode("near").alias("f")).select("query_id", "tag", "f.vec_id", "f.other", "f.score")
+    both = placed.mapInArrow(to_block, with_block).unionByName(asked.select("vec_id", "x", "tag", "bound").mapInArrow(reach, with_block))
+    both = both.repartition("block").sortWithinPartitions("block", F.col("bound").asc_nulls_first())
+    return both.mapInArrow(meet, "query_id long, tag long, vec_id long, other long, score double").union(seen)
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

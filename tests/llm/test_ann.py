@@ -54,6 +54,27 @@ def test_many_blocks_lengths_and_copies(spark, monkeypatch):
     assert len(set(copies) & set(want)) >= 18
 
 
+def test_share_verified_and_recall():
+    """Of unclustered unit vectors, the hardest case: less than a fifth is compared in full, and recall holds."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    block = ann_op.Block(ann_op.new_space(64, float((x**2).sum(1).max()) * (1 + 1e-9)), np.arange(len(x)), x)
+    q = x[::80]
+    found = block.search(np.arange(0, len(x), 80), q, np.full(len(q), np.inf), 20)
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(0, len(x), 80)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 20 for a, b in zip(found.rows, want)]) >= 0.9
+    assert found.verified < 0.2 * len(q) * len(x)
+
+
+def test_lengths_meet_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (3, [0.0, 0.0, 1.0]), (40, [2.0])]
+    got = ann_op.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 1.0), (20, 1, 3, 3.0)]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, []), (160, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])]
