@@ -98,8 +98,8 @@ def sample_rows(df: DataFrame, key: Column, n: int) -> DataFrame:
     """
     rows = df.count()
     h = F.xxhash64(key)
-    if rows > 4 * n:
-        share = 1.2 * n / rows + 100 / rows
+    share = (1.2 * n + 100) / max(rows, 1)
+    if share < 0.5:
         near = df.filter(h <= F.lit(int(-(2**63) + share * 2**64)))
         if near.count() >= n:
             df = near
