@@ -1,54 +1,46 @@
 """Order MinHash fingerprints, with DataFrame functions only.
 
 A text's tokens (runs of at most eight characters that aren't white space) give k-mers of two tokens, each with its occurrence
-number. A hash of both puts each numbered k-mer into one of ``BINS`` bins; each bin selects its ``TUPLE`` smallest, puts them
-back into text order and hashes that tuple. Two texts' likeness is the share of equal bins among those that
-either fills: it falls with k-mers that differ and with k-mers in another order.
+number. A hash of both orders the numbered k-mers on a circle; from each of ``BINS`` evenly spaced places a draw selects the ``TUPLE`` next on
+the circle, so that every draw holds a whole tuple however few k-mers there are. The selected k-mers are put back into text order and hashed. Two
+texts' likeness is the share of equal draws: it falls with k-mers that differ and with k-mers in another order.
 
-Bins of a text with few k-mers hold less than a tuple, which has no order. The dense fingerprint replaces these by independent
-hashes: the two smallest of all the text's numbered k-mers by a hash of the bin's own. Texts of up to ``SHORT`` characters
-also have one of character k-mers, by which two short texts are compared.
+Texts of up to ``SHORT`` characters also have a signature of character k-mers, by which two short texts are compared: an edit of a few
+words leaves too few k-mers of whole tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from privloom.llm.common import table
+from privloom.llm.common import let, table
 
-#: Tokens of a k-mer, k-mers of a tuple, bins (a power of two).
+#: Tokens of a k-mer, k-mers of a tuple, draws (a power of two).
 KMER, TUPLE, BINS = 2, 2, 64
 #: Characters of a k-mer of a short text, and of the longest short text.
-SHORT_KMER, SHORT = 5, 1_000
+SHORT_KMER, SHORT = 3, 400
 #: Low bits that hold a position: texts of up to 2^29 tokens.
 POSITION_BITS = 29
-#: Documents of a group within which the next document is found.
-GROUP = 2_000
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` worked out once: lambda variables are never inlined, as columns of a projection are."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+BLANK = "-" * 8
 
 
-def signatures(tokens: Column, kmer: int, bins: int = BINS) -> Column:
-    """struct(plain, dense) of an array of tokens: eight hexadecimal digits for each bin, and eight dashes for an empty one. In
-    ``dense`` no bin of a text with two k-mers or more holds less than a tuple."""
+def signature(tokens: Column, kmer: int, bins: int = BINS) -> Column:
+    """Eight hexadecimal digits for each draw over an array of tokens; dashes if there are none."""
     position = (1 << POSITION_BITS) - 1
     clear = ~position & (2**63 - 1)
-    width = 63 - POSITION_BITS
+    shift = 63 - (bins.bit_length() - 1)
     hash_part = lambda x: F.shiftright(x, POSITION_BITS)
-    item = lambda xs, i: F.get(xs, i)
+    place = lambda x: x.bitwiseAND(F.lit(position))
+    bin_of = lambda x: F.shiftright(x, shift).cast("int")
+    item = F.get
 
     def packed(tokens: Column) -> Column:
         """Sorted (k-mer hash, position); a text of fewer tokens than a k-mer has is one k-mer."""
-        n = F.greatest(F.size(tokens) - (kmer - 1), F.least(F.size(tokens), F.lit(1)))
+        n = F.greatest(F.size(tokens) - (kmer - 1), F.lit(1))
         one = lambda i: F.xxhash64(*[item(tokens, i + j) for j in range(kmer)]).bitwiseAND(F.lit(clear)).bitwiseOR(i.cast("long"))
-        return F.when(n > 0, F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), one))).otherwise(F.array().cast("array<bigint>"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), one))
 
     def occurrences(kmers: Column) -> Column:
         """Numbers from 0 for equal k-mers: the lengths of the runs, each counted up."""
@@ -58,91 +50,48 @@ def signatures(tokens: Column, kmer: int, bins: int = BINS) -> Column:
         return F.flatten(runs)
 
     def numbered(kmers: Column) -> Column:
-        """Sorted (hash of k-mer and occurrence, position): the order of the bins, and of the smallest in each."""
-        mixed = F.zip_with(kmers, occurrences(kmers), lambda x, o: F.xxhash64(hash_part(x), o).bitwiseAND(F.lit(clear)).bitwiseOR(x.bitwiseAND(F.lit(position))))
+        """Sorted (hash of k-mer and occurrence, position): the circle."""
+        mixed = F.zip_with(kmers, occurrences(kmers), lambda x, o: F.xxhash64(hash_part(x), o).bitwiseAND(F.lit(clear)).bitwiseOR(place(x)))
         return F.sort_array(mixed)
 
-    shift = width - (bins.bit_length() - 1)
-    bin_of = lambda x: F.shiftright(hash_part(x), shift)
-
-    def signature(order: Column) -> Column:
-        """(bin, tuple hash) of each bin that holds a k-mer, as one map."""
-        n = F.size(order)
-        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (bin_of(item(order, i)) != bin_of(item(order, i - 1))))
-
-        def digest(i: Column) -> Column:
-            same = F.filter(F.slice(order, i + 1, TUPLE), lambda x: bin_of(x) == bin_of(item(order, i)))
-            return F.struct(bin_of(item(order, i)).cast("int").alias("bin"), F.struct(code_of(same).alias("code"), (F.size(same) == TUPLE).alias("whole")).alias("held"))
-
-        return F.map_from_entries(F.transform(firsts, digest))
-
-    def digits(chosen: Column) -> Column:
-        return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(chosen))), 16, "0"), 1, 8)
-
-    def code_of(chosen: Column) -> Column:
-        """The digits of a tuple, put into text order."""
-        by_place = F.array_sort(chosen, lambda a, b: (a.bitwiseAND(F.lit(position)) - b.bitwiseAND(F.lit(position))).cast("int"))
-        return digits(F.transform(by_place, hash_part))
-
-    def smallest(hashes: Column, b: Column) -> Column:
-        """The digits of the two smallest by the hash function of bin ``b``, over all numbered k-mers in text order."""
-
-        def before_or_after(mixed: Column, least: Column, at: Column) -> Column:
-            left, right = F.array_min(F.slice(mixed, 1, at - 1)), F.array_min(F.slice(mixed, at + 1, F.size(mixed)))
-            pair = lambda x: F.when(x["r"].isNull() | (x["l"] < x["r"]), F.array(x["l"], least)).otherwise(F.array(least, x["r"]))
-            return F.when(F.size(mixed) == 1, mixed).otherwise(let(F.struct(left.alias("l"), right.alias("r")), pair))
-
-        mixed = F.transform(hashes, lambda h: F.xxhash64(h, b))
-        chosen = let(mixed, lambda m: let(F.array_min(m), lambda least: before_or_after(m, least, F.array_position(m, least).cast("int"))))
-        return digits(chosen)
-
-    def both(order: Column, found: Column) -> Column:
-        held = lambda b: F.element_at(found, b)
-        whole = lambda b: F.coalesce(held(b)["whole"], F.lit(False))
-        every = F.sequence(F.lit(0), F.lit(bins - 1))
-        plain = F.array_join(F.transform(every, lambda b: F.coalesce(held(b)["code"], F.lit("-" * 8))), "")
-        placed = F.sort_array(F.transform(order, lambda x: F.shiftleft(x.bitwiseAND(F.lit(position)), width).bitwiseOR(hash_part(x))))
-        hashes = F.transform(placed, lambda x: x.bitwiseAND(F.lit((1 << width) - 1)))
-        dense = let(hashes, lambda h: F.array_join(F.transform(every, lambda b: F.when(whole(b), held(b)["code"]).otherwise(smallest(h, b.cast("long")))), ""))
-        full = F.size(F.filter(F.map_values(found), lambda x: x["whole"])) == bins
-        return let(plain, lambda p: F.struct(p.alias("plain"), F.when(full, p).otherwise(dense).alias("dense")))
-
-    blank = F.lit("-" * 8 * bins)
-    return F.when(F.size(tokens) == 0, F.struct(blank.alias("plain"), blank.alias("dense"))).otherwise(
-        let(packed(tokens), lambda kmers: let(numbered(kmers), lambda order: let(signature(order), lambda found: both(order, found))))
-    )
+    def draws(circle: Column) -> Column:
+        n = F.size(circle)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (bin_of(item(circle, i)) != bin_of(item(circle, i - 1))))
+
+        def code(i: Column) -> Column:
+            """The digits of the tuple at one place of the circle, in text order."""
+            pair = F.struct(item(circle, i).alias("x"), item(circle, F.pmod(i + 1, n)).alias("y"))
+            digest = lambda p: F.when(n == 1, F.xxhash64(hash_part(p["x"]))).when(place(p["x"]) < place(p["y"]), F.xxhash64(hash_part(p["x"]), hash_part(p["y"]))).otherwise(F.xxhash64(hash_part(p["y"]), hash_part(p["x"])))
+            return F.substring(F.lpad(F.lower(F.hex(let(pair, digest))), 16, "0"), 1, 8)
+
+        def filled(starts: Column) -> Column:
+            """Each draw takes the first k-mer at or after its place: bins without one take that of the next that has one."""
+            last = bin_of(item(circle, item(starts, F.size(starts) - 1)))
+            own = F.transform(starts, lambda i, j: F.repeat(code(i), bin_of(item(circle, i)) - F.when(j == 0, F.lit(-1)).otherwise(bin_of(item(circle, i - 1)))))
+            return F.concat(F.array_join(own, ""), F.repeat(code(item(starts, F.lit(0))), F.lit(bins - 1) - last))
 
+        return let(firsts, filled)
 
-def fingerprints(text: Column, bins: int = BINS) -> Column:
-    """struct(plain, dense) of a text, equal for equal texts. ``dense`` has twice as many bins for a short text: the second half is
-    that of its character k-mers, in which a run of white space is one space."""
+    return F.when(F.size(tokens) == 0, F.lit(BLANK * bins)).otherwise(let(packed(tokens), lambda kmers: let(numbered(kmers), draws)))
+
+
+def fingerprint(text: Column, bins: int = BINS) -> Column:
+    """The fingerprint of a text, equal for equal texts: the signature of its tokens, and for a short text that of its characters, in which a run of
+    white space is one space."""
     text = F.coalesce(text, F.lit(""))
     letters = F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("(?s)(.)"), F.lit(1))
-    short = F.when(F.char_length(text) <= SHORT, let(letters, lambda x: signatures(x, SHORT_KMER, bins))["dense"]).otherwise(F.lit(""))
-    words = let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), lambda x: signatures(x, KMER, bins))
-    return let(words, lambda w: F.struct(w["plain"].alias("plain"), F.concat(w["dense"], short).alias("dense")))
+    short = F.when(F.char_length(text) <= SHORT, let(letters, lambda x: signature(x, SHORT_KMER, bins))).otherwise(F.lit(""))
+    return F.concat(let(F.regexp_extract_all(text, F.lit(r"(\S{1,8})"), F.lit(1)), lambda x: signature(x, KMER, bins)), short)
 
 
 def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
-    """Share of equal bins among those that either fills; 1 if neither fills any."""
-    blank = F.lit("-" * 8)
-    counts = F.aggregate(
-        F.sequence(F.lit(0), F.lit(bins - 1)), F.struct(F.lit(0).alias("same"), F.lit(0).alias("filled")),
-        lambda acc, i: F.struct(
-            (acc["same"] + F.when((F.substr(a, 8 * i + 1, F.lit(8)) == F.substr(b, 8 * i + 1, F.lit(8))) & (F.substr(a, 8 * i + 1, F.lit(8)) != blank), 1).otherwise(0)).alias("same"),
-            (acc["filled"] + F.when((F.substr(a, 8 * i + 1, F.lit(8)) != blank) | (F.substr(b, 8 * i + 1, F.lit(8)) != blank), 1).otherwise(0)).alias("filled"),
-        ),
-        lambda acc: F.when(acc["filled"] == 0, 1.0).otherwise(acc["same"] / acc["filled"]),
-    )
-    return F.when(a == b, 1.0).otherwise(counts)
-
-
-def dense_likeness(a: Column, b: Column, bins: int = BINS) -> Column:
-    """``likeness`` of dense fingerprints: by character k-mers if both texts are short, else by token k-mers."""
+    """Share of equal draws: of characters if both texts are short, else of tokens. 1 for two texts without tokens, 0 if one alone has none."""
     n = 8 * bins
     both = (F.length(a) > n) & (F.length(b) > n)
     part = lambda x: F.when(both, F.substring(x, n + 1, n)).otherwise(F.substring(x, 1, n))
-    return let(F.struct(part(a).alias("a"), part(b).alias("b")), lambda x: likeness(x["a"], x["b"], bins))
+    draw = lambda x, i: F.substr(x, 8 * i + 1, F.lit(8))
+    same = lambda x: F.size(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (draw(x["a"], i) == draw(x["b"], i)) & (draw(x["a"], i) != F.lit(BLANK))))
+    return F.when(a == b, 1.0).otherwise(let(F.struct(part(a).alias("a"), part(b).alias("b")), same) / F.lit(float(bins)))
 
 
 def _cuts_below(value: Column, cuts: list[int]) -> Column:
@@ -155,56 +104,61 @@ def _cuts_below(value: Column, cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text, last) with room for a guest: the rows of one id range each, and the first row of the next range.
+    """(doc_id, text, h, part, sub, guest, turn): the rows of one range of (doc_id, h), and as a guest the first row of the range after it.
 
-    Ranges are cut at percentiles of doc_id, so that a range holds about ``GROUP`` rows whatever the ids are; the first row of each range
-    is also a guest of the range before (of the last range, for the first), and so each row finds the next one at home.
+    ``h`` is the text's hash, which orders rows of one doc_id. There are as many ranges as the square root of the number of rows, so that ranges
+    and what is known of them grow alike. Ranges are cut at percentiles of doc_id; rows of an id that would fill several (and those without
+    an id) are cut further by their hashes. The first row of each range is also a guest of the range before (of the last
+    range, for the first), and so each row finds the next one at home.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     n = rows.count()
-    groups = max(1, min(100_000, n // GROUP))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / groups for i in range(1, groups)], 100_000)).first()[0] if groups > 1 else []
-    cuts = sorted(set(cuts or []))  # one number a range
-    home = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_cuts_below(F.col("doc_id"), cuts))
+    ranges = max(1, int(n**0.5))
+    found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges), F.count_if(F.col("doc_id").isNull())).first() if ranges > 1 else ([], 0)
+    cuts = sorted(set(found[0] or []))
+    heavy = [(c, found[0].count(c)) for c in cuts if found[0].count(c) > 1] if len(cuts) < len(found[0] or []) else []
+    if found[1] * ranges > n:
+        heavy.append((None, found[1] * ranges // n))
+    home = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_cuts_below(F.col("doc_id"), cuts))
     rows = rows.withColumn("part", home)
-    ends = rows.groupBy("part").agg(F.min("doc_id").alias("first")).filter("first is not null").orderBy("part").collect()
-    if not ends:
-        return rows.withColumn("guest", F.lit(False))
-    before = {r["first"]: ends[i - 1].part for i, r in enumerate(ends)}
-    guests = rows.filter(F.col("doc_id").isin(list(before)))
-    known = F.create_map(*[x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))])
-    guests = guests.withColumn("part", F.element_at(known, F.col("doc_id"))).withColumn("turn", (F.col("doc_id") == ends[0]["first"]))
-    own = rows.withColumn("guest", F.lit(False)).withColumn("turn", F.lit(False))
-    return own.unionByName(guests.withColumn("guest", F.lit(True)))
+    if heavy:  # fewer ids than ranges
+        pieces = F.broadcast(spark.createDataFrame(heavy, "heavy long, pieces int"))
+        rows = rows.join(pieces, F.col("doc_id").eqNullSafe(F.col("heavy")), "left").drop("heavy")
+        unit = F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+        # the rest of the range has smaller ids than its cut, so they come first
+        rows = rows.withColumn("sub", F.coalesce(F.lit(1) + F.least(F.floor(unit * F.col("pieces")).cast("int"), F.col("pieces") - 1), F.lit(0))).drop("pieces")
+    else:
+        rows = rows.withColumn("sub", F.lit(0))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "h")).alias("first")
+    ends = rows.groupBy("part", "sub").agg(first).orderBy("part", "sub").collect()  # one row a range
+    home_of = [(e["first"]["doc_id"], e["first"]["h"], ends[i - 1].part, ends[i - 1].sub, i == 0) for i, e in enumerate(ends)]
+    known = F.broadcast(spark.createDataFrame(home_of, "first_id long, first_h long, to_part int, to_sub int, turn boolean"))
+    guests = rows.join(known, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    guests = guests.select("doc_id", "text", "h", F.col("to_part").alias("part"), F.col("to_sub").alias("sub"), F.lit(True).alias("guest"), "turn")
+    return rows.select("doc_id", "text", "h", "part", "sub", F.lit(False).alias("guest"), F.lit(False).alias("turn")).unionByName(guests)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The fingerprint of each text and of its edited text, as the query ``op2`` defines them.
 
     A null text is an empty one (an empty text has a fingerprint of dashes). Repeated rows are judged each; rows of one doc_id follow each
-    other in the order of their texts' hashes. The next of the last row is the first, which with a single row is itself. Other
-    columns of ``docs`` are not read. The ``dense`` columns are those of the dense fingerprint, which keeps the order of short texts.
+    other in the order of their texts' hashes, and rows without an id come first. The next of the last row is the first, which with a single row is
+    itself. Very long texts are taken whole; an empty table gives an empty one. Other columns of ``docs`` are not read.
     """
-    rows = with_next(docs)
-    if "turn" not in rows.columns:
-        rows = rows.withColumn("turn", F.lit(False))
-    rows = rows.withColumn("prints", fingerprints(F.col("text")))
-    ahead = Window.partitionBy("part").orderBy("guest", "turn", "doc_id", F.xxhash64("text"))
-    rows = rows.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_prints", F.lead("prints").over(ahead)).filter(~F.col("guest"))
+    rows = with_next(docs).withColumn("print", fingerprint(F.col("text")))
+    ahead = Window.partitionBy("part", "sub").orderBy("guest", "turn", "doc_id", "h")
+    rows = rows.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_print", F.lead("print").over(ahead)).filter(~F.col("guest"))
     n = F.char_length("text")
     half = F.floor(n / F.lit(2)).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next_text", "text"), F.lit(1), half))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "prints", fingerprints(F.col("edited")).alias("edited_prints"), F.coalesce("next_prints", "prints").alias("next_prints"))
-    own, changed, ahead = F.col("prints"), F.col("edited_prints"), F.col("next_prints")
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), F.coalesce("next_print", "print").alias("next_print"))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", own["plain"].alias("fingerprint"), changed["plain"].alias("edited_fingerprint"),
-        likeness(own["plain"], changed["plain"]).alias("near_edited"),
-        likeness(own["plain"], ahead["plain"]).alias("near_next"),
-        own["dense"].alias("dense_fingerprint"), changed["dense"].alias("edited_dense_fingerprint"),
-        dense_likeness(own["dense"], changed["dense"]).alias("dense_near_edited"),
-        dense_likeness(own["dense"], ahead["dense"]).alias("dense_near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
     )
 
 
