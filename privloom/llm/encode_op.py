@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privloom.llm import byte_bpe
-from privloom.llm.common import table
+from privloom.llm.common import slices, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,26 +38,24 @@ def encode_documents(docs: DataFrame, name: str = RANKS, pattern: str | None = N
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row of ``docs`` (doc_id, text).
 
     One row for each input row; a null text is an empty one, with no ids. Very long texts are encoded whole, up
-    the tree. Other columns of ``docs`` are not read. ``keep_ids=False`` leaves out the array of ids.
+    the tree; an empty table gives an empty one. Other columns of ``docs`` are not read. ``keep_ids=False`` leaves out the array of ids.
     """
     pattern = pattern or split_pattern()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, text_ids = _worker(vocabulary(name), pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out: list[list] = [[], [], [], []]
-                for packed in text_ids.batch([text or "" for text in batch.column(1).to_pylist()]):
-                    ids = np.frombuffer(packed, "<u4")
-                    out[0].append(len(ids))
-                    out[1].append(ids.astype(np.int64) if keep_ids else None)
-                    out[2].append(hashlib.sha256(packed).hexdigest())
-                    out[3].append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-                )
+        for batch in slices(batches, 1):
+            out: list[list] = [[], [], [], []]
+            for packed in text_ids.batch([text or "" for text in batch.column(1).to_pylist()]):
+                ids = np.frombuffer(packed, "<u4")
+                out[0].append(len(ids))
+                out[1].append(ids.astype(np.int64) if keep_ids else None)
+                out[2].append(hashlib.sha256(packed).hexdigest())
+                out[3].append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
+                ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = rows.mapInArrow(encode, "doc_id long, n_tokens long, ids array<long>, ids_sha256 string, decoded_sha256 string")

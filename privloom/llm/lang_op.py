@@ -16,17 +16,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from privloom.llm.common import durable, remainder, sample_rows, table
+from privloom.llm.common import durable, remainder, slices, table
 
 UNKNOWN = "und"
-#: Documents that teach the filters, and most n-grams of one language: bounds of the model, which don't grow with the data.
-TRAIN_DOCS, GRAMS = 12_000, 60_000
+#: Documents of each language that teach the filters: the bound of the model.
+TRAIN_DOCS = 3_000
 #: An n-gram belongs to a language if at least this share of its documents (and two) holds it.
 LEAST_SHARE = 0.02
-#: Slots (a power of two) and hashes of the filters, and the most languages.
-SLOTS, HASHES, LANGUAGES = 1 << 20, 3, 64
-#: Code points of a block of a very long text; blocks end at a space where there is one.
+#: Least slots (a power of two) of the filters, slots for each n-gram of the largest language, hashes, and languages of a mask word.
+SLOTS, ROOM, HASHES, WORD = 1 << 20, 12, 3, 64
+#: Code points of a block of a very long text, whose blocks give the n-grams of the whole.
 BLOCK = 400_000
 
 
@@ -35,26 +36,51 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def blocks(text: str) -> Iterator[str]:
-    at = 0
+@dataclass(frozen=True)
+class Piece:
+    """A block of a lower-cased text. ``runs_on``: its word began in the block before, whose last three letters it starts with; ``open_end``: its
+    last word goes on."""
+
+    text: str
+    runs_on: bool = False
+    open_end: bool = False
+
+
+def blocks(text: str, size: int | None = None) -> Iterator[Piece]:
+    """Blocks end after a space where there is one in their second half, else inside a word with an overlap of three letters."""
+    size = size or BLOCK
+    text, at, runs_on = text.lower(), 0, False
     while at < len(text):
-        end = at + BLOCK
-        if end < len(text):
-            cut = text.rfind(" ", at + BLOCK // 2, end)
-            end = cut if cut > 0 else end
-        yield text[at:end]
-        at = end
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hash) of each three- and four-gram of lower-cased letters; a space stands for what is beside a word, and no
-    n-gram spans two words."""
-    lowered = [" " + t.lower() + " " for t in texts]
+        end = min(at + size, len(text))
+        cut = text.rfind(" ", at + size // 2, end) if end < len(text) else -1
+        if cut > 0:
+            end = cut + 1
+        own = 0  # letters before the end, of a word that goes on behind it
+        while end < len(text) and text[end].isalpha() and own < 3 and text[end - 1 - own].isalpha():
+            own += 1
+        if own < 3:
+            end -= own
+        yield Piece(text[at:end], runs_on, own == 3)
+        runs_on = own == 3
+        at = end - 3 if runs_on else end
+
+
+def grams(pieces: list[Piece | str]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece index, hash) of each three- and four-gram of lower-cased letters; a space stands for what is beside a word, and no
+    n-gram spans two words. The three-gram that a block repeats of the one before is left out."""
+    pieces = [Piece(p.lower()) if isinstance(p, str) else p for p in pieces]
+    lowered = [("" if p.runs_on else " ") + p.text + ("" if p.open_end else " ") for p in pieces]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
+    sizes = np.array([len(t) for t in lowered], np.int64)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    again = np.zeros(len(codes), bool)
+    again[starts] = np.array([p.runs_on for p in pieces], bool)[sizes > 0]
     letter = _letters()[codes]
-    keep = letter | np.concatenate(([True], letter[:-1]))
-    codes, owner, letter = np.where(letter, codes, 32)[keep].astype(np.uint64), owner[keep], letter[keep]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[starts] = True
+    codes, owner, again, letter = np.where(letter, codes, 32)[keep].astype(np.uint64), owner[keep], again[keep], letter[keep]
     out_owner, out_hash = [], []
     mix = np.uint64(0x9E3779B97F4A7C15)
     for n in (3, 4):
@@ -64,6 +90,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ok = owner[:m] == owner[n - 1 :]
         for i in range(1, n - 1):
             ok &= letter[i : m + i]
+        if n == 3:
+            ok &= ~again[:m]
         at = np.flatnonzero(ok)
         h = np.full(len(at), n, np.uint64)
         for i in range(n):
@@ -82,35 +110,40 @@ def slots_of(h: np.ndarray, i: int, slots: int) -> np.ndarray:
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    masks: np.ndarray  # uint64, a bit for each language
+    masks: np.ndarray  # slots x words of uint64, a bit for each language
     wrong: np.ndarray  # each language's false positive rate
 
     @classmethod
-    def build(cls, by_language: dict[str, np.ndarray], slots: int = SLOTS) -> "LanguageFilters":
+    def build(cls, by_language: dict[str, np.ndarray], slots: int | None = None) -> "LanguageFilters":
+        """``slots`` (a power of two) follow the largest language's n-grams unless given."""
         languages = sorted(by_language)
-        if len(languages) > LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; the masks hold {LANGUAGES}")
-        masks = np.zeros(slots, np.uint64)
-        for bit, name in enumerate(languages):
-            for i in range(HASHES):
-                masks[slots_of(by_language[name], i, slots)] |= np.uint64(1 << bit)
-        fill = np.array([np.count_nonzero(masks >> np.uint64(b) & np.uint64(1)) / slots for b in range(len(languages))])
+        slots = slots or max(SLOTS, 1 << (ROOM * max(map(len, by_language.values()), default=0)).bit_length())
+        masks = np.zeros((slots, max(1, -(-len(languages) // WORD))), np.uint64)
+        for i, name in enumerate(languages):
+            for k in range(HASHES):
+                masks[slots_of(by_language[name], k, slots), i // WORD] |= np.uint64(1 << i % WORD)
+        fill = np.array([np.count_nonzero(masks[:, i // WORD] >> np.uint64(i % WORD) & np.uint64(1)) / slots for i in range(len(languages))])
         return cls(languages, masks, fill**HASHES)
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """n-grams of each text, and of those how many each language's filter holds."""
-        owner, h = grams(texts)
-        found = self.masks[slots_of(h, 0, len(self.masks))]
-        for i in range(1, HASHES):
-            found &= self.masks[slots_of(h, i, len(self.masks))]
-        n = np.bincount(owner, minlength=len(texts))
-        hits = [np.bincount(owner[(found >> np.uint64(b) & np.uint64(1)) > 0], minlength=len(texts)) for b in range(len(self.languages))]
-        return n, np.array(hits).reshape(len(self.languages), len(texts)).T
+    def counts(self, pieces: list[Piece | str]) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams of each piece, and of those how many each language's filter holds."""
+        owner, h = grams(pieces)
+        slots = len(self.masks)
+        at = [slots_of(h, k, slots) for k in range(HASHES)]
+        hits = np.zeros((len(pieces), len(self.languages)), np.int64)
+        for word in range(self.masks.shape[1]):
+            column = self.masks[:, word]
+            found = column[at[0]]
+            for k in range(1, HASHES):
+                found &= column[at[k]]
+            for i in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
+                hits[:, i] = np.bincount(owner[(found >> np.uint64(i % WORD) & np.uint64(1)) > 0], minlength=len(pieces))
+        return np.bincount(owner, minlength=len(pieces)), hits
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the corrected share of its n-grams that the language's filter holds."""
         n, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        group: list[tuple[int, str]] = []
+        group: list[tuple[int, Piece]] = []
         size = 0
 
         def flush() -> None:
@@ -123,7 +156,7 @@ class LanguageFilters:
         for i, text in enumerate(texts):
             for part in blocks(text or ""):
                 group.append((i, part))
-                size += len(part)
+                size += len(part.text)
                 if size >= BLOCK:
                     flush()
                     group, size = [], 0
@@ -142,42 +175,42 @@ class LanguageFilters:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, modulus: int = 5) -> LanguageFilters:
-    """Filters from text and lang of a bounded sample of documents (those with the smallest hashes) whose crc32(doc_id) mod
+    """Filters from text and lang of a bounded sample of documents of each language (those with the smallest hashes) whose crc32(doc_id) mod
     ``modulus`` isn't 0 and whose lang isn't null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     teach = rows.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), modulus) != 0))
-    chosen = durable(sample_rows(teach.select("doc_id"), F.col("doc_id"), train_docs), "lang_sample")
-    teach = teach.join(F.broadcast(chosen.distinct()), "doc_id")  # train_docs ids at most
+    # most rows go by a threshold on the hash, so that the ranks see little more than train_docs rows of a language
+    share = teach.groupBy("lang").agg((F.lit(1.2 * train_docs + 100) / F.count("*")).alias("share"))
+    h = F.xxhash64("doc_id")
+    near = teach.select("doc_id", "lang").join(F.broadcast(share), "lang").filter(h.cast("double") / F.lit(2.0**64) + F.lit(0.5) <= F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
+    chosen = durable(near.distinct().withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id", "lang"), "lang_sample")
+    teach = teach.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # train_docs rows a language at most
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                seen: dict[str, list[np.ndarray]] = {}
-                for text, lang in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns)):
-                    found = [grams([part])[1] for part in blocks(text or "")]
-                    seen.setdefault(lang, []).append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
-                for lang, each in seen.items():
-                    gram, n = np.unique(np.concatenate(each), return_counts=True)
-                    gram, n = np.append(gram.view(np.int64), 0), np.append(n, len(each))  # gram 0 counts the documents
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+        for batch in slices(batches, 0, 256):
+            seen: dict[str, list[np.ndarray]] = {}
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [np.unique(grams([part])[1]) for part in blocks(text or "")]
+                seen.setdefault(lang, []).append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
+            for lang, each in seen.items():
+                gram, n = np.unique(np.concatenate(each), return_counts=True)
+                gram, n = np.append(gram.view(np.int64), 0), np.append(n, len(each))  # gram 0 counts the documents
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
     counts = teach.select("text", "lang").mapInArrow(learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = durable(counts, "lang_grams")
-    totals = {r.lang: r.n for r in counts.filter("gram = 0").collect()}  # one row a language
-    if len(totals) > LANGUAGES:
-        raise ValueError(f"{len(totals)} languages; the masks hold {LANGUAGES}")
-    by_language = {}
-    for lang, n in totals.items():
-        least = max(2 if n > 1 else 1, LEAST_SHARE * n)
-        kept = counts.filter((F.col("lang") == lang) & (F.col("gram") != 0) & (F.col("n") >= least))
-        kept = kept.orderBy(F.desc("n"), "gram").limit(GRAMS).toPandas()
-        by_language[lang] = kept["gram"].to_numpy(np.int64).view(np.uint64)
+    totals = counts.filter("gram = 0").select("lang", F.greatest(F.when(F.col("n") > 1, 2.0).otherwise(1.0), LEAST_SHARE * F.col("n")).alias("least"))
+    # at least LEAST_SHARE of a language's documents hold each: at most 1 / LEAST_SHARE of the n-grams that one of them has on average
+    kept = counts.filter("gram <> 0").join(F.broadcast(totals), "lang").filter("n >= least").select("lang", "gram").toPandas()
+    by_language = {lang: np.zeros(0, np.uint64) for lang in (r.lang for r in totals.select("lang").collect())}
+    by_language.update({lang: each.to_numpy(np.int64).view(np.uint64) for lang, each in kept.groupby("lang")["gram"]})
     return LanguageFilters.build(by_language)
 
 
 def language_of(docs_session: SparkSession, filters: LanguageFilters, text: Column) -> Column:
     """struct(lang string, score double) of a text column."""
-    shared = docs_session.sparkContext.broadcast(filters)  # 8 MB, whatever the data
+    shared = docs_session.sparkContext.broadcast(filters)  # a word for each slot and 64 languages; slots follow the n-grams that 1 / LEAST_SHARE bounds
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -196,7 +229,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None = None) -> DataFra
     """(doc_id, held_out, lang_pred, score) of each row of ``docs`` (doc_id, text, lang; lang only to learn from).
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned; ties go to the first language by name. Very
-    long texts are counted in blocks. Repeated rows give repeated rows. Other columns are not read.
+    long texts are counted in blocks that give the n-grams of the whole. An empty table gives an empty one. Repeated rows give repeated rows. Other columns are not read.
     """
     filters = filters or fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(docs.sparkSession, filters, F.col("text")).alias("found"))

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.llm.byte_bpe import TextEncoder, load_ranks
-from privloom.llm.common import durable, table
+from privloom.llm.common import durable, slices, table
 from privloom.llm.encode_op import split_pattern, vocabulary
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SEQUENCE, END_ID = 2048, 1
-#: Pieces of one length that are ranked in one group.
-GROUP = 20_000
+#: Pieces of one length that are ranked in one group, on average.
+GROUP = 5_000
 
 
 @lru_cache(maxsize=1)
@@ -52,15 +52,13 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = _worker(TOKENIZER, RANKS), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                rows: list[tuple] = []
-                batch = whole.slice(at, 512)
-                for doc_id, packed in zip(batch.column(0).to_pylist(), ids([text or "" for text in batch.column(1).to_pylist()])):
-                    packed += end
-                    n = len(packed) // 4
-                    rows += [(doc_id, s, min(sequence, n - s), zlib.crc32(packed[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for batch in slices(batches, 1):
+            rows: list[tuple] = []
+            for doc_id, packed in zip(batch.column(0).to_pylist(), ids([text or "" for text in batch.column(1).to_pylist()])):
+                packed += end
+                n = len(packed) // 4
+                rows += [(doc_id, s, min(sequence, n - s), zlib.crc32(packed[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -116,7 +114,7 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, list[t
 def pack(docs: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded_to) of each piece of each row.
 
-    A null or empty text is the end id alone; very long texts become many pieces. Repeated rows are packed each. Sequences are
+    A null or empty text is the end id alone; very long texts become many pieces. Repeated rows are packed each; an empty table gives an empty one. Sequences are
     padded to ``sequence`` unless their length is a power of two. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession

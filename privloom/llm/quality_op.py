@@ -8,7 +8,6 @@ documents are relabelled by the model between rounds, each such document keeping
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privloom.llm.common import durable, remainder, sample_rows, table
+from privloom.llm.common import durable, remainder, sample_rows, slices, table
 
-#: Labelled documents that teach, and most lines of one of them: bounds of the model.
+#: Labelled documents that teach, and most steps of one of them: a longer document teaches by the length-weighted means of so many runs of lines.
 TRAIN_DOCS, TRAIN_LINES = 6_000, 1_000
 #: Rounds of relabelling, steps of each fit.
 ROUNDS, STEPS = 3, 150
@@ -205,35 +204,35 @@ def train(x: np.ndarray, size: np.ndarray, lengths: np.ndarray, label: np.ndarra
     return field
 
 
-def some_lines(lines: list[str]) -> list[str]:
-    """At most ``TRAIN_LINES`` lines in a row, from a place that a hash of the first and last line and their number chooses."""
-    spare = len(lines) - TRAIN_LINES
-    if spare <= 0:
-        return lines
-    at = zlib.crc32(f"{len(lines)} {lines[0]} {lines[-1]}".encode("utf-8", "surrogatepass")) % (spare + 1)
-    return lines[at : at + TRAIN_LINES]
+def runs(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and lengths of a document's lines; of more than ``TRAIN_LINES``, so many runs of lines in a row: each run's length-weighted means and
+    mean length, so that every line teaches."""
+    if len(x) <= TRAIN_LINES:
+        return x, size
+    starts = np.linspace(0, len(x), TRAIN_LINES + 1).astype(int)[:-1]
+    total = np.add.reduceat(size, starts)
+    return np.add.reduceat(x * size[:, None], starts) / total[:, None], total / np.diff(np.append(starts, len(x)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulus: int = 5, held: int = 0) -> LineField | None:
     """A field from labelled documents whose crc32(doc_id) mod ``modulus`` isn't ``held``: a bounded sample of both labels, of those
-    with the smallest hashes; None if they don't have both labels. A document of more than ``TRAIN_LINES`` lines teaches by a run of so many."""
+    with the smallest hashes; None if they don't have both labels. Longer documents teach by ``runs`` of lines.
+    Of several rows of a doc_id the smallest text teaches."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     marks = marks.filter(remainder(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = durable(sample_rows(marks, F.col("doc_id"), train_docs), "quality_sample")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                each = [lines_of(t) for t in batch.column(0).to_pylist()]
-                each = [some_lines(e) for e in each]
-                x, size = line_features([line for lines in each for line in lines])
-                edge = np.concatenate(([0], np.cumsum([len(e) for e in each])))
-                packed = [np.column_stack([x[a:b], size[a:b]]).astype("<f4").tobytes() for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary())], ["quality", "lines"])
-
-    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(look, "quality int, lines binary").toPandas()
+        for batch in slices(batches, 0, 256):
+            each = [lines_of(t) for t in batch.column(0).to_pylist()]
+            x, size = line_features([line for lines in each for line in lines])
+            edge = np.concatenate(([0], np.cumsum([len(e) for e in each])))
+            packed = [np.column_stack(runs(x[a:b], size[a:b])).astype("<f4").tobytes() for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary())], ["quality", "lines"])
+
+    teach = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # train_docs rows at most
+    got = teach.select("text", "quality").mapInArrow(look, "quality int, lines binary").toPandas()
     got = got[got["lines"].map(len) > 0]
     if got["quality"].nunique() < 2:
         return None
@@ -261,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text).
 
     Null and empty texts and texts of blank lines get the share of label 1 among the labels; with labels of one kind only, or none, all
-    get 1. Of several labels of a document the smallest counts; null labels don't. Repeated rows give repeated rows. Other columns are not read.
+    get 1. Very long texts are scored whole; an empty table gives an empty one. Of several labels of a document the smallest counts; null labels don't. Repeated rows give repeated rows. Other columns are not read.
     """
     field = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), quality_of(docs.sparkSession, field, F.col("text")).alias("score"))

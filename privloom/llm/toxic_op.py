@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privloom.llm.common import durable, remainder, sample_rows, table
+from privloom.llm.common import durable, remainder, sample_rows, slices, table
 
 #: Plain insults that vote even where no label mentions them: fixed values.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "filth", "vermin", "scumbag", "freak", "degenerate")
@@ -31,8 +31,10 @@ PATTERNS = (
     ("masked", r"\b[a-z][*@#$]{2,}[a-z]*\b"),
     ("shouting", r"!{3,}"),
 )
-#: Labelled documents that teach, and learned voters at most: bounds of the model.
-TRAIN_DOCS, VOTERS = 20_000, 200
+#: Labelled documents that teach: the bound of the model.
+TRAIN_DOCS = 20_000
+#: Clean documents with a vote that each voter is charged with beforehand: a rare word isn't sure of itself.
+DOUBT = 4.0
 #: Lengths of word beginnings that may become voters.
 STEMS = (4, 5, 6)
 #: A learned voter's toxic documents at least, and the chance (over all candidates) that a useless one gets so far.
@@ -99,14 +101,16 @@ class LabelModel:
     weight: np.ndarray
 
     @classmethod
-    def fit(cls, votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 50) -> "LabelModel":
-        """``votes`` 0/1 (rows x voters), ``start`` a first guess of each row's posterior."""
+    def fit(cls, votes: np.ndarray, prior: float, start: np.ndarray, clean: np.ndarray | None = None, rounds: int = 50) -> "LabelModel":
+        """``votes`` 0/1 (rows x voters), ``start`` a first guess of each row's posterior. ``clean``: rows known to be clean; no voter is taken to
+        err less often than it does there."""
+        floor = 0.0 if clean is None else (votes[clean].sum(0) + DOUBT) / (clean.sum() + DOUBT)
         post = start.astype(float)
         weight = np.ones(votes.shape[1])
         for _ in range(rounds):
             one, zero = post.sum(), (1 - post).sum()
             yes = (votes.T @ post + 0.05) / (one + 1)
-            no = (votes.T @ (1 - post) + 0.05) / (zero + 5)
+            no = np.maximum((votes.T @ (1 - post) + DOUBT) / (zero + DOUBT), floor)
             # correlations given the label: what is left of the votes when the label's mean is taken away
             rest = votes - (post[:, None] * yes + (1 - post)[:, None] * no)
             sd = np.sqrt((rest**2).mean(0)) + 1e-9
@@ -196,7 +200,7 @@ def learn_voters(teach: DataFrame) -> list[str]:
     tried = max(1, toxic.count())
     least = max(LEAST_DOCS, int(np.ceil(np.log(CHANCE / tried) / np.log(base))))
     # by chance a name of d toxic documents has d / base documents; far rarer ones in clean texts are what is sought
-    often = toxic.filter(F.col("n") >= least).orderBy(F.desc("n"), "name").limit(20_000).toPandas()
+    often = toxic.filter(F.col("n") >= least).toPandas()  # at most the candidates of train_docs documents, over least
     hits = dict(zip(often["name"], often["n"].tolist()))
     clean = of(0, set(hits)).toPandas() if hits else pd.DataFrame({"name": [], "n": []})
     false = dict(zip(clean["name"], clean["n"].tolist()))
@@ -205,7 +209,7 @@ def learn_voters(teach: DataFrame) -> list[str]:
         ratio = (n / bad) / ((false.get(name, 0) + 0.5) / good)
         if ratio >= 25:
             kept.append((-n, name))
-    return [name for _, name in sorted(kept)[:VOTERS]]
+    return [name for _, name in sorted(kept)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulus: int = 3, held: int = 1) -> ToxicModel:
@@ -215,20 +219,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulu
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     marks = marks.filter(remainder(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = durable(sample_rows(marks, F.col("doc_id"), train_docs), "toxic_sample")
-    teach = durable(rows.join(F.broadcast(chosen), "doc_id"), "toxic_teach")  # train_docs ids at most
+    teach = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    teach = durable(teach, "toxic_teach")  # train_docs rows at most
 
     learned = learn_voters(teach)
     voters = Voters(list(dict.fromkeys([*LEXICON, *learned])))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                counts = voters.counts(batch.column(0).to_pylist())
-                where, who = np.nonzero(counts)
-                first = np.searchsorted(where, np.arange(len(counts) + 1))
-                lists = lambda v, t: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v, t))
-                yield pa.RecordBatch.from_arrays([batch.column(1), lists(who, pa.int32()), lists(counts[where, who], pa.float64())], ["toxic", "who", "n"])
+        for batch in slices(batches, 0, 256):
+            counts = voters.counts(batch.column(0).to_pylist())
+            where, who = np.nonzero(counts)
+            first = np.searchsorted(where, np.arange(len(counts) + 1))
+            lists = lambda v, t: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v, t))
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists(who, pa.int32()), lists(counts[where, who], pa.float64())], ["toxic", "who", "n"])
 
     got = teach.select("text", "toxic").mapInArrow(vote, "toxic int, who array<int>, n array<double>").toPandas()  # train_docs rows at most
     counts = np.zeros((len(got), voters.width))
@@ -243,12 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulu
         return ToxicModel(voters, strength, coef, -3.0)
     votes = (counts > 0).astype(float)
     words = votes[:, : len(voters.names)].any(1)
-    # two more voters: one for clean, as no word or stem was seen, and the label, which the model may find wrong
-    votes = np.column_stack([votes, ~words, label, 1 - label])
+    # one more voter, for clean: no word or stem was seen. The labels chose the voters, give the prior and bound
+    # error rates from below; they don't vote
+    votes = np.column_stack([votes, ~words])
     prior = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
-    model = LabelModel.fit(votes, prior, np.where(words, 0.9, 0.02) * 0.5 + label * 0.5)
-    strength = (np.log(model.yes / model.no) * model.weight)[:-3]
-    strength[(strength < 0.5) | (votes[:, :-3].sum(0) < 2)] = 0
+    model = LabelModel.fit(votes, prior, np.where(words, 0.9, 0.02), label == 0)
+    strength = (np.log(model.yes / model.no) * model.weight)[:-1]
+    strength[(strength < 0.5) | (votes[:, :-1].sum(0) < 2)] = 0
     post = model.posterior(votes)
     out = ToxicModel(voters, strength, np.zeros(4 + voters.width), 0.0)
     out.coef, out.bias = train_linear(out.features(counts), post)
@@ -256,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, modulu
 
 
 def toxicity_of(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
-    shared = spark.sparkContext.broadcast(model)  # VOTERS names and weights
+    shared = spark.sparkContext.broadcast(model)  # names and weights of the voters, which the labelled sample bounds
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -270,7 +274,7 @@ def toxicity_of(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text).
 
-    Null and empty texts get the score of a text in which no voter votes. Repeated rows give repeated rows; of several labels of a
+    Null and empty texts get the score of a text in which no voter votes; very long texts are read whole; an empty table gives an empty one. Repeated rows give repeated rows; of several labels of a
     document the largest counts; null labels don't. Other columns are not read.
     """
     model = fit(docs, labels)

@@ -23,7 +23,7 @@ PATTERNS = (
     ("block", "/banner/*/ad^"), ("block", "/popunder/"), ("block", "||tracker."), ("block", "/adframe."), ("block", "^affiliate^"),
     ("allow", "||ads-track.example.org/opt-out^"), ("block", "||casino."), ("block", "/torrent/*.exe|"), ("block", "||adult."), ("block", "-sponsored-"),
 )
-#: Most rules that an index may hold: it is sent to every executor.
+#: Most rules whose index is sent to every executor; a larger index is shuffled.
 MAX_RULES = 200_000
 DEFAULT_VERDICT = "allow"
 
@@ -81,26 +81,25 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str =
 
     ``rule`` is the longest fitting rule of the host and path list (ties: block, then name), else null; without one the
     longest fitting pattern decides (ties likewise), else ``default``. Null urls and urls without ``://`` have an empty
-    host and path and get the default. Repeated rows are judged each. Other columns of ``pages`` are not read.
+    host and path and get the default. Repeated rows are judged each; very long urls whole; an empty table gives an empty one. Other columns of ``pages`` are not read.
     """
     spark = pages.sparkSession
     rules = default_rules() if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; an index holds {MAX_RULES} at most")
     scheme, host, path = url_parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), scheme.alias("scheme"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
 
-    wanted = sorted({t for r in rules for t in r.tokens})
+    # tokens of rules, counted among the urls: one row a token of the rules
+    sent = F.broadcast if len(rules) <= MAX_RULES else (lambda df: df)
+    wanted = [(t,) for t in sorted({t for r in rules for t in r.tokens})]
     tokens = rows.select(F.explode(url_tokens(F.concat("scheme", "host", "path"))).alias("token"))
-    counts = {r.token: r["count"] for r in tokens.filter(F.col("token").isin(wanted)).groupBy("token").count().collect()} if wanted else {}
+    counts = {r.token: r["count"] for r in tokens.join(sent(spark.createDataFrame(wanted, "token string")), "token").groupBy("token").count().collect()}
     index, always = [], []
     for r in rules:
         rarest = min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=None)
         (always if rarest is None else index).append((rarest or "", r.name, r.verdict, r.regex, r.listed))
     schema = "token string, name string, rule_verdict string, regex string, listed boolean"
     # rules without a sure token are candidates of every url: indexed under the empty token, which every url gets
-    indexed = F.broadcast(spark.createDataFrame(index + always, schema))
+    indexed = sent(spark.createDataFrame(index + always, schema))
 
     url = F.concat("scheme", "host", "path")
     tokens_of = F.array_union(url_tokens(url), F.array(F.lit("")))
@@ -109,12 +108,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str =
         .filter(F.rlike(F.when(F.col("listed"), F.concat("host", "path")).otherwise(url), F.col("regex")))
     )
     strength = F.struct(F.length("name").alias("n"), (F.col("rule_verdict") == "block").alias("b"), F.col("name").alias("name"), F.col("rule_verdict").alias("v"))
-    kept = rows.select("row", "page_id", "host", "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("rule_verdict"), F.lit(None).cast("boolean").alias("listed"))
+    # equal rows are judged together and counted; a rule's match adds nothing to the count
+    same = ["page_id", "scheme", "host", "path"]
+    kept = rows.select(*same, F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("rule_verdict"), F.lit(None).cast("boolean").alias("listed"), F.lit(1).alias("one"))
     best = (
-        found.select(kept.columns).union(kept).groupBy("row", "page_id", "host", "path")
-        .agg(F.max(F.when(F.col("listed"), strength)).alias("r"), F.max(F.when(~F.col("listed"), strength)).alias("p"))
+        found.withColumn("one", F.lit(0)).select(kept.columns).union(kept).groupBy(*same)
+        .agg(F.max(F.when(F.col("listed"), strength)).alias("r"), F.max(F.when(~F.col("listed"), strength)).alias("p"), F.sum("one").cast("int").alias("copies"))
     )
-    return best.select(
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         "page_id", "host", "path", F.col("r.name").alias("rule"),
         F.coalesce("r.v", "p.v", F.lit(default)).alias("verdict"), F.col("p.name").alias("pattern"),
     )

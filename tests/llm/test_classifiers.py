@@ -102,3 +102,44 @@ def test_quality_learns_from_long_documents(spark):
     assert field is not None
     score = field.score([good[0][1], bad[0][1]])
     assert score[0] > 0.7 and score[1] < 0.3
+
+
+def test_long_documents_teach(spark):
+    """Documents of more lines than a model's bound, the bad ones junk throughout."""
+    from privloom.llm import quality_op
+
+    rows = [(i, "\n".join([f"The report of day {j} was read and filed in the {i}th room." for j in range(8)]), 1) for i in range(30)]
+    rows += [(100 + i, "\n".join([f"{j}|{i}|##|{j * 7}|==" for j in range(1500)]), 0) for i in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality_op.classify(docs, labels).collect()}
+    assert all(got[d] == q for d, _, q in rows)
+
+
+def test_label_model_on_few_voters():
+    """Expectation maximisation against the same steps written out row by row."""
+    import math
+
+    import numpy as np
+
+    from privloom.llm.toxic_op import LabelModel
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(400) < 0.3
+    votes = np.column_stack([np.where(truth, rng.random(400) < a, rng.random(400) < b) for a, b in ((0.8, 0.05), (0.7, 0.1), (0.6, 0.02))]).astype(float)
+    start = np.where(votes.any(1), 0.9, 0.02)
+    model = LabelModel.fit(votes, 0.3, start, ~truth)
+    post = start.tolist()
+    for _ in range(50):
+        one, zero = sum(post), sum(1 - p for p in post)
+        yes = [(sum(p * v[j] for p, v in zip(post, votes)) + 0.05) / (one + 1) for j in range(3)]
+        no = [max((sum((1 - p) * v[j] for p, v in zip(post, votes)) + 4) / (zero + 4), (votes[~truth, j].sum() + 4) / ((~truth).sum() + 4)) for j in range(3)]
+        new = [1 / (1 + math.exp(-(math.log(0.3 / 0.7) + sum(v[j] * math.log(yes[j] / no[j]) for j in range(3))))) for v in votes]
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-4
+        post = new
+        if done:
+            break
+    assert np.allclose(model.posterior(votes), post, atol=1e-6) and (model.weight == 1).all()
+    assert np.mean((model.posterior(votes) > 0.5) == truth) > 0.85
+    twice = LabelModel.fit(np.column_stack([votes, votes[:, 0]]), 0.3, start)
+    assert twice.weight[0] == twice.weight[3] and twice.weight[0] < 0.55

@@ -35,4 +35,42 @@ def test_filters_have_no_false_negatives():
         found = np.bitwise_and.reduce([f.masks[lang_op.slots_of(grams[name], i, len(f.masks))] for i in range(lang_op.HASHES)])
         assert (found >> np.uint64(bit) & np.uint64(1)).all()
     assert (f.wrong < 0.001).all()
-    assert "".join(lang_op.blocks("ab " * 400_000)) == "ab " * 400_000
+    assert "".join(p.text for p in lang_op.blocks("ab " * 400_000)) == "ab " * 400_000
+
+
+def test_blocks_give_the_grams_of_the_whole():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("abcdé  .-1İΣ"), rng.integers(0, 60)))
+        whole = np.sort(lang_op.grams([text])[1])
+        for size in (5, 8, 13, 40):
+            parts = list(lang_op.blocks(text, size))
+            assert (np.sort(np.concatenate([lang_op.grams([p])[1] for p in parts] or [np.zeros(0, np.uint64)])) == whole).all(), (text, size)
+            assert not parts or (np.sort(lang_op.grams(parts)[1]) == whole).all()
+
+
+def test_counts_against_exact_sets():
+    """Never fewer than the exact counts, and after the correction about as many; more languages than a word has bits."""
+    rng = np.random.default_rng(2)
+    names = [f"l{i:03d}" for i in range(150)]
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for n in names}
+    sets = {n: np.unique(lang_op.grams([" ".join(w)])[1]) for n, w in words.items()}
+    f = lang_op.LanguageFilters.build(sets, 1 << 12)
+    texts = [" ".join(words[names[i]][:10] + words[names[i + 1]][:5]) for i in range(0, 140, 7)]
+    n, hits = f.counts(texts)
+    for i, text in enumerate(texts):
+        h = lang_op.grams([text])[1]
+        exact = np.array([np.isin(h, sets[name]).sum() for name in names])
+        assert n[i] == len(h) and (hits[i] >= exact).all()
+        assert np.abs(np.clip((hits[i] / n[i] - f.wrong) / (1 - f.wrong), 0, 1) - exact / n[i]).max() < 0.15
+    assert f.predict([" ".join(words["l149"])])[0] == ["l149"]
+
+
+def test_many_languages_are_learned(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(20)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words, 30)), f"l{i:02d}") for j in range(6)]
+    got = {r.doc_id: r for r in lang_op.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([got[d].lang_pred == lang for d, _, lang in rows]) > 0.95

@@ -47,3 +47,10 @@ def test_query_against_sql(spark, sf_dir):
     got = [tuple(r) for r in url_op.op3_url_filter(spark, sf_dir).collect()]
     key = lambda r: [str(x) for x in r]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_index_beyond_a_broadcast_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(url_op, "MAX_RULES", 3)
+    rows = [(1, "http://ads.example.net/x")] * 3 + [(1, None), (2, "http://a.org/fr/b"), (2, "http://a.org/fr/b")]
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in url_op.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got == [(1, "", "allow")] + [(1, "net/", "block")] * 3 + [(2, "org/fr/", "allow")] * 2
