@@ -12,7 +12,7 @@ from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
 from privloom.operators.counts import pairwise_mi
-from privloom.operators.privacy import SecureNoise, rho_of
+from privloom.operators.privacy import SecureNoise, information_sensitivity, rho_of
 from privloom.schema import Schema
 
 
@@ -72,7 +72,9 @@ class NetworkEngine:
     def fit(self, df: DataFrame, schema: Schema) -> "NetworkEngine":
         schema.check_rows(df.count())
         self.codec = Codec(schema)
-        self.net = N.fit(self.codec.encode(df).persist(), self.codec.sizes(), list(schema.kinds), self.epsilon, self.most_parents, self.alpha, self.noise)
+        coded = self.codec.encode(df).persist()
+        self.net = N.fit(coded, self.codec.sizes(), list(schema.kinds), self.epsilon, self.most_parents, self.alpha, self.noise)
+        coded.unpersist()
         return self
 
     def sample(self, spark: SparkSession, n: int, seed: str = "sample") -> DataFrame:
@@ -86,7 +88,7 @@ class NetworkEngine:
 
 @dataclass
 class GraphicalEngine:
-    """Pairs chosen by the exponential mechanism on normalised information, Gaussian marginals under zCDP, a fitted graphical model."""
+    """Pairs chosen by the exponential mechanism on mutual information, Gaussian marginals under zCDP, a fitted graphical model."""
 
     epsilon: float | None = 1.0
     delta: float = 1e-5
@@ -94,16 +96,17 @@ class GraphicalEngine:
     noise: SecureNoise = field(default_factory=SecureNoise)
 
     def fit(self, df: DataFrame, schema: Schema) -> "GraphicalEngine":
-        schema.check_rows(df.count())
+        rows = df.count()
+        schema.check_rows(rows)
         self.codec = Codec(schema)
         coded = self.codec.encode(df).persist()
         names = list(schema.kinds)
         scores = {}
         if len(names) > 1:
             for r in pairwise_mi(coded, names).collect():  # a row for each pair
-                scores[r.a, r.b] = r.mi / (r.ha * r.hb) ** 0.5 if r.ha > 0 and r.hb > 0 else 0.0
+                scores[r.a, r.b] = r.mi
         half = self.epsilon / 2 if self.epsilon else None
-        cliques = G.greedy_cliques(scores, names, half, noise=self.noise)
+        cliques = G.greedy_cliques(scores, names, half, information_sensitivity(rows), self.noise)
         domain = G.Domain(self.codec.sizes())
         measured = G.measure(coded, domain, [*cliques, *[(n,) for n in names]], half, self.delta, self.noise)
         self.model = G.Model(domain, cliques, G.total_of(measured))

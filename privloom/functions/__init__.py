@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for a missing value: fixed values.
 MISSING_TOKENS = ("", "na", "n/a", "null", "none", "nan")
-#: GUID spellings: hyphenated of versions 1 to 5, 32 digits, in braces, as urn.
-GUID = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|\{[0-9a-fA-F-]{36}\}|urn:uuid:[0-9a-fA-F-]{36})$"
+#: A GUID of versions 1 to 5 with hyphens; also in braces, as urn, or as 32 digits.
+_HYPHENATED = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"
+GUID = rf"^(?:{_HYPHENATED}|\{{{_HYPHENATED}\}}|urn:uuid:{_HYPHENATED}|[0-9a-fA-F]{{32}})$"
 
 
 def number(c: Column) -> Column:

@@ -295,7 +295,7 @@ def greedy_cliques(scores: dict[tuple[str, str], float], names: Sequence[str], e
         edges = [(a, b) for a in joined for b in names if b not in joined]
         values = np.array([score(a, b) for a, b in edges])
         if epsilon:
-            p = exponential_probabilities(values, epsilon / max(len(names) - 1, 1), sensitivity)
+            p = exponential_probabilities(values, epsilon / len(names), sensitivity)
             pick = int(np.searchsorted(np.cumsum(p), noise.uniform()))
         else:
             pick = int(values.argmax())

@@ -20,27 +20,44 @@ def _q(name: str) -> Column:
 
 
 def measures(name: str, kind: T.DataType) -> dict[str, Column]:
-    """What the rules need of one column."""
+    """What the rules need of one column, but for distinct values. Numbers are not spelled out to be parsed again."""
     c, text = _q(name), _q(name).cast("string")
-    x = number(text) if not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)) else F.lit(None).cast("double")
+    if isinstance(kind, T.NumericType):
+        x = c.cast("double")
+        x = F.when(~F.isnan(x), x) if isinstance(kind, (T.DoubleType, T.FloatType)) else x
+    elif isinstance(kind, T.StringType):
+        x = number(text)
+    else:
+        x = F.lit(None).cast("double")
     finite = F.when(F.abs(x) != float("inf"), x)
     whole = F.abs(finite - F.rint(finite)) <= 1e-8 + 1e-5 * F.abs(F.rint(finite))
+    # a number is no GUID unless it has 32 digits, which of numbers only decimals can have
+    guid = F.trim(text).rlike(GUID) if isinstance(kind, (T.StringType, T.DecimalType)) else F.lit(False)
     return {
         "missing": F.avg(c.isNull().cast("int")),
-        "n_distinct": F.count_distinct(c),
-        "guid_share": F.avg(F.when(c.isNotNull(), F.trim(text).rlike(GUID).cast("int"))),
+        "guid_share": F.avg(F.when(c.isNotNull(), guid.cast("int"))),
         "number_share": F.avg(x.isNotNull().cast("int")),
         "lo": F.min(finite), "hi": F.max(finite),
         "integer_like": F.min(whole.cast("int")),
     }
 
 
+def _by_column(df: DataFrame, names: Sequence[str], of) -> DataFrame:
+    structs = [F.struct(F.lit(n).alias("column"), *[v.alias(k) for k, v in of(n).items()]).alias(f"c{i}") for i, n in enumerate(names)]
+    return df.agg(*structs).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("m")).select("m.*")
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row a column: missing share, distinct values, GUID and number shares, finite bounds, whether all numbers are whole."""
+    """One row a column: missing share, distinct values, GUID and number shares, finite bounds, whether all numbers are whole.
+
+    Distinct values are an aggregation of their own: beside the others each row would be copied for every column with all they need.
+    """
     names = list(columns or df.columns)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    structs = [F.struct(F.lit(n).alias("column"), *[v.alias(k) for k, v in measures(n, kinds[n]).items()]).alias(f"c{i}") for i, n in enumerate(names)]
-    return df.agg(*structs).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("m")).select("m.*")
+    plain = _by_column(df, names, lambda n: measures(n, kinds[n]))
+    distinct = _by_column(df.select(*[_q(n) for n in names]), names, lambda n: {"n_distinct": F.count_distinct(_q(n))})
+    out = plain.join(F.broadcast(distinct), "column")  # a row a column
+    return out.select("column", "missing", "n_distinct", "guid_share", "number_share", "lo", "hi", "integer_like")
 
 
 def bounds(lo: Column, hi: Column, pad: float, integer: bool) -> tuple[Column, Column]:
@@ -51,6 +68,16 @@ def bounds(lo: Column, hi: Column, pad: float, integer: bool) -> tuple[Column, C
     return (F.floor(low).cast("double"), F.ceil(high).cast("double")) if integer else (low, high)
 
 
+def log_bucket(x: Column, n: int = 32) -> Column:
+    """The bin of a value among -2^(n-1) ... -1, 0, 1 ... 2^(n-1); null outside. Each bin holds its lower edge."""
+    size = F.abs(x)
+    up = F.when(size < 1, 0).otherwise(F.floor(F.log2(size)).cast("int") + 1)  # between powers of two
+    exact = F.pow(F.lit(2.0), (up - 1).cast("double")) == size
+    down = F.when(size <= 1, 0).otherwise(F.when(exact, up - 1).otherwise(up))
+    at = F.when(x >= 0, F.lit(n) + up).otherwise(F.lit(n - 1) - down)
+    return F.when((at >= 0) & (at < 2 * n), at)
+
+
 def levels(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
     """(column, categories): sorted distinct texts of the columns that have ``most`` or fewer."""
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("v")) for c in columns])).alias("e")).select("e.*")
@@ -75,6 +102,13 @@ def bowley(df: DataFrame, column: str) -> DataFrame:
     return one.select(F.when((F.col("n") >= 4) & (q3 - q1 >= 1e-10), (q3 + q1 - 2 * q2) / (q3 - q1)).otherwise(0.0).alias("skew"))
 
 
+def optimal_bins(n: int, epsilon: float | None = None, most: int | None = None) -> int:
+    """Bins of a histogram of ``n`` rows: 2 n^(1/3), damped by the logistic of epsilon (five at least), and ``most`` at most."""
+    bins = 2 * n ** (1 / 3)
+    bins = bins if epsilon is None else max(bins / (1 + math.exp(-epsilon)), 5)
+    return math.ceil(bins if most is None else min(bins, most))
+
+
 def sturges(n: int, cap: int) -> int:
     return max(5, min(math.ceil(math.log2(max(n, 1)) + 1), cap))
 

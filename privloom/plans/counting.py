@@ -165,11 +165,23 @@ def _(spark, read):
     return m.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select(F.col("b").alias("child"), F.col("a").alias("parent"), "rank")
 
 
-@query("dp_exp_mech_C", f"WITH {_nmi_sql()}, z AS (SELECT a, b, exp(mi * 1.0 / (2 * 0.25)) AS e FROM m) SELECT a, b, {r('e / sum(e) OVER ()', 'p')} FROM z")
-def _(spark, read):
-    """Chances of the exponential mechanism over candidate edges, at epsilon 1 and sensitivity 0.25."""
-    m = C.pairwise_mi(read("lineitem"), _COLS).withColumn("e", F.exp(F.col("mi") * F.lit(1.0 / 0.5)))
-    return rounded(m.select("a", "b", (F.col("e") / F.sum("e").over(Window.partitionBy(F.lit(1)))).alias("p")))
+@query("dp_exp_mech_C", f"""WITH {_nmi_sql()}, t AS (SELECT count(*)::DOUBLE AS t, {", ".join(f"count(DISTINCT {c}) AS d_{c}" for c in _COLS)} FROM lineitem),
+s AS (SELECT a, b, mi, t, least({", ".join(f"CASE WHEN a = '{c}' OR b = '{c}' THEN d_{c} ELSE 99 END" for c in _COLS)}) <= 2 AS two FROM m, t),
+z AS (SELECT a, b, mi / (2 * 3 * CASE WHEN two THEN ln(t) / t + (t - 1) / t * ln(t / (t - 1)) ELSE 2 / t * ln((t + 1) / 2) + (1 - 1 / t) * ln(1 + 2 / (t - 1)) END / 0.01) AS x FROM s),
+e AS (SELECT a, b, exp(x - max(x) OVER ()) AS e FROM z) SELECT a, b, {r('e / sum(e) OVER ()', 'p')} FROM e""")
+def _(spark, read):
+    """Chances of the exponential mechanism over candidate edges at epsilon 0.01: the sensitivity is less where a column has two values, and the
+    budget is shared by the edges of a tree."""
+    df = read("lineitem").select(*_COLS)
+    m = C.pairwise_mi(df, _COLS)
+    sizes = df.agg(F.count("*").cast("double").alias("t"), *[F.count_distinct(c).alias(f"d_{c}") for c in _COLS])
+    t = F.col("t")
+    two = F.least(*[F.when((F.col("a") == c) | (F.col("b") == c), F.col(f"d_{c}")).otherwise(99) for c in _COLS]) <= 2
+    reach = F.when(two, F.log(t) / t + (t - 1) / t * F.log(t / (t - 1))).otherwise(2 / t * F.log((t + 1) / 2) + (1 - 1 / t) * F.log1p(2 / (t - 1)))
+    scored = m.join(F.broadcast(sizes)).withColumn("x", F.col("mi") / (2 * (len(_COLS) - 1) * reach / F.lit(0.01)))
+    top = scored.agg(F.max("x").alias("top"))
+    e = scored.join(F.broadcast(top)).withColumn("e", F.exp(F.col("x") - F.col("top")))  # a row a pair
+    return rounded(e.join(F.broadcast(e.agg(F.sum("e").alias("all")))).select("a", "b", (F.col("e") / F.col("all")).alias("p")))
 
 
 @query("dp_heavy_hitters", "SELECT b::INT AS bucket, count(p_partkey) AS n FROM range(0, 64) v(b) LEFT JOIN part ON (('0x' || substr(md5(p_type), 1, 8))::BIGINT % 64) = b GROUP BY b")

@@ -1,5 +1,7 @@
 """Queries over models: measured marginals, conditional tables, fitted models and their samples."""
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -8,6 +10,7 @@ from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
 from privloom.operators.counts import contingency, pairwise_mi
+from privloom.operators.privacy import most_parents_useful
 from privloom.plans.base import query, r, rounded
 from privloom.streaming import windowed_counts
 
@@ -33,18 +36,24 @@ def _(spark, read):
     return rounded(cells.select("f", "s", (F.col("m") / F.sum("m").over(Window.partitionBy("f"))).alias("p")))
 
 
-@query("dp_exp_mech_B", """WITH c AS (SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS n FROM orders GROUP BY 1, 2), p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY x) / sum(n) OVER () AS px, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS py, sum(n) OVER () AS t FROM c),
-m AS (SELECT greatest(sum(p * log2(p / (px * py))), 0) AS mi, max(t)::DOUBLE AS t FROM p), z AS (SELECT mi, 2 / t * log2((t + 1) / 2) + (t - 1) / t * log2((t + 1) / (t - 1)) AS d FROM m)
-SELECT round(1 / (1 + exp(-mi / (2 * d))), 6) + 0.0 AS p FROM z""")
+@query("dp_exp_mech_B", f"""WITH c AS (SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS n FROM orders GROUP BY 1, 2), p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY x) / sum(n) OVER () AS px, sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS py, sum(n) OVER () AS t FROM c),
+m AS (SELECT greatest(sum(p * log2(p / (px * py))), 0) AS mi, max(t)::DOUBLE AS t FROM p), z AS (SELECT mi, (2 / t * ln((t + 1) / 2) + (1 - 1 / t) * ln(1 + 2 / (t - 1))) / (1.0 / 2) AS d FROM m)
+SELECT {r('1 / (1 + exp(-mi / (2 * d)))', 'p')} FROM z""")
+def _(spark, read):
+    """The chance that the exponential mechanism at epsilon 1, over two columns, takes an edge with its information in bits rather than one without."""
+    m = pairwise_mi(read("orders"), ["o_orderstatus", "o_orderpriority"])
+    n = read("orders").agg(F.count("*").cast("double").alias("t"))
+    t = F.col("t")
+    reach = 2 / t * F.log((t + 1) / 2) + (1 - 1 / t) * F.log1p(2 / (t - 1))  # of the information, in nats
+    score = F.col("mi") / F.lit(math.log(2)) * F.lit(1.0 / 2) / (2 * reach)
+    return rounded(m.join(F.broadcast(n)).select((1 / (1 + F.exp(-score))).alias("p")))
+
+
+@query("C_K", f"""SELECT CASE WHEN n * 0.1 / ((9 - 3) * pow(2, 3 + 3)) > 5 THEN 3 ELSE (SELECT min(k) FROM range(1, 8) v(k) WHERE n * 0.1 / ((9 - k) * pow(2, k + 3)) <= 5) END::INT AS k FROM (SELECT count(*) AS n FROM orders)""")
 def _(spark, read):
-    """The chance that the exponential mechanism at epsilon 1 takes an edge rather than one without information."""
-    from privloom.operators.privacy import exponential_probabilities, information_sensitivity
-
-    df = read("orders")
-    row = pairwise_mi(df, ["o_orderstatus", "o_orderpriority"]).first()  # one pair
-    n = df.count()
-    p = exponential_probabilities([row.mi / 0.6931471805599453, 0.0], 1.0, information_sensitivity(n, False))
-    return rounded(spark.createDataFrame([(float(p[0]),)], "p double"))
+    """The most parents of a node whose tables are useful, for the rows and nine columns of orders at epsilon 0.1."""
+    n = read("orders").count()
+    return spark.createDataFrame([(most_parents_useful(n, 9, 0.1),)], "k int")
 
 
 @query("B_sample")

@@ -1,11 +1,17 @@
 """Queries over profiling and encoding."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from privloom.functions import bucket, clip, edges, hash_uniform, number
+from privloom.operators import counts as C
 from privloom.operators import encode as E
+from privloom.operators import inference as I
+from privloom.operators import privacy
 from privloom.operators import profile as P
 from privloom.plans.base import query, r, rounded, sql_bucket
+from privloom.schema import Schema
 
 _LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber")
 
@@ -101,9 +107,22 @@ def _(spark, read):
     return survival(read).agg(F.ceil(F.max("t")).alias("tau"))
 
 
-@query("prof_type_rules", "SELECT * FROM (VALUES ('l_quantity', 'integer'), ('l_extendedprice', 'continuous'), ('l_discount', 'continuous'), ('l_returnflag', 'categorical'), ('l_linenumber', 'ordinal'), ('l_shipdate', 'integer')) v(\"column\", type)")
+_TYPED = ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber", "l_shipdate")
+
+
+def _types_sql() -> str:
+    each = " UNION ALL ".join(
+        f"SELECT '{c}' AS c, typeof(any_value({c})) AS t, count(DISTINCT {c}) AS d, count(TRY_CAST({c}::VARCHAR AS DOUBLE)) / count(*) AS s, min(TRY_CAST({c}::VARCHAR AS DOUBLE)) AS lo, "
+        f"max(TRY_CAST({c}::VARCHAR AS DOUBLE)) AS hi, bool_and(abs(TRY_CAST({c}::VARCHAR AS DOUBLE) - round(TRY_CAST({c}::VARCHAR AS DOUBLE))) <= 1e-8 + 1e-5 * abs(round(TRY_CAST({c}::VARCHAR AS DOUBLE)))) AS w FROM lineitem"
+        for c in _TYPED
+    )
+    return f"""SELECT c AS "column", CASE WHEN d <= 1 THEN 'constant' WHEN t LIKE 'TIMESTAMP%' OR t = 'DATE' THEN 'integer' WHEN s >= 0.95 AND w AND d = 2 THEN CASE WHEN lo = 0 AND hi = 1 THEN 'binary' ELSE 'categorical' END
+WHEN s >= 0.95 AND w AND d <= 20 THEN 'ordinal' WHEN s >= 0.95 AND w THEN 'integer' WHEN s >= 0.95 THEN 'continuous' ELSE 'categorical' END AS type FROM ({each})"""
+
+
+@query("prof_type_rules", _types_sql())
 def _(spark, read):
-    return P.column_types(read("lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber", "l_shipdate"))
+    return P.column_types(read("lineitem").select(*_TYPED))
 
 
 @query("prof_sensitivity", "SELECT 'l_quantity' AS \"column\", greatest(max(l_quantity) - min(l_quantity), 1) AS gamma FROM lineitem UNION ALL SELECT 'l_discount', 1.0 UNION ALL SELECT 'l_returnflag', 2.0")
@@ -216,6 +235,75 @@ def _(spark, read):
     return E.reindex(read("customer"), [("c_custkey", "long"), ("age", "double"), ("c_acctbal", "double")])
 
 
-@query("val_data", "SELECT count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'FURNITURE')) AS undeclared, count(*) FILTER (WHERE c_acctbal < 0 OR c_acctbal > 9000) AS outside FROM customer")
+@query("val_data", """SELECT 'c_mktsegment' AS "column", count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'FURNITURE')) AS undeclared, 0 AS below, 0 AS above, 0 AS not_number FROM customer
+UNION ALL SELECT 'c_acctbal', 0, count(*) FILTER (WHERE c_acctbal < 0), count(*) FILTER (WHERE c_acctbal > 9000), 0 FROM customer
+UNION ALL SELECT 'c_nationkey', count(*) FILTER (WHERE c_nationkey NOT IN (0, 1, 2, 3)), 0, 0, 0 FROM customer""")
+def _(spark, read):
+    """Rules of a schema that the rows break, column by column."""
+    schema = Schema({"c_mktsegment": "categorical", "c_acctbal": "continuous", "c_nationkey": "ordinal"}, {"c_acctbal": (0.0, 9000.0)}, categories={"c_mktsegment": ["BUILDING", "FURNITURE"], "c_nationkey": ["0", "1.0", "2", "3"]})
+    return I.validate_rows(schema, read("customer")).drop("levels")
+
+
+# ---- what private profiling measures, before noise
+
+@query("dp_approx_bounds", """WITH e AS (SELECT i, CASE WHEN i < 32 THEN -(2.0 ** (31 - i)) WHEN i = 32 THEN 0 ELSE 2.0 ** (i - 33) END AS x FROM range(65) r(i)),
+b AS (SELECT a.i, a.x AS lo, b.x AS hi FROM e a JOIN e b ON b.i = a.i + 1)
+SELECT i::INT AS bucket, count(c_acctbal) AS n FROM b LEFT JOIN customer ON c_acctbal >= lo AND (c_acctbal < hi OR (c_acctbal = hi AND i = 63 AND false)) GROUP BY i""")
+def _(spark, read):
+    """Counts over signed powers of two, empty bins too: what the noisy bounds are read from."""
+    return C.histogram(read("customer"), P.log_bucket(F.col("c_acctbal")), 64).withColumnRenamed("code", "bucket")
+
+
+@query("dp_missing", f"SELECT 'v' AS \"column\", {r('avg((v IS NULL)::INT)', 'rate')}, {r('1.0 / count(*)', 'sensitivity')}, {r('1.0 / count(*) / (0.1 * 1.0)', 'scale')} FROM (SELECT nullif(l_linenumber, 3) AS v FROM lineitem)")
+def _(spark, read):
+    """Missing rates with the noise scale of a tenth of the budget: one row changes a rate by 1 / n."""
+    df = read("lineitem").select(F.nullif(F.col("l_linenumber"), F.lit(3)).alias("v"))
+    share = privacy.split_budget(1.0, 1)["missing"]
+    return rounded(df.agg(F.avg(F.col("v").isNull().cast("int")).alias("rate"), (F.lit(1.0) / F.count("*")).alias("sensitivity")).select(F.lit("v").alias("column"), "rate", "sensitivity", (F.col("sensitivity") / F.lit(share)).alias("scale")))
+
+
+@query("dp_nrecords", f"SELECT count(*) AS n, {r('1.0 / (0.05 * 1.0)', 'scale')} FROM orders")
+def _(spark, read):
+    """The record count with the noise scale of a twentieth of the budget."""
+    return rounded(read("orders").agg(F.count("*").alias("n")).withColumn("scale", F.lit(1 / privacy.split_budget(1.0, 1)["n_records"])))
+
+
+@query("dp_bounds_range", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, {r(f'(max({c}) - min({c})) / (0.5 / 2)', 'scale')} FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def _(spark, read):
+    """Bounds with the scale of the noise that widens them, half of the budget for each end."""
+    p = P.profile(read("lineitem").select("l_quantity", "l_extendedprice", "l_discount"))
+    return rounded(p.select("column", "lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(0.5 / 2)).alias("scale")))
+
+
+@query("dp_bowley", f"SELECT {r('q[1]', 'q1')}, {r('q[2]', 'q2')}, {r('q[3]', 'q3')}, n, {r('3 * (50.0 - 1.0) / n / 0.5', 'scale')} FROM (SELECT quantile_cont(greatest(least(l_quantity, 50.0), 1.0), [0.25, 0.5, 0.75]) AS q, count(l_quantity) AS n FROM lineitem)")
+def _(spark, read):
+    """Quartiles within public bounds and the scale of their noise, a third of the budget each."""
+    one = read("lineitem").agg(F.percentile(clip(F.col("l_quantity"), 1.0, 50.0), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("l_quantity").alias("n"))
+    return rounded(one.select(*[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)], "n", (F.lit(3 * 49.0 / 0.5) / F.col("n")).alias("scale")))
+
+
+@query("enc_bins_auto", "SELECT o_orderstatus, ceil(least(greatest(2 * count(*) ** (1.0 / 3) / (1 + exp(-0.5)), 5), 40))::BIGINT AS bins FROM orders GROUP BY 1")
+def _(spark, read):
+    """Histogram bins of each group, damped by a budget of one half."""
+    n = F.count("*").cast("double")
+    damped = F.greatest(2 * F.pow(n, F.lit(1.0 / 3)) / F.lit(1 + math.exp(-0.5)), F.lit(5.0))
+    return read("orders").groupBy("o_orderstatus").agg(F.ceil(F.least(damped, F.lit(40.0))).alias("bins"))
+
+
+@query("temperature", f"WITH p AS (SELECT o_orderpriority AS v, count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY 1) SELECT v, {r('p ** (1 / 0.5) / sum(p ** (1 / 0.5)) OVER ()', 'p')} FROM p")
+def _(spark, read):
+    """Shares sharpened by a temperature of one half."""
+    cells = read("orders").groupBy(F.col("o_orderpriority").alias("v")).agg(F.count("*").alias("n"))  # a row a value
+    cells = cells.groupBy().agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("c"))
+    power = F.transform("c", lambda x: F.pow(x["n"] / F.aggregate("c", F.lit(0.0), lambda s, y: s + y["n"]), F.lit(1 / 0.5)))
+    out = cells.select("c", power.alias("w")).select(F.explode(F.arrays_zip("c", "w")).alias("e"), F.aggregate("w", F.lit(0.0), lambda s, y: s + y).alias("t"))
+    return rounded(out.select(F.col("e.c.v").alias("v"), (F.col("e.w") / F.col("t")).alias("p")))
+
+
+@query("prof_constraints", """SELECT 'l_quantity' AS "column", 'integer' AS type, min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi, NULL::VARCHAR[] AS allowed FROM lineitem
+UNION ALL SELECT 'l_discount', 'continuous', min(l_discount), max(l_discount), NULL FROM lineitem UNION ALL SELECT 'l_returnflag', 'categorical', NULL, NULL, list_sort(list(DISTINCT l_returnflag)) FROM lineitem""")
 def _(spark, read):
-    return read("customer").agg(F.count_if(~F.col("c_mktsegment").isin("BUILDING", "FURNITURE")).alias("undeclared"), F.count_if(clip(F.col("c_acctbal"), 0, 9000) != F.col("c_acctbal")).alias("outside"))
+    """Column rules of the inferred document."""
+    rules = I.infer(read("lineitem").select("l_quantity", "l_discount", "l_returnflag"))["constraints"]["column_constraints"]  # a rule a column
+    rows = [(c, r["type"], r.get("min"), r.get("max"), r.get("allowed_values")) for c, r in rules.items()]
+    return spark.createDataFrame(rows, "column string, type string, lo double, hi double, allowed array<string>")

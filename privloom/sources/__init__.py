@@ -110,17 +110,17 @@ def read_model(spark: SparkSession, path: str) -> Network:
     return net
 
 
-def latex_table(df: DataFrame, columns: Sequence[str], digits: int = 3, most: int = 1_000) -> str:
+def latex_table(df: DataFrame, columns: Sequence[str], digits: int = 3) -> str:
     """The rows of a small result as a LaTeX tabular."""
     cell = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_")
-    body = "\n".join(" & ".join(cell(r[c]) for c in columns) + r" \\" for r in df.select(*columns).limit(most).collect())
+    body = "\n".join(" & ".join(cell(r[c]) for c in columns) + r" \\" for r in df.select(*columns).toLocalIterator())
     return "\\begin{tabular}{" + "l" * len(columns) + "}\n" + " & ".join(c.replace("_", r"\_") for c in columns) + " \\\\\n\\hline\n" + body + "\n\\end{tabular}\n"
 
 
-def markdown_table(df: DataFrame, columns: Sequence[str], digits: int = 3, most: int = 1_000) -> str:
+def markdown_table(df: DataFrame, columns: Sequence[str], digits: int = 3) -> str:
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join([*lines, *["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(most).collect()]]) + "\n"
+    return "\n".join([*lines, *["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in df.select(*columns).toLocalIterator()]]) + "\n"
 
 
 def dump(value, indent: int = 2) -> str:
