@@ -132,7 +132,7 @@ def infer(df: DataFrame, targets: Sequence[str] | None = None, survival: bool =
             continue
         lo, hi = (0.0, 1.0) if ends[c][0] is None else map(float, ends[c])
         span = hi - lo
-        by = pad * span if span > 0 else (max(abs(lo) * pad, 1.0) if pad else 0.0)
+        by = pad * span if span > 0 else max(abs(lo) * pad, 1.0)
         bounds[c] = (lo - by, hi + by)
         bins[c] = P.sturges(n, P.auto_cap(n))
     if pair and pair[1] in bounds:

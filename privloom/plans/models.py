@@ -49,7 +49,7 @@ def _(spark, read):
     return rounded(m.join(F.broadcast(n)).select((1 / (1 + F.exp(-score))).alias("p")))
 
 
-@query("C_K", f"""SELECT CASE WHEN n * 0.1 / ((9 - 3) * pow(2, 3 + 3)) > 5 THEN 3 ELSE (SELECT min(k) FROM range(1, 8) v(k) WHERE n * 0.1 / ((9 - k) * pow(2, k + 3)) <= 5) END::INT AS k FROM (SELECT count(*) AS n FROM orders)""")
+@query("C_K", f"""SELECT CASE WHEN n * 0.1 / ((9 - 3) * pow(2, 3 + 3)) > 5 OR n * 0.1 / (9 * pow(2, 3)) < 5 THEN 3 ELSE (SELECT min(k) FROM range(1, 8) v(k) WHERE n * 0.1 / ((9 - k) * pow(2, k + 3)) <= 5) END::INT AS k FROM (SELECT count(*) AS n FROM orders)""")
 def _(spark, read):
     """The most parents of a node whose tables are useful, for the rows and nine columns of orders at epsilon 0.1."""
     n = read("orders").count()
