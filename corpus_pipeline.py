@@ -17,28 +17,32 @@ LEAST_QUALITY, LEAST_LANGUAGE = 0.3, 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field doesn't reject."""
+    """Documents that the line field doesn't reject. Null and empty texts have the score of the labels' mean; without labels of both kinds all
+    stay. Very long texts are scored whole, and equal rows alike. Extra columns pass through."""
     field = quality_op.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(quality_op.quality_of(spark, field, docs["text"]) >= LEAST_QUALITY)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the filters know; texts without letters, and those that hardly fit any language, go."""
+    """Documents in a language that the filters know; null and empty texts, texts without letters, and those that hardly fit any language, go, and
+    all if no language is known. Very long texts are read whole; of two languages alike the first by name is taken."""
     found = lang_op.language_of(spark, lang_op.fit(docs), docs["text"])
     return docs.filter(F.when(found["lang"] == lang_op.UNKNOWN, 0.0).otherwise(found["score"]) >= LEAST_LANGUAGE)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one; n_chars follows the text."""
+    """Documents without the lines that repeat an earlier one; n_chars follows the text. Null texts stay null; a text of repeats alone stays as
+    an empty one. The first line by doc_id and place stays; equal rows keep the same lines."""
     return line_op.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest doc_id; one row of equal rows. Null and empty texts are one group."""
     return simhash_op.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; a null or empty text is the end id alone, a very long one many pieces."""
     return pack_op.pack(docs)
 
 
