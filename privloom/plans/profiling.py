@@ -235,7 +235,7 @@ def _(spark, read):
     return E.reindex(read("customer"), [("c_custkey", "long"), ("age", "double"), ("c_acctbal", "double")])
 
 
-@query("val_data", """SELECT 'c_mktsegment' AS "column", count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'FURNITURE')) AS undeclared, 0 AS below, 0 AS above, 0 AS not_number FROM customer
+@query("val_data", """SELECT 'c_mktsegment' AS "column", count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'FURNITURE')) AS undeclared, 0::BIGINT AS below, 0::BIGINT AS above, 0::BIGINT AS not_number FROM customer
 UNION ALL SELECT 'c_acctbal', 0, count(*) FILTER (WHERE c_acctbal < 0), count(*) FILTER (WHERE c_acctbal > 9000), 0 FROM customer
 UNION ALL SELECT 'c_nationkey', count(*) FILTER (WHERE c_nationkey NOT IN (0, 1, 2, 3)), 0, 0, 0 FROM customer""")
 def _(spark, read):
