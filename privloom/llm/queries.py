@@ -3,6 +3,7 @@
 from privloom.llm.ann_op import op1_ann
 from privloom.llm.encode_op import op7_byte_bpe
 from privloom.llm.lang_op import op6_language_id
+from privloom.llm.license_op import OP13_SQL, op13_license_scan
 from privloom.llm.line_op import op8_line_dedup
 from privloom.llm.omh_op import op2_order_minhash
 from privloom.llm.pack_op import op4_packing
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLES = {"op3_url_filter": OP3_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op13_license_scan": OP13_SQL}
