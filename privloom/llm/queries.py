@@ -8,6 +8,7 @@ from privloom.llm.line_op import op8_line_dedup
 from privloom.llm.omh_op import op2_order_minhash
 from privloom.llm.pack_op import op4_packing
 from privloom.llm.quality_op import op10_quality
+from privloom.llm.repair_op import OP12_SQL, op12_conversation_repair
 from privloom.llm.search_op import OP11_SQL, op11_lexical_search
 from privloom.llm.simhash_op import op9_simhash
 from privloom.llm.toxic_op import op5_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_license_scan": op13_license_scan,
 }
-ORACLES = {"op3_url_filter": OP3_SQL, "op11_lexical_search": OP11_SQL, "op13_license_scan": OP13_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op11_lexical_search": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_license_scan": OP13_SQL}
