@@ -4,7 +4,8 @@ Lines are compared lower-cased and with white space collapsed. One hash of each
 MinHash (empty bins borrow from the next filled one); bands of bins are candidate keys. Lines that share a key meet in a task that
 compares their shingle sets exactly and passes on a spanning forest of the pairs at or above the threshold. A key of more than a block of
 lines is dealt out anew: each line goes to one chunk, which all the key's representatives visit too, so that work grows with the
-number of lines; two similar lines in different chunks meet through a representative or under one of the other keys they share. Of each
+number of lines. Where that leaves a large key's lines in several components, these lines are looked at again by an exact prefix
+filter: two sets of given sizes that are similar enough share one of their rarest shingles, so many as the sizes allow to differ. Of each
 component of linked lines the first occurrence in the corpus (by doc_id, then place) stays.
 
 Lines are normalised, hashed and cut into shingles in Arrow batches; counting, joining and putting texts together again are DataFrame expressions.
@@ -30,6 +31,8 @@ SHINGLE, SIMILAR = 6, 0.8
 BANDS, ROWS = 14, 5
 #: Lines of a key that meet in one task; a larger key is cut into chunks of half of it, which so many representatives visit.
 BLOCK, REPRESENTATIVES = 512, 16
+#: Sizes of shingle sets within this factor are of one class; shingles are counted in so many buckets to tell the rare ones.
+SIZE_CLASS, BUCKETS = 1.06, 1 << 18
 #: Bytes that may be broadcast in a join; more are shuffled.
 SMALL = 8_000_000
 #: Characters that are hashed together (their arrays fit a core's cache), and hashes of lines that a task remembers having sent.
@@ -130,15 +133,15 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def links_of(hashes: list[int], sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose shingle sets have a Jaccard similarity of ``similar`` or more.
+def links_of(hashes: list[int], sets: list[np.ndarray], similar: float = SIMILAR, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose shingle sets have a Jaccard similarity of ``similar`` or more, over the components ``known`` so far.
 
     Sets come in the order of their sizes. Each meets those after it that are not yet in its component and not too large, all at once.
     """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
     last = np.searchsorted(sizes, sizes / similar + 1e-6, side="right")
-    label = np.arange(len(order))
+    label = np.arange(len(order)) if known is None else np.unique(np.array(known, np.int64)[order], return_inverse=True)[1]
     out = []
     for a, i in enumerate(order[:-1]):
         others = np.flatnonzero(label[a + 1 : last[a]] != label[a]) + a + 1
@@ -158,15 +161,16 @@ def links_of(hashes: list[int], sets: list[np.ndarray], similar: float = SIMILAR
 
 
 def link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows (key, chunk, lhash, line) sorted by group: whole groups, many at a time."""
+    """(a, b) from rows (key, chunk, lhash, line, component or null) sorted by group: whole groups, many at a time."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        known = {h: line for _, _, h, line in rows}
+        known = {r[2]: r[3] for r in rows}
         sets = dict(zip(known, shingle_sets(list(known.values()))))
         found: list[tuple[int, int]] = []
         for _, group in groupby(rows, key=lambda r: r[:2]):
+            group = list(group)
             hashes = [r[2] for r in group]
-            found += links_of(hashes, [sets[h] for h in hashes])
+            found += links_of(hashes, [sets[h] for h in hashes], known=None if group[0][4] is None else [r[4] for r in group])
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     open_rows: list[tuple] = []
@@ -237,8 +241,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.string())], ["lhash", "line"])
 
 
-def fuzzy_links(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): hashes of different ``lines`` (a stored ``line_table`` of ``docs``) that join them into their components."""
+def _grouped(members: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, chunk, lhash, line, component)."""
+    members = members.select("key", "chunk", "lhash", "line", "component").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    return members.mapInArrow(link_groups, "a long, b long").distinct()
+
+
+def fuzzy_links(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b): hashes of different ``lines`` (a stored ``line_table`` of ``docs``) that join them into their components, but for those that chunks of
+    large keys keep apart; (key, lhash) of the large keys; (lhash, line) of lines with keys."""
     same_key = Window.partitionBy("key")
     shared = lines.select(F.explode("keys").alias("key"), "lhash").withColumns({"lo": F.min("lhash").over(same_key), "hi": F.max("lhash").over(same_key)})
     shared = durable(shared.filter("lo < hi").select("key", "lhash").distinct(), "line_keys")
@@ -254,16 +265,102 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFr
     least = -(2**63) + F.floor(F.lit(float(REPRESENTATIVES) * 2**64) / F.col("lines")).cast("decimal(38,0)")
     chosen = large.filter(mixed.cast("decimal(38,0)") < least).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("lines") / F.lit(block // 2)).cast("int") - 1)))
     columns = ["key", "chunk", "lhash"]
-    members = (
+    each = (
         members.filter(F.col("lines") <= block).withColumn("chunk", F.lit(0)).select(columns)
         .unionByName(large.withColumn("chunk", chunk).select(columns).unionByName(chosen.select(columns)).distinct())
     )
     need = shared.select("lhash").distinct()
     need = F.broadcast(need) if 8 * need.count() <= SMALL else need
-    texts = _rows(docs).select("text").mapInArrow(_texts, "lhash long, line string").join(need, "lhash").dropDuplicates(["lhash"])
-    members = members.join(texts, "lhash").select("key", "chunk", "lhash", "line")
-    members = members.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return members.mapInArrow(link_groups, "a long, b long").distinct()
+    texts = durable(_rows(docs).select("text").mapInArrow(_texts, "lhash long, line string").join(need, "lhash").dropDuplicates(["lhash"]), "line_texts")
+    return _grouped(each.join(texts, "lhash").withColumn("component", F.lit(None).cast("long"))), large.select("key", "lhash"), texts
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in slices(batches, 0):
+        for one in shingle_sets(batch.column(0).to_pylist()):
+            np.add.at(total, (one % np.uint64(BUCKETS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+
+def _size_class(size: float) -> int:
+    return int(np.floor(np.log(size) / np.log(SIZE_CLASS) + 1e-9))
+
+
+def prefixes(one: np.ndarray, counts: np.ndarray, similar: float = SIMILAR) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(smaller class, larger class, shingles): those by which a set meets the similar sets of each class of sizes, rare ones first.
+
+    Sets of sizes s and t that are similar share similar / (1 + similar) * (s + t) shingles or more, so in one order of all shingles they share
+    one of the first s less that number, plus one. A shingle that no other set has is passed over.
+    """
+    n = len(one)
+    often = counts[(one % np.uint64(BUCKETS)).astype(np.int64)]
+    order = np.lexsort((one, often))
+    one, often = one[order], often[order]
+    own = _size_class(n)
+    for other in range(_size_class(n * similar), _size_class(n / similar) + 1):
+        least = max(similar * n, np.exp(other * np.log(SIZE_CLASS)) - 1e-6)
+        first = n - int(np.ceil(similar / (1 + similar) * (n + least) - 1e-6)) + 1
+        chosen = one[: max(first, 0)][often[: max(first, 0)] > 1]
+        if len(chosen):
+            yield min(own, other), max(own, other), chosen
+
+
+def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int = BLOCK) -> DataFrame | None:
+    """(a, b): links that join components (``joined``: id, component) whose lines share a large key; None if no large key has two components."""
+    of = F.coalesce("component", "lhash")
+    members = large.join(joined.withColumnRenamed("id", "lhash"), "lhash", "left").select("key", "lhash", of.alias("component"))
+    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    total = large.count() if large.take(1) else 0
+    if not total or not apart.take(1):
+        return None
+    open_lines = join_counted(members, apart, "key", total).select("lhash", "component").distinct()
+    open_lines = durable(open_lines.join(texts, "lhash"), "line_open")
+    counts = np.zeros(BUCKETS, np.int64)
+    found = open_lines.select("line").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    shipped = large.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2, 64):
+            keys, rows = [], []
+            for i, one in enumerate(shingle_sets(batch.column(2).to_pylist())):
+                for lo, hi, chosen in prefixes(one, shipped.value):
+                    keys.append((chosen ^ np.uint64(lo * 4096 + hi)) * np.uint64(0x9E3779B97F4A7C15))
+                    rows.append(np.full(len(chosen), i))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(at), batch.column(1).take(at)], ["key", "lhash", "component"])
+
+    rare = durable(open_lines.select("lhash", "component", "line").mapInArrow(work, "key long, lhash long, component long"), "line_rare")
+    groups = rare.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("lhash")).alias("x")).filter("lo < hi")
+    groups = groups.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"))  # the same lines once
+    held = join_counted(rare, groups.select("key", "n", F.col("n").alias("lines")), "key", rare.count())
+    # a group of more than a block in tiles, each pair of chunks in one: exact, as all its lines share their rarest shingles
+    chunks = F.ceil(F.col("lines") / F.lit(block // 2)).cast("int")
+    held = held.withColumn("chunks", F.when(F.col("lines") <= block, 1).otherwise(chunks)).withColumn("c", F.pmod(F.xxhash64("key", "lhash"), F.col("chunks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(F.col("c"), o) * F.col("chunks") + F.greatest(F.col("c"), o))
+    held = held.withColumn("chunk", F.explode(tiles)).select("key", "chunk", "lhash", "component")
+    return _grouped(held.join(texts, "lhash"))
+
+
+def line_components(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lhash, component) of the lines that are linked to others."""
+    links, large, texts = fuzzy_links(docs, lines, block)
+    joined = durable(components(links), "line_components")
+    more = rare_links(large, texts, joined, block)
+    if more is None:
+        return joined.withColumnRenamed("id", "lhash")
+    # the links that were missing are links of components
+    more = durable(more, "line_more")
+    root = joined.select(F.col("id"), F.col("component").alias("root"))
+    ends = more.join(root.withColumnRenamed("id", "a").withColumnRenamed("root", "ra"), "a", "left").join(root.withColumnRenamed("id", "b").withColumnRenamed("root", "rb"), "b", "left")
+    merged = durable(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "line_merged")
+    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    every = joined.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(joined, "id", "left_anti").withColumn("component", F.col("id")))
+    every = every.join(merged, "component", "left").select(F.col("id").alias("lhash"), F.coalesce("whole", "component").alias("component"))
+    return durable(every, "line_all_components")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -271,8 +368,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = durable(line_table(docs), "lines")
     place = F.struct("doc_id", "th", "line_no")
     distinct = lines.groupBy("lhash").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    joined = durable(components(fuzzy_links(docs, lines)), "line_components")
-    each = distinct.join(joined.withColumnRenamed("id", "lhash"), "lhash", "left").filter("n > 1 or component is not null")
+    each = distinct.join(line_components(docs, lines), "lhash", "left").filter("n > 1 or component is not null")
     each = durable(each.withColumn("component", F.coalesce("component", "lhash")), "line_firsts")
     some, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     first = each.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("n"))

@@ -61,7 +61,7 @@ def test_families_of_near_lines(spark, block, monkeypatch):
         docs.append((d, "\n".join(lines + [" ".join(rng.choice(words) for _ in range(12)), "", "ok"])))
     monkeypatch.setattr(line_op, "SMALL", 0)
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, lhash int")
-    monkeypatch.setattr(line_op, "fuzzy_links", lambda x, y, f=line_op.fuzzy_links: f(x, y, block))
+    monkeypatch.setattr(line_op, "line_components", lambda x, y, f=line_op.line_components: f(x, y, block))
     got = {r.doc_id: r.text for r in line_op.dedup_lines(df).collect()}
     assert got == brute(docs)
 
@@ -76,3 +76,24 @@ def test_edges(spark):
     twice = line_op.dedup_lines(df.union(df)).collect()
     assert len(twice) == 16 and {(r.doc_id, r.text) for r in twice} == set(got.items())
     assert line_op.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [1_000, 4_000])
+def test_one_template_for_very_many_lines(spark, pairs):
+    """All lines share their large keys; those are similar that share the first four digits, and no others."""
+    rng = random.Random(pairs)
+    stem = "this is the usual form of a report about something in the archive and its number is "
+    assert 82 <= len(stem) <= 86
+    digits = [str(rng.randrange(10**14)).zfill(14) for _ in range(pairs)]
+    digits += [d[:4] + str(rng.randrange(10**10)).zfill(10) for d in digits]
+    like = line_op.shingle_sets([stem + d for d in ("12345678901234", "12340987654321", "12300987654321")])
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert jaccard(like[0], like[1]) >= 0.8 > jaccard(like[0], like[2])
+    rng.shuffle(digits)
+    df = spark.createDataFrame([(i, stem + d) for i, d in enumerate(digits)], "doc_id long, text string")
+    seen, want = set(), 0
+    for d in digits:
+        want += d[:4] in seen
+        seen.add(d[:4])
+    removed = sum(r.n_removed for r in line_op.repeated_lines(df).collect())
+    assert want * 0.99 <= removed <= want * 1.01  # a few share more by chance
