@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from privloom.operators.prefix import scan
+
 Z95 = 1.959963984540054
 
 
@@ -57,8 +59,9 @@ def log_rank(df: DataFrame, time: str, event: str, by: str, a) -> DataFrame:
     """One row (chi2): log-rank statistic of group ``a`` against the rest."""
     rows = df.select((F.col(by) == a).cast("int").alias("g"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e")).dropna()
     cells = rows.groupBy("t").agg(F.sum("e").alias("d"), F.sum(F.col("e") * F.col("g")).alias("d1"), F.count(F.lit(1)).alias("n"), F.sum("g").alias("n1"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("t"))
-    cells = cells.withColumns({"r": F.sum("n").over(down).cast("double"), "r1": F.sum("n1").over(down).cast("double")}).filter("d > 0")
+    cells = scan(cells, "t", {"upto": F.col("n"), "upto1": F.col("n1")})
+    left = lambda total, upto, n: (F.col(total) - F.col(upto) + F.col(n)).cast("double")
+    cells = cells.withColumns({"r": left("upto_total", "upto", "n"), "r1": left("upto1_total", "upto1", "n1")}).filter("d > 0")
     share = F.col("r1") / F.col("r")
     v = F.when(F.col("r") > 1, F.col("d") * share * (1 - share) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     return cells.agg((F.pow(F.sum("d1") - F.sum(F.col("d") * share), F.lit(2.0)) / F.sum(v)).alias("chi2"))

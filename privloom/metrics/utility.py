@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import number
+from privloom.operators.prefix import scan
 
 
 def everything():
@@ -40,20 +41,19 @@ def pairwise_distance(both: DataFrame, codes: dict[str, Column]) -> DataFrame:
     return cells.groupBy("a", "b").agg((F.sum(F.abs(F.col("n0") / F.col("t0") - F.col("n1") / F.col("t1"))) / 2).alias("distance"))
 
 
-def wasserstein(both: DataFrame, column: str) -> DataFrame:
-    """One row (distance): the area between the two sides' distribution functions."""
-    cells = both.select("side", number(F.col(column)).alias("x")).dropna().groupBy("x").agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1"))
-    cells = cells.withColumns({"t0": F.sum("n0").over(everything()), "t1": F.sum("n1").over(everything())})
-    w = everything().orderBy("x")
-    cells = cells.withColumns({"gap": F.abs(F.sum("n0").over(w) / F.col("t0") - F.sum("n1").over(w) / F.col("t1")), "width": F.lead("x").over(w) - F.col("x")})
-    return cells.agg(F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("distance"))
+def wasserstein(both: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row (distance), or one for each group (by, distance): the area between the two sides' distribution functions."""
+    cells = both.select("side", *by, number(F.col(column)).alias("x")).dropna(subset=["x"]).groupBy(*by, "x").agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1"))
+    cells = scan(cells, "x", {"c0": F.col("n0"), "c1": F.col("n1")}, by, following="next")
+    gap = F.abs(F.col("c0") / F.col("c0_total") - F.col("c1") / F.col("c1_total"))
+    return cells.groupBy(*by).agg(F.coalesce(F.sum(gap * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("distance"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row (auc): chance that a row of label 1 scores above one of label 0, ties half."""
     cells = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y")).dropna().groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    below = F.sum("q").over(everything().orderBy("s")) - F.col("q")
-    return cells.withColumn("w", F.col("p") * (below + F.col("q") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
+    cells = scan(cells, "s", {"upto": F.col("q")})
+    return cells.withColumn("w", F.col("p") * (F.col("upto") - F.col("q") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

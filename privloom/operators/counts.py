@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from privloom.operators.prefix import value_ranks
+
 
 def contingency(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = None, name: str = "n") -> DataFrame:
     """Counts of each attribute set in one pass: (set_id, columns of all sets, ``name``). Columns outside a set are null."""
@@ -87,24 +89,31 @@ def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
 
 
 def with_average_rank(df: DataFrame, column: str, name: str = "average_rank") -> DataFrame:
-    """``df`` with 1-based ranks in which ties share the mean. The window runs over counts of distinct values, which join back."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__m"))
-    upto = F.sum("__m").over(Window.partitionBy(F.lit(1)).orderBy(column))
-    return df.join(counts.select(column, (upto - (F.col("__m") - 1) / F.lit(2.0)).alias(name)), column, "left")
+    """``df`` with 1-based ranks in which ties share the mean, from ranks of distinct values, which join back."""
+    return df.join(value_ranks(df, column).select(column, F.col("rank").alias(name)), column, "left")
+
+
+def spearman_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, rho): rank correlations of all pairs of columns over the rows where both are there. All pairs' cells come of one scan, and all
+    their ranks of another."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
+    keys = [*by, "a", "b"]
+    cells = df.select(*by, each.alias("c")).select(*by, "c.*").dropna(subset=["x", "y"]).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("cell"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("__axis"), F.col(s).alias("__value")) for s in ("x", "y")]))
+    ranks = value_ranks(cells.select(*keys, "cell", sides.alias("v")).select(*keys, "cell", "v.*"), "__value", F.col("cell"), [*keys, "__axis"])
+    out = cells
+    for s in ("x", "y"):
+        own = ranks.filter(F.col("__axis") == s).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__value").alias("__v"), F.col("rank").alias(f"r{s}"))
+        same = F.col(s) == F.col("__v")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        out = out.join(own, same).drop("__v", *[f"__{k}" for k in keys])
+    n, mx, my = F.sum("cell"), F.sum(F.col("cell") * F.col("rx")), F.sum(F.col("cell") * F.col("ry"))
+    xy, xx, yy = (F.sum(F.col("cell") * F.col(p) * F.col(q)) for p, q in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
+    return out.groupBy(*keys).agg(((n * xy - mx * my) / F.sqrt((n * xx - mx * mx) * (n * yy - my * my))).alias("rho"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (rho): rank correlation of the rows where both columns are there.
-
-    Ranks come from value counts, whose windows are as small as the number of distinct values, not from a global sort of all rows.
-    """
-    rows = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna()
-    cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    out = cells
-    for c in ("x", "y"):
-        counts = cells.groupBy(c).agg(F.sum("n").alias("m"))
-        upto = F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy(c))
-        out = out.join(counts.select(c, (upto - (F.col("m") - 1) / F.lit(2.0)).alias(f"r{c}")), c)
-    n, mx, my = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
-    xy, xx, yy = (F.sum(F.col("n") * F.col(p) * F.col(q)) for p, q in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
-    return out.agg(((n * xy - mx * my) / F.sqrt((n * xx - mx * mx) * (n * yy - my * my))).alias("rho"))
+    """One row (rho): rank correlation of the rows where both columns are there."""
+    return spearman_pairs(df, [a, b]).select("rho")

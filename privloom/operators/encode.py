@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import bucket, cat_code, clip, edges, number, repair_category
+from privloom.operators.prefix import scan
 
 UNKNOWN, NO_VALUE = "__UNK__", "__NAN__"
 
@@ -72,7 +73,7 @@ def uniform_bins(c: Column, lo: float, hi: float, n: int) -> Column:
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with codes from 0 by the sorted distinct values; the dictionary is shuffled, or broadcast if Spark finds it small."""
     values = df.select(column).dropna().distinct()
-    codes = values.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)) - 1).cast("int"))
+    codes = scan(values, column, {"__place": F.lit(1)}).select(column, (F.col("__place") - 1).cast("int").alias(name))
     return df.join(codes, column, "left")
 
 

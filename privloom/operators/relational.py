@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import hash_uniform
+from privloom.operators.prefix import order_statistics
 
 #: Points of a block of a distance join: a task holds a block of queries and one of candidates.
 KNN_BLOCK = 4_096
@@ -121,11 +122,6 @@ def allot(df: DataFrame, groups: Sequence[str], shares: DataFrame, key: str, see
 
 
 def around_rank(df: DataFrame, column: str, q: float, k: int) -> DataFrame:
-    """(rank, x): the order statistics within ``k`` of the one at quantile ``q``, from counts of distinct values."""
-    cells = df.select(F.col(column).cast("double").alias("x")).dropna().groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    one = Window.partitionBy(F.lit(1))
-    cells = cells.withColumns({"hi": F.sum("n").over(one.orderBy("x")), "t": F.sum("n").over(one)}).withColumn("lo", F.col("hi") - F.col("n"))
-    at = F.floor(F.lit(q) * (F.col("t") - 1))
-    cells = cells.withColumn("at", at).filter((F.col("hi") > F.col("at") - k) & (F.col("lo") <= F.col("at") + k))
-    first, last = F.greatest("lo", F.col("at") - k, F.lit(0)), F.least(F.col("hi") - 1, F.col("at") + k)
-    return cells.select(F.explode(F.sequence(first, last)).alias("rank"), "x")
+    """(rank, x): the order statistics within ``k`` of the one at quantile ``q``."""
+    at = F.floor(F.lit(q) * (F.col("n") - 1))
+    return order_statistics(df.select(column).dropna(), column, at - k, at + k).select("rank", "x")

@@ -1,10 +1,13 @@
 """Queries over counting, joins, windows, sorting, sampling and set operations."""
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import bucket, edges, hash_uniform
 from privloom.operators import counts as C
+from privloom.operators import quantiles as Q
 from privloom.operators import relational as R
 from privloom.plans.base import query, r, rounded, sql_bucket
 
@@ -191,9 +194,30 @@ def _(spark, read):
     return C.histogram(read("part"), code, 64).withColumnRenamed("code", "bucket")
 
 
-@query("dp_quantile_smooth", "WITH k AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS rank, count(*) OVER () AS t FROM lineitem) SELECT rank, x FROM k WHERE abs(rank - floor(0.05 * (t - 1))) <= 40")
+_EPSILON, _DELTA = 0.5, 1e-6
+_BETA = _EPSILON / (2 * math.log(1 / _DELTA))
+
+
+def _smooth_sql(q: float) -> str:
+    return f"""SELECT {q}::DOUBLE AS q, any_value(x) FILTER (WHERE k = 0) AS value, round(max(exp(-{_BETA!r}::DOUBLE * k) * (h - l)), 6) + 0.0 AS sensitivity FROM (
+  SELECT k, v[i + 1] AS x, v[least(i + k, n - 1) + 1] AS h, v[greatest(i - k, 0) + 1] AS l FROM (
+    SELECT v, n, ceil({q}::DOUBLE * n)::BIGINT - 1 AS i, unnest(range(0, least(n - 1, ceil(4 * sqrt(n + 1))::BIGINT) + 1)) AS k FROM s))"""
+
+
+@query("dp_quantile_smooth", f"WITH s AS (SELECT list(l_extendedprice ORDER BY l_extendedprice) AS v, count(*) AS n FROM lineitem) {_smooth_sql(0.05)} UNION ALL {_smooth_sql(0.95)}")
+def _(spark, read):
+    """Two quantiles with their smooth sensitivity over all ranks that the mechanism looks at, before noise."""
+    rows = read("lineitem").select("l_extendedprice")
+    each = [Q.smooth_sensitivity(rows, "l_extendedprice", q, _EPSILON, _DELTA).select(F.lit(q).alias("q"), "value", F.round("sensitivity", 6).alias("sensitivity")) for q in (0.05, 0.95)]
+    return each[0].unionByName(each[1])
+
+
+@query("dp_bounds_smooth", f"WITH s AS (SELECT list(c_acctbal ORDER BY c_acctbal) AS v, count(*) AS n FROM customer) SELECT q, value, sensitivity, sensitivity * {2 / _EPSILON} AS scale FROM ({_smooth_sql(0.01)} UNION ALL {_smooth_sql(0.99)})")
 def _(spark, read):
-    return R.around_rank(read("lineitem"), "l_extendedprice", 0.05, 40)
+    """What ``smooth_bounds`` measures of a pair of ends before noise, and the scale of the noise."""
+    rows = read("customer").select("c_acctbal")
+    each = [Q.smooth_sensitivity(rows, "c_acctbal", q, _EPSILON, _DELTA).select(F.lit(q).alias("q"), "value", F.round("sensitivity", 6).alias("sensitivity")) for q in (0.01, 0.99)]
+    return each[0].unionByName(each[1]).withColumn("scale", F.col("sensitivity") * F.lit(2 / _EPSILON))
 
 
 @query("win_order_stats", "WITH k AS (SELECT l_quantity AS x, row_number() OVER (ORDER BY l_quantity) - 1 AS rank, count(*) OVER () AS t FROM lineitem) SELECT rank, x FROM k WHERE abs(rank - floor(0.5 * (t - 1))) <= 25")

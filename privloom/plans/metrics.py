@@ -73,9 +73,7 @@ WITH s AS ({SURVIVAL_SQL}), c AS (SELECT e, t AS x, count(*) FILTER (WHERE side
 g AS (SELECT e, abs(sum(n0) OVER w / sum(n0) OVER (PARTITION BY e) - sum(n1) OVER w / sum(n1) OVER (PARTITION BY e)) AS gap, lead(x) OVER w - x AS width FROM c WINDOW w AS (PARTITION BY e ORDER BY x)),
 d AS (SELECT e, sum(gap * width) AS d FROM g GROUP BY e) SELECT {r('avg(d)', 'distance')} FROM d""")
 def _(spark, read):
-    both = survival(read)
-    each = [U.wasserstein(both.filter(F.col("e") == k), "t") for k in (0, 1)]
-    return rounded(each[0].union(each[1]).agg(F.avg("distance").alias("distance")))
+    return rounded(U.wasserstein(survival(read), "t", ["e"]).agg(F.avg("distance").alias("distance")))
 
 
 _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
@@ -99,14 +97,9 @@ _NUM = ("l_quantity", "l_extendedprice", "l_discount")
     f"SELECT a.rho AS x, b.rho AS y FROM ({_spearman_sql(_NUM[i], _NUM[j], 'lineitem WHERE l_orderkey % 2 = 0')}) a, ({_spearman_sql(_NUM[i], _NUM[j], 'lineitem WHERE l_orderkey % 2 = 1')}) b" for i in range(3) for j in range(i + 1, 3)) + ")")
 def _(spark, read):
     """Pearson's correlation of the two sides' upper triangles of rank correlations."""
-    from privloom.operators.counts import spearman
-
-    both, out = halves(read, list(_NUM)), None
-    for i in range(3):
-        for j in range(i + 1, 3):
-            x, y = (spearman(both.filter(F.col("side") == s), _NUM[i], _NUM[j]) for s in (0, 1))
-            row = x.withColumnRenamed("rho", "x").withColumn("k", F.lit(1)).join(y.withColumnRenamed("rho", "y").withColumn("k", F.lit(1)), "k")
-            out = row if out is None else out.unionByName(row)
+    from privloom.operators.counts import spearman_pairs
+
+    out = spearman_pairs(halves(read, list(_NUM)), _NUM, ["side"]).groupBy("a", "b").pivot("side", [0, 1]).agg(F.first("rho")).select(F.col("0").alias("x"), F.col("1").alias("y"))
     return rounded(out.agg(F.greatest(F.least(F.corr("x", "y"), F.lit(1.0)), F.lit(-1.0)).alias("similarity")))
 
 
