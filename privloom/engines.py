@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privloom.functions import hash_uniform
+from privloom.operators import clustered as C
 from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
@@ -124,4 +125,91 @@ class GraphicalEngine:
                 "mechanism_cpt": f"gaussian, rho {rho_of(half, self.delta):.6g}" if half else None, "metadata_source": "public schema", "adjacency": "add or remove a row", "composition": "zcdp"}
 
 
-ENGINES = {"network": NetworkEngine, "graphical": GraphicalEngine}
+@dataclass
+class LearnedCodec:
+    """Columns to codes and back by what the rows hold: values of their own, or equal bins for numbers of more than ``bins`` values. Not private."""
+
+    dictionaries: dict[str, list[str]]
+    numeric: dict[str, E.Numeric]
+    types: dict[str, str]
+
+    #: Values of a column that is not binned.
+    MOST = 100_000
+
+    @classmethod
+    def learn(cls, df: DataFrame, bins: int) -> "LearnedCodec":
+        types = dict(df.dtypes)
+        number_like = [c for c, t in types.items() if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
+        row = df.agg(*[F.count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(types)], *[f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(types) if c in number_like for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        numeric, dictionaries = {}, {}
+        for i, c in enumerate(types):
+            if c in number_like and row[f"d{i}"] > bins:
+                lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+                numeric[c] = E.Numeric.equal(lo, hi, bins, True)
+            elif row[f"d{i}"] > cls.MOST:
+                raise ValueError(f"{c}: more than {cls.MOST} values")
+            else:
+                dictionaries[c] = [r[0] for r in df.select(F.col(f"`{c}`").cast("string").alias("v")).dropna().distinct().orderBy("v").collect()]  # a row a value
+        return cls(dictionaries, numeric, types)
+
+    def sizes(self) -> dict[str, int]:
+        """Codes of each column, the last for missing values."""
+        return {c: self.numeric[c].size if c in self.numeric else len(self.dictionaries[c]) + 1 for c in self.types}
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        code = lambda c: self.numeric[c].encode(F.col(f"`{c}`").cast("string")) if c in self.numeric else E.encode_category(F.col(f"`{c}`").cast("string"), self.dictionaries[c])
+        return df.select(*[code(c).cast("int").alias(c) for c in self.types])
+
+    def decode(self, codes: DataFrame, id_column: str, seed: str) -> DataFrame:
+        out = []
+        for c, t in self.types.items():
+            if c in self.numeric:
+                value = self.numeric[c].decode(F.col(f"`{c}`"), hash_uniform(seed, f"{c}|decode", F.col(id_column)), t not in ("float", "double") and not t.startswith("decimal"))
+            else:
+                value = E.decode_category(F.col(f"`{c}`"), self.dictionaries[c])
+            out.append(value.cast(t).alias(c))
+        return codes.select(id_column, *out)
+
+
+@dataclass
+class ClusteredEngine:
+    """Parents judged through clusters of their codes, sparse tables of the observed cells. Domains are learned from the rows, so what the schema adds
+    is the number of bins (the median of its own), the types of fit and output, and the report says so."""
+
+    epsilon: float | None = 1.0
+    bins: int | None = None
+    most_parents: int = 0
+    target: float = 5.0
+    noise: SecureNoise = field(default_factory=SecureNoise)
+
+    def fit(self, df: DataFrame, schema: Schema | None = None) -> "ClusteredEngine":
+        self.schema = schema
+        declared = sorted(schema.bins[c] for c, k in schema.kinds.items() if k in ("integer", "continuous") and c in schema.bins) if schema else []
+        middle = declared[(len(declared) - 1) // 2 : len(declared) // 2 + 1]
+        self.source = "constructor" if self.bins else "schema median" if declared else "default"
+        self.used_bins = max(2, self.bins or (int(sum(middle) / len(middle)) if middle else 100))
+        if schema:
+            kinds = {c: k for c, k in schema.kinds.items() if c in df.columns}
+            df = df.select(*[E.for_network(F.col(f"`{c}`"), k, schema.categories.get(c, [])).alias(c) for c, k in kinds.items()])
+        self.codec = LearnedCodec.learn(df, self.used_bins)
+        coded = self.codec.encode(df).persist()
+        try:
+            self.net = C.fit(coded, self.codec.sizes(), self.epsilon, self.most_parents, self.used_bins, self.target, noise=self.noise)
+        finally:
+            coded.unpersist()
+        return self
+
+    def sample(self, spark: SparkSession, n: int, seed: str = "sample") -> DataFrame:
+        rows = spark.range(n).withColumnRenamed("id", "__id")
+        out = self.codec.decode(self.net.sample(rows, "__id", seed=seed), "__id", seed).drop("__id")
+        if not self.schema:
+            return out
+        return out.select(*[E.normalise(F.col(f"`{c}`").cast("string"), self.schema.kinds[c], *self.schema.bounds.get(c, (float("-inf"), float("inf"))), self.schema.categories.get(c, [])).alias(c) for c in out.columns])
+
+    def report(self) -> dict:
+        half = self.epsilon / 2 if self.epsilon else None
+        return {"epsilon_total": self.epsilon, "epsilon_structure": half, "epsilon_cpt": half, "epsilon_metadata": 0.0, "delta": 0.0, "mechanism_structure": "exponential", "mechanism_cpt": "laplace",
+                "metadata_source": "learned from the rows, not private", "bins": self.used_bins, "bins_source": self.source, "adjacency": "add or remove a row", "composition": "sequential"}
+
+
+ENGINES = {"network": NetworkEngine, "graphical": GraphicalEngine, "clustered": ClusteredEngine}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import hash_uniform
+from privloom.operators import clustered as K
 from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
@@ -98,3 +99,63 @@ def _(spark, read):
     """Windowed counts of the stream's release, on the table."""
     events = read("events").withColumn("ts", F.col("ts").cast("timestamp"))
     return windowed_counts(events, "ts", "event_type").select(F.to_date("start").alias("day"), "event_type", "n")
+
+
+_CENTROIDS = {0: [[0.0, 1.0], [2.0, 5.0], [1.0, 3.0]], 1: [[0.0, 0.0], [2.0, 1.0]]}
+_SETS = (("f", "n"), ("f", "s"))
+
+
+def _scores_sql() -> str:
+    parts = []
+    for i, (a, b) in enumerate(_SETS):
+        child = ({"f", "s", "n"} - {a, b}).pop()
+        far = [f"(({a} - {x}) * ({a} - {x}) + ({b} - {y}) * ({b} - {y}))" for x, y in _CENTROIDS[i]]
+        where = " ".join(f"WHEN {d} = least({', '.join(far)}) THEN {j}" for j, d in enumerate(far))
+        parts.append(f"SELECT {i} AS set, '{child}' AS child, CASE {where} END AS u, {child} AS v FROM {_CODES}")
+    return f"""WITH c AS (SELECT set, child, u, v, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL),
+p AS (SELECT set, child, n / sum(n) OVER w AS p, sum(n) OVER (PARTITION BY set, child, u) / sum(n) OVER w AS pu, sum(n) OVER (PARTITION BY set, child, v) / sum(n) OVER w AS pv FROM c WINDOW w AS (PARTITION BY set, child))
+SELECT set, child, {r('2 * sum(p * ln(p / (pu * pv))) / (-sum(p * ln(pu)) - sum(p * ln(pv)))', 'score')} FROM p GROUP BY 1, 2"""
+
+
+@query("C_nmi", _scores_sql())
+def _(spark, read):
+    """What clusters of two sets of parents tell of the column that is left, for given centroids."""
+    import numpy as np
+
+    cells = K.candidate_cells(_coded(read), _SETS, ["f", "s", "n"])
+    return rounded(K.cluster_scores(cells, {i: np.array(c) for i, c in _CENTROIDS.items()}))
+
+
+@query("C_greedy")
+def _(spark, read):
+    """The noiseless network of four columns of lineitem from a given root: (place, child, parents)."""
+    rows = read("lineitem").select(*[x.alias(n) for n, x in _four().items()])
+    edges = K.search(rows, {"f": 3, "s": 2, "n": 7, "d": 11}, None, 2, root="s")
+    found = spark.createDataFrame([(i, c, ",".join(p)) for i, (c, p) in enumerate(edges)], "place int, child string, parents string")
+    n = {c: rows.agg(F.count_distinct(c).alias("levels")).withColumn("child", F.lit(c)) for c in ("f", "s", "n", "d")}
+    return found.join(n["f"].unionByName(n["s"]).unionByName(n["n"]).unionByName(n["d"]), "child")
+
+
+def _four():
+    flag = F.col("l_returnflag")
+    return {"f": F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2), "s": (F.col("l_linestatus") == "O").cast("int"), "n": (F.col("l_linenumber") - 1).cast("int"), "d": F.rint(F.col("l_discount") * 100).cast("int")}
+
+
+_UNIFORM = "((('0x' || substr(md5('sample|{tag}|' || {key}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@query("C_sample", f"""WITH d AS (SELECT f, s, n FROM {_CODES} WHERE NOT (f = 1 AND s = 0)), root AS (SELECT list(hi ORDER BY s) AS cdf FROM (SELECT s, sum(count(*)) OVER (ORDER BY s) / sum(count(*)) OVER () AS hi FROM d GROUP BY s)),
+seen AS (SELECT DISTINCT f, s FROM d), fc AS (SELECT s, list(hi ORDER BY f) AS cdf FROM (SELECT s, f, sum(m) OVER (PARTITION BY s ORDER BY f) / sum(m) OVER (PARTITION BY s) AS hi FROM (
+  SELECT k.s, g.f, count(d.f) + 1 AS m FROM (SELECT DISTINCT s FROM d) k CROSS JOIN range(3) g(f) LEFT JOIN d ON d.s = k.s AND d.f = g.f GROUP BY 1, 2)) GROUP BY s),
+nc AS (SELECT f, s, list(hi ORDER BY n) AS cdf FROM (SELECT f, s, n, sum(m) OVER (PARTITION BY f, s ORDER BY n) / sum(m) OVER (PARTITION BY f, s) AS hi FROM (
+  SELECT k.f, k.s, g.n, count(d.n) + 1 AS m FROM seen k CROSS JOIN range(7) g(n) LEFT JOIN d ON d.s = k.s AND d.f = k.f AND d.n = g.n GROUP BY 1, 2, 3)) GROUP BY f, s),
+o AS (SELECT o_orderkey AS id, {', '.join(f"{_UNIFORM.format(tag=t, key='o_orderkey')} AS u{t}" for t in 'sfn')} FROM orders),
+x AS (SELECT id, uf, un, least(len(list_filter(cdf, lambda c: c < us)), 1) AS s FROM o, root), y AS (SELECT id, un, s, least(len(list_filter(cdf, lambda c: c < uf)), 2) AS f FROM x JOIN fc USING (s))
+SELECT id, s::INT AS s, f::INT AS f, CASE WHEN cdf IS NULL THEN least(floor(un * 7), 6) ELSE least(len(list_filter(cdf, lambda c: c < un)), 6) END::INT AS n FROM y LEFT JOIN nc USING (f, s)""")
+def _(spark, read):
+    """A sample as long as orders of a network of sparse tables: parents' codes that were never observed give all codes alike."""
+    rows = _coded(read).filter(~((F.col("f") == 1) & (F.col("s") == 0)))
+    net = K.SparseNetwork(dict(_SIZES), [("s", []), ("f", ["s"]), ("n", ["f", "s"])])
+    net = K.tables(rows, net, 0, None)
+    ids = read("orders").select(F.col("o_orderkey").alias("id"))
+    return net.sample(ids, "id", lambda tag: hash_uniform("sample", tag, F.col("id")))
