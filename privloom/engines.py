@@ -12,8 +12,9 @@ from privloom.operators import clustered as C
 from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
-from privloom.operators.counts import pairwise_mi
-from privloom.operators.privacy import SecureNoise, information_sensitivity, rho_of
+from privloom.operators.cliques import grow_cliques
+from privloom.operators.compression import Compression
+from privloom.operators.privacy import SecureNoise, rho_of
 from privloom.schema import Schema
 
 
@@ -89,35 +90,53 @@ class NetworkEngine:
 
 @dataclass
 class GraphicalEngine:
-    """Pairs chosen by the exponential mechanism on mutual information, Gaussian marginals under zCDP, a fitted graphical model."""
+    """Cliques of ``degree`` columns chosen by the exponential mechanism on information, Gaussian marginals under zCDP, a fitted graphical model.
+
+    ``compress`` pools the levels that noise hides, by the columns' own noisy counts; ``zeros`` names codes of a column that can't occur.
+    """
 
     epsilon: float | None = 1.0
     delta: float = 1e-5
     steps: int = 500
     noise: SecureNoise = field(default_factory=SecureNoise)
+    degree: int = 2
+    most_cells: float | None = None
+    compress: bool = False
+    zeros: dict[str, list[int]] | None = None
 
     def fit(self, df: DataFrame, schema: Schema) -> "GraphicalEngine":
         rows = df.count()
         schema.check_rows(rows)
         self.codec = Codec(schema)
         coded = self.codec.encode(df).persist()
-        names = list(schema.kinds)
-        scores = {}
-        if len(names) > 1:
-            for r in pairwise_mi(coded, names).collect():  # a row for each pair
-                scores[r.a, r.b] = r.mi
-        half = self.epsilon / 2 if self.epsilon else None
-        cliques = G.greedy_cliques(scores, names, half, information_sensitivity(rows), self.noise)
-        domain = G.Domain(self.codec.sizes())
-        measured = G.measure(coded, domain, [*cliques, *[(n,) for n in names]], half, self.delta, self.noise)
-        self.model = G.Model(domain, cliques, G.total_of(measured))
-        self.model.fit(measured, self.steps)
-        coded.unpersist()
+        try:
+            names, sizes = list(schema.kinds), self.codec.sizes()
+            half = self.epsilon / 2 if self.epsilon else None
+            singles = [(n,) for n in names]
+            self.pools, known, used = None, [], coded
+            if self.compress or self.zeros:
+                # half of what the tables may cost goes to the columns' own counts
+                ones = G.measure(coded, G.Domain(sizes), singles, half / 2 if half else None, self.delta / 2, self.noise)
+                measured = {c[0]: (v, s if half else 0.0) for c, v, s in ones} if self.compress else {}
+                self.pools = Compression.learn(sizes, measured, self.zeros)
+                known = [self.pools.measurement(c[0], v, s) for c, v, s in ones]
+                used, sizes = self.pools.encode(coded), self.pools.new_sizes()
+            cliques = grow_cliques(used, sizes, self.degree, half, most_cells=self.most_cells, noise=self.noise)
+            domain = G.Domain(sizes)
+            left = half / 2 if half and known else half
+            delta = self.delta / 2 if known else self.delta
+            measured = known + G.measure(used, domain, cliques if known else [*cliques, *[s for s in singles if s not in cliques]], left, delta, self.noise)
+            self.model = G.Model(domain, cliques, G.total_of(measured))
+            self.model.fit(measured, self.steps)
+        finally:
+            coded.unpersist()
         return self
 
     def sample(self, spark: SparkSession, n: int, seed: str = "sample") -> DataFrame:
         rows = spark.range(n).withColumnRenamed("id", "__id")
-        return self.codec.decode(self.model.sample(rows, "__id", seed), "__id", seed).drop("__id")
+        codes = self.model.sample(rows, "__id", seed)
+        codes = self.pools.decode(codes, "__id", seed) if self.pools else codes
+        return self.codec.decode(codes, "__id", seed).drop("__id")
 
     def report(self) -> dict:
         half = self.epsilon / 2 if self.epsilon else None

@@ -48,6 +48,63 @@ class Numeric:
         return F.when(code < len(self.at) - 1, x)
 
 
+def merged_intervals(intervals: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Sorted intervals without overlaps; those that touch are one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def complement(lo: float, hi: float, holes: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """What merged ``holes`` leave of [lo, hi], pieces of no width left out."""
+    out, at = [], lo
+    for a, b in holes:
+        if b > lo and a < hi:
+            if a > at:
+                out.append((at, a))
+            at = max(at, b)
+    return [*out, (at, hi)] if at < hi else out
+
+
+@dataclass(frozen=True)
+class Holed:
+    """Bins of a number column at ``at`` where values inside the intervals ``zeros`` can't occur (structural zeros)."""
+
+    at: tuple[float, ...]
+    zeros: tuple[tuple[float, float], ...] = ()
+
+    @classmethod
+    def of(cls, at: Sequence[float], zeros: Sequence[tuple[float, float]] = ()) -> "Holed":
+        return cls(tuple(map(float, at)), tuple(merged_intervals(zeros)))
+
+    def pieces(self) -> list[list[tuple[float, float]]]:
+        """Of each bin what the zeros leave."""
+        return [complement(a, b, self.zeros) for a, b in zip(self.at, self.at[1:])]
+
+    def zero_codes(self) -> list[int]:
+        """Bins of which nothing is left."""
+        return [i for i, p in enumerate(self.pieces()) if not p]
+
+    def encode(self, x: Column) -> Column:
+        """The bin of a number, left-closed, those outside in the first and last; null for null."""
+        return bucket(clip(number(x), self.at[0], self.at[-1]), self.at, clamp=True)
+
+    def decode(self, code: Column, u: Column) -> Column:
+        """A value drawn evenly from what is left of the bin, by the uniform ``u``; null for null and for a bin of which nothing is left."""
+        value = F.lit(None).cast("double")
+        for i, pieces in reversed(list(enumerate(self.pieces()))):
+            width, here, before = sum(b - a for a, b in pieces), F.lit(None).cast("double"), sum(b - a for a, b in pieces)
+            for a, b in reversed(pieces):
+                before -= b - a
+                here = F.when((u * width >= before) & (u * width < before + (b - a)), F.lit(a) + (u * width - before)).otherwise(here)
+            value = F.when(code == i, here).otherwise(value)
+        return value
+
+
 def quantile_bins(df: DataFrame, column: str, lo: float, hi: float, n: int) -> Numeric:
     """Bins at the column's quantiles (repeated ones merge), of one aggregation."""
     at = df.agg(F.percentile(number(F.col(column)), F.array(*[F.lit(i / n) for i in range(1, n)]))).first()[0] or []

@@ -185,21 +185,21 @@ class Model:
         return out
 
     def fit(self, measured: Sequence[tuple[tuple[str, ...], np.ndarray, float]], steps: int = 500, tolerance: float = 1e-7) -> float:
-        """Mirror descent on the weighted squared error of ``measured`` (clique, noisy counts, sigma); gives the last loss."""
+        """Mirror descent on the weighted squared error of ``measured`` (clique, noisy counts, sigma of all or of each); gives the last loss."""
 
         def loss(mu: list[Factor]) -> tuple[float, list[Factor]]:
             total, grads = 0.0, [Factor.constant(f.domain) for f in mu]
             for names, y, sigma in measured:
                 i = self.home(names)
                 x = mu[i].reduce(names)
-                gap = (x.values - y) / max(sigma, 1e-9) ** 2
+                gap = (x.values - y) / np.maximum(sigma, 1e-9) ** 2
                 total += 0.5 * float(((x.values - y) * gap).sum())
                 grads[i] = grads[i] + Factor(x.domain, gap)
             return total, [g.reduce(c) for g, c in zip(grads, self.cliques)]
 
         mu = self.marginals()
         now, grads = loss(mu)
-        step = max(min(s for _, _, s in measured), 1e-9) ** 2 / max(self.total, 1.0)
+        step = max(min(float(np.min(s)) for _, _, s in measured), 1e-9) ** 2 / max(self.total, 1.0)
         for t in range(steps):
             for _ in range(30):
                 new = [t - Factor(g.domain, g.values * step) for t, g in zip(self.potentials, grads)]
@@ -279,7 +279,7 @@ def measure(df: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], eps
 
 def total_of(measured) -> float:
     """The number of rows, weighting each marginal's sum by the inverse of its variance; one at least."""
-    weight = [1 / (v.size * s**2) for _, v, s in measured]
+    weight = [1 / float(np.sum(np.broadcast_to(s, v.shape) ** 2)) for _, v, s in measured]
     return max(1.0, float(np.dot(weight, [v.sum() for _, v, _ in measured]) / sum(weight)))
 
 

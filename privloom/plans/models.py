@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,8 +11,10 @@ from privloom.operators import clustered as K
 from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
+from privloom.operators.cliques import set_information
+from privloom.operators.compression import Compression
 from privloom.operators.counts import contingency, pairwise_mi
-from privloom.operators.privacy import most_parents_useful
+from privloom.operators.privacy import most_parents_useful, tree_of_rows
 from privloom.plans.base import query, r, rounded
 from privloom.streaming import windowed_counts
 
@@ -120,8 +123,6 @@ SELECT set, child, {r('2 * sum(p * ln(p / (pu * pv))) / (-sum(p * ln(pu)) - sum(
 @query("C_nmi", _scores_sql())
 def _(spark, read):
     """What clusters of two sets of parents tell of the column that is left, for given centroids."""
-    import numpy as np
-
     cells = K.candidate_cells(_coded(read), _SETS, ["f", "s", "n"])
     return rounded(K.cluster_scores(cells, {i: np.array(c) for i, c in _CENTROIDS.items()}))
 
@@ -159,3 +160,63 @@ def _(spark, read):
     net = K.tables(rows, net, 0, None)
     ids = read("orders").select(F.col("o_orderkey").alias("id"))
     return net.sample(ids, "id", lambda tag: hash_uniform("sample", tag, F.col("id")))
+
+
+_FOUR = ("f", "s", "n", "d")
+_TRIPLES = [(a, b, c) for i, a in enumerate(_FOUR) for b in _FOUR[i + 1 :] for c in _FOUR if c not in (a, b)]
+
+
+@query("B_select", "WITH x AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS f, (l_linestatus = 'O')::INT AS s, (l_linenumber - 1)::INT AS n, round(l_discount * 100)::INT AS d FROM lineitem), c AS (" + " UNION ALL ".join(
+    f"SELECT '{a},{b}' AS parents, '{c}' AS child, {a} AS p, {b} AS q, {c} AS v, count(*) AS n FROM x GROUP BY ALL" for a, b, c in _TRIPLES) + f"""),
+p AS (SELECT parents, child, n / sum(n) OVER w AS p, sum(n) OVER (PARTITION BY parents, child, p, q) / sum(n) OVER w AS pu, sum(n) OVER (PARTITION BY parents, child, v) / sum(n) OVER w AS pv FROM c WINDOW w AS (PARTITION BY parents, child)),
+m AS (SELECT parents, child, {r('greatest(sum(p * ln(p / (pu * pv))), 0)', 'mi')} FROM p GROUP BY 1, 2) SELECT parents, child, mi, rank() OVER (ORDER BY mi DESC)::INT AS place FROM m""")
+def _(spark, read):
+    """The information of all cliques of three columns, from one exploded pass, and their order."""
+    sets = list(dict.fromkeys((a, b) for a, b, _ in _TRIPLES))
+    cells = K.candidate_cells(read("lineitem").select(*[x.alias(n) for n, x in _four().items()]), sets, _FOUR)
+    named = F.get(F.array(*[F.lit(",".join(s)) for s in sets]), F.col("set"))
+    found = rounded(set_information(cells).select(named.alias("parents"), "child", "mi"))
+    return found.withColumn("place", F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("mi"))))  # a row a candidate
+
+
+_HOLES = E.Holed.of([0, 10, 20, 30, 40, 50], [(3, 5), (12, 18), (15, 22), (30, 40)])
+_UZ = "((('0x' || substr(md5('zeros|q|' || l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@query("enc_zeros_B", f"""WITH x AS (SELECT l_orderkey, l_linenumber, least(floor(l_quantity / 10), 4)::INT AS code, {_UZ} AS u FROM lineitem)
+SELECT l_orderkey, l_linenumber, code, round(CASE code WHEN 0 THEN CASE WHEN u * 8 < 3 THEN u * 8 ELSE 5 + (u * 8 - 3) END WHEN 1 THEN 10 + u * 2 WHEN 2 THEN 22 + u * 8 WHEN 4 THEN 40 + u * 10 END, 6) AS value FROM x""")
+def _(spark, read):
+    """Bins and values drawn from what structural zeros leave of them; of one bin nothing is left."""
+    u = hash_uniform("zeros", "q", F.col("l_orderkey"), F.col("l_linenumber"))
+    coded = read("lineitem").select("l_orderkey", "l_linenumber", _HOLES.encode(F.col("l_quantity")).alias("code"))
+    return rounded(coded.withColumn("value", _HOLES.decode(F.col("code"), u)))
+
+
+_LO, _HI, _DEEP, _BINS = 900.0, 105000.0, 12, 16
+
+
+@query("dp_privtree", f"""WITH c AS (SELECT least(greatest(floor((l_extendedprice - {_LO}) / ({_HI} - {_LO}) * {2**_DEEP}), 0), {2**_DEEP - 1})::BIGINT AS code FROM lineitem),
+k AS (SELECT d, code >> ({_DEEP} - d) AS leaf, count(*) AS n FROM c, range(0, {_DEEP + 1}) v(d) GROUP BY 1, 2), t AS (SELECT count(*) / {_BINS}::DOUBLE AS theta FROM c),
+s AS (SELECT d, leaf FROM k, t WHERE n > theta AND d < {_DEEP}), x AS (SELECT d + 1 AS d, 2 * leaf + side AS leaf FROM s, (VALUES (0), (1)) v(side) UNION ALL SELECT 0, 0)
+SELECT {r(f'{_LO} + ({_HI} - {_LO}) * leaf / pow(2, d)', 'lower')}, {r(f'{_LO} + ({_HI} - {_LO}) * (leaf + 1) / pow(2, d)', 'upper')}, coalesce(n, 0) AS n FROM x LEFT JOIN k USING (d, leaf) WHERE (d, leaf) NOT IN (SELECT (d, leaf) FROM s)""")
+def _(spark, read):
+    """Leaves of a PrivTree over rows, without noise."""
+    leaves = tree_of_rows(read("lineitem"), "l_extendedprice", _LO, _HI, _BINS, enforce=False, deepest=_DEEP)
+    return rounded(spark.createDataFrame(leaves, "lower double, upper double, n long"))
+
+
+@query("B_compress", """WITH n AS (SELECT p_size - 1 AS code, count(*) AS n FROM part GROUP BY 1), t AS (SELECT avg(n) / 3 AS sigma FROM n), k AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS place FROM n, t WHERE n >= 3 * sigma),
+m AS (SELECT code, sum(n) OVER (ORDER BY code) / sum(n) OVER () AS hi FROM n, t WHERE n < 3 * sigma), p AS (SELECT list(code ORDER BY code) AS members, list(hi ORDER BY code) AS cdf FROM m), q AS (SELECT count(*) AS size FROM k),
+x AS (SELECT p_partkey, p_size - 1 AS code, ((('0x' || substr(md5('pool|p_size|pool|' || p_partkey), 1, 8))::BIGINT + 0.5) / 4294967296.0) AS u FROM part)
+SELECT p_partkey, coalesce(place, size)::INT AS pooled, CASE WHEN place IS NOT NULL THEN x.code ELSE members[least(len(list_filter(cdf, lambda c: c <= u)), len(members) - 1) + 1] END::INT AS restored FROM x LEFT JOIN k ON x.code = k.code, p, q""")
+def _(spark, read):
+    """Rare sizes pooled by a threshold of three sigma, and each pooled one given back as one of the pool's by its share."""
+    rows = read("part").select("p_partkey", (F.col("p_size") - 1).cast("int").alias("p_size"))
+    found = {x.p_size: x["count"] for x in rows.groupBy("p_size").count().collect()}  # a row a size
+    counts = np.zeros(max(found) + 1)
+    for code, n in found.items():
+        counts[code] = n
+    pools = Compression.learn({"p_size": len(counts)}, {"p_size": (counts, float(np.mean(list(found.values()))) / 3)}, {"p_size": [i for i in range(len(counts)) if i not in found]})
+    pooled = pools.encode(rows)
+    back = pools.decode(pooled, "p_partkey", "pool").select("p_partkey", F.col("p_size").alias("restored"))
+    return pooled.withColumnRenamed("p_size", "pooled").join(back, "p_partkey")
