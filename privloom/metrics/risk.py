@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.metrics.utility import auc
-from privloom.operators.relational import nearest_distances
+from privloom.operators.neighbours import nearest_distances
 
 #: Keys of a complete ledger: fixed values.
 LEDGER = ("epsilon_total", "epsilon_structure", "epsilon_cpt", "epsilon_metadata", "delta", "mechanism_structure", "mechanism_cpt", "metadata_source", "adjacency", "composition")

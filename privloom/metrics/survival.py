@@ -79,17 +79,17 @@ def restricted_mean(curve: DataFrame, by: str, tau: float) -> DataFrame:
 def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """One row (concordance, pairs): of the pairs whose earlier time is an event, those in which it has the greater risk, ties half.
 
-    Counts cells of (time, risk) and sums them by windows: dominance counts instead of a join of rows with rows. Each distinct risk has one
-    window over the distinct times, so the work is distinct times x distinct risks; round a continuous risk first.
+    Times are numbered, and the numbers are halved again and again: two different times are in the two halves of exactly one range. In
+    each range a running sum over risks counts, for the events of its earlier half, the rows of the later half with a lower risk. So the work
+    is distinct (time, risk) times the logarithm of the times, whether risks are few or all different.
     """
     rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).dropna()
     cells = rows.groupBy("t", "r").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("d"))
-    times = cells.select("t").distinct()
-    risks = cells.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set("r")).alias("rs"))
-    full = times.withColumn("one", F.lit(1)).join(F.broadcast(risks), "one").select("t", F.explode("rs").alias("r"))
-    full = full.join(cells, ["t", "r"], "left").na.fill(0, ["n", "d"])
-    later = F.sum("n").over(Window.partitionBy("r").orderBy(F.desc("t"))) - F.col("n")
-    full = full.withColumn("later", later)
-    lower = F.sum("later").over(Window.partitionBy("t").orderBy("r")) - F.col("later")
-    full = full.withColumns({"lower": lower, "all": F.sum("later").over(Window.partitionBy("t"))})
-    return full.agg((F.sum(F.col("d") * (F.col("lower") + F.col("later") / 2)) / F.sum(F.col("d") * F.col("all"))).alias("concordance"), F.sum(F.col("d") * F.col("all")).alias("pairs"))
+    times = scan(cells.select("t").distinct(), "t", {"place": F.lit(1)})
+    most = times.agg(F.max("place").alias("n")).first().n or 1
+    halved = cells.join(times.select("t", (F.col("place") - 1).alias("i")), "t").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(max(int(most) - 1, 1).bit_length() - 1))))
+    halved = halved.withColumns({"node": F.expr("shiftright(i, b + 1)"), "later": F.expr("shiftright(i, b) & 1")})
+    each = halved.groupBy("b", "node", "r").agg(F.sum(F.when(F.col("later") == 1, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("later") == 0, F.col("d")).otherwise(0)).alias("d"))
+    each = scan(each, "r", {"upto": F.col("n")}, ["b", "node"])
+    pairs = F.sum(F.col("d") * F.col("upto_total"))
+    return each.agg((F.sum(F.col("d") * (F.col("upto") - F.col("n") / 2)) / pairs).alias("concordance"), pairs.alias("pairs"))

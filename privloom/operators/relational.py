@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,40 +12,6 @@ from pyspark.sql.window import Window
 from privloom.functions import hash_uniform
 from privloom.operators.prefix import order_statistics
 
-#: Points of a block of a distance join: a task holds a block of queries and one of candidates.
-KNN_BLOCK = 4_096
-
-
-def nearest_distances(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int = 1, block: int = KNN_BLOCK) -> DataFrame:
-    """(key, distances array<double>): the k smallest Euclidean distances of each query to the candidates but those with its own key.
-
-    Blocks of queries meet blocks of candidates, each pair in one task as a matrix product; a query's best of each block are merged by Spark.
-    """
-    spark = queries.sparkSession
-    nq, nc = (max(1, -(-d.count() // block)) for d in (queries, candidates))
-    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    both = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), part(nq).alias("qb")).withColumn("cb", both(nc))
-    right = candidates.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), part(nc).alias("cb")).withColumn("qb", both(nq))
-    kind = dict(queries.dtypes)[key]
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, out = a.column("k"), []
-        if a.num_rows and b.num_rows:
-            x, y = (np.array(t.column("v").to_pylist(), float) for t in (a, b))
-            own, other = np.array(ids.to_pylist()), np.array(b.column("k").to_pylist())
-            for i in range(len(x)):
-                d = np.sqrt(((y - x[i]) ** 2).sum(1))[other != own[i]]
-                out.append(np.sort(np.partition(d, min(k, len(d)) - 1)[:k]) if len(d) else d)
-        else:
-            ids = ids.slice(0, 0)
-        return pa.table({"k": ids, "d": pa.array([o.tolist() for o in out], pa.list_(pa.float64()))})
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, f"k {kind}, d array<double>")
-    best = found.select("k", F.explode("d").alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("d"))).filter(F.col("r") <= k)
-    return best.groupBy("k").agg(F.sort_array(F.collect_list("d")).alias("distances")).withColumnRenamed("k", key)
-
-
 def lookup(df: DataFrame, key: Column, table: DataFrame, value: str, most: int = 2_000_000) -> DataFrame:
     """``df`` with the row of a conditional table (key, value): broadcast if the table has ``most`` cells at most, else a shuffled join."""
     t = table.select(F.col("key").alias("__key"), value)

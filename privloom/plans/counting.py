@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from privloom.functions import bucket, edges, hash_uniform
 from privloom.operators import counts as C
+from privloom.operators import neighbours as NN
 from privloom.operators import quantiles as Q
 from privloom.operators import relational as R
 from privloom.plans.base import query, r, rounded, sql_bucket
@@ -292,7 +293,7 @@ def _(spark, read):
 @query("join_knn", f"SELECT a.vec_id, {r('min(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))))', 'distance')} FROM embeddings a JOIN embeddings b ON b.vec_id % 2 = 1 WHERE a.vec_id % 2 = 0 GROUP BY 1")
 def _(spark, read):
     side = lambda k: read("embeddings").filter(F.col("vec_id") % 2 == k)
-    return rounded(R.nearest_distances(side(0), side(1), "vec_id", "embedding").select("vec_id", F.col("distances")[0].alias("distance")))
+    return rounded(NN.nearest_distances(side(0), side(1), "vec_id", "embedding").select("vec_id", F.col("distances")[0].alias("distance")))
 
 
 @query("srt_topk_buckets", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 5")
