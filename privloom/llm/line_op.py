@@ -5,8 +5,9 @@ MinHash (empty bins borrow from the next filled one); bands of bins are candidat
 compares their shingle sets exactly and passes on a spanning forest of the pairs at or above the threshold. A key of more than a block of
 lines is dealt out anew: each line goes to one chunk, which all the key's representatives visit too, so that work grows with the
 number of lines. Where that leaves a large key's lines in several components, these lines are looked at again by an exact prefix
-filter: two sets of given sizes that are similar enough share one of their rarest shingles, so many as the sizes allow to differ. Of each
-component of linked lines the first occurrence in the corpus (by doc_id, then place) stays.
+filter: two sets that are similar enough share one of their rarest shingles, as many of which count as their sizes allow to differ. Lines
+whose rarest shingles are common ones, as they vary too little, are compared by counts over their shingles' lines instead, the largest
+component left out. Of each component of linked lines the first occurrence in the corpus (by doc_id, then place) stays.
 
 Lines are normalised, hashed and cut into shingles in Arrow batches; counting, joining and putting texts together again are DataFrame expressions.
 """
@@ -31,8 +32,9 @@ SHINGLE, SIMILAR = 6, 0.8
 BANDS, ROWS = 14, 5
 #: Lines of a key that meet in one task; a larger key is cut into chunks of half of it, which so many representatives visit.
 BLOCK, REPRESENTATIVES = 512, 16
-#: Sizes of shingle sets within this factor are of one class; shingles are counted in so many buckets to tell the rare ones.
-SIZE_CLASS, BUCKETS = 1.06, 1 << 18
+#: Shingles are counted in so many buckets to tell the rare ones; a shingle is common if more than one in so many of the lines looked at again has
+#: it; lines of a tile that are compared by counts.
+BUCKETS, COMMON, TILE = 1 << 18, 16, 1_024
 #: Bytes that may be broadcast in a join; more are shuffled.
 SMALL = 8_000_000
 #: Characters that are hashed together (their arrays fit a core's cache), and hashes of lines that a task remembers having sent.
@@ -284,65 +286,114 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
 
-def _size_class(size: float) -> int:
-    return int(np.floor(np.log(size) / np.log(SIZE_CLASS) + 1e-9))
+def prefix(one: np.ndarray, counts: np.ndarray, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shingles, how often each, first): the rarest shingles of a set, of which every similar set that isn't larger has one among its own ``first``, and
+    every similar larger set among all of its own.
 
-
-def prefixes(one: np.ndarray, counts: np.ndarray, similar: float = SIMILAR) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(smaller class, larger class, shingles): those by which a set meets the similar sets of each class of sizes, rare ones first.
-
-    Sets of sizes s and t that are similar share similar / (1 + similar) * (s + t) shingles or more, so in one order of all shingles they share
-    one of the first s less that number, plus one. A shingle that no other set has is passed over.
+    Sets of sizes s <= t share similar / (1 + similar) * (s + t) shingles or more if they are similar: at least similar * t, and at least 2 similar /
+    (1 + similar) * s. So in one order of all shingles one of the first s - 2 similar / (1 + similar) * s + 1 of the smaller set is among the first
+    t - similar * t + 1 of the larger.
     """
     n = len(one)
     often = counts[(one % np.uint64(BUCKETS)).astype(np.int64)]
-    order = np.lexsort((one, often))
-    one, often = one[order], often[order]
-    own = _size_class(n)
-    for other in range(_size_class(n * similar), _size_class(n / similar) + 1):
-        least = max(similar * n, np.exp(other * np.log(SIZE_CLASS)) - 1e-6)
-        first = n - int(np.ceil(similar / (1 + similar) * (n + least) - 1e-6)) + 1
-        chosen = one[: max(first, 0)][often[: max(first, 0)] > 1]
-        if len(chosen):
-            yield min(own, other), max(own, other), chosen
+    order = np.lexsort((one, often))[: n - int(np.ceil(similar * n - 1e-6)) + 1]
+    return one[order], often[order], n - int(np.ceil(2 * similar / (1 + similar) * n - 1e-6)) + 1
+
+
+def links_by_counts(hashes: list[int], sets: list[np.ndarray], known: list[int], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """``links_of`` for sets that have most shingles in common: each set outside the largest component counts what it shares with all others at once."""
+    sizes = np.array([len(x) for x in sets])
+    label = np.unique(np.array(known, np.int64), return_inverse=True)[1]
+    whole, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(whole, kind="stable")
+    whole, owner = whole[order], owner[order]
+    out = []
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        lo, hi = np.searchsorted(whole, sets[i]), np.searchsorted(whole, sets[i], side="right")
+        same = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist())]), minlength=len(sets))
+        for j in np.flatnonzero((label != label[i]) & (same >= similar * (sizes[i] + sizes - same) - 1e-9)).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((hashes[i], hashes[j]))
+    return out
+
+
+def link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows (key, chunk, lhash, line, component) sorted by tile, a tile at a time."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        found = links_by_counts([r[2] for r in rows], shingle_sets([r[3] for r in rows]), [r[4] for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    tile: list[tuple] = []
+    for batch in slices(batches, 3):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if tile and row[:2] != tile[-1][:2]:
+                yield work(tile)
+                tile = []
+            tile.append(row)
+    if tile:
+        yield work(tile)
+
+
+def _tiles(members: DataFrame, lines: str, most: int) -> DataFrame:
+    """``members`` (key, lhash, component) in one chunk, or, of keys with more than twice ``most`` rows (column ``lines``), once for each pair of chunks."""
+    chunks = F.when(F.col(lines) <= 2 * most, 1).otherwise(F.ceil(F.col(lines) / F.lit(most))).cast("int")
+    members = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("key", "lhash"), F.col("chunks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(F.col("c"), o) * F.col("chunks") + F.greatest(F.col("c"), o))
+    return members.withColumn("chunk", F.explode(tiles)).select("key", "chunk", "lhash", "component")
 
 
 def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """(a, b): links that join components (``joined``: id, component) whose lines share a large key; None if no large key has two components."""
     of = F.coalesce("component", "lhash")
     members = large.join(joined.withColumnRenamed("id", "lhash"), "lhash", "left").select("key", "lhash", of.alias("component"))
-    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("lhash").alias("first"), F.count("*").alias("n")).filter("lo < hi").select("key", "first", "n")
     total = large.count() if large.take(1) else 0
     if not total or not apart.take(1):
         return None
-    open_lines = join_counted(members, apart, "key", total).select("lhash", "component").distinct()
-    open_lines = durable(open_lines.join(texts, "lhash"), "line_open")
+    members = durable(join_counted(members, apart, "key", total), "line_apart")
+    open_lines = durable(members.select("lhash", "component").distinct().join(texts, "lhash"), "line_open")
     counts = np.zeros(BUCKETS, np.int64)
     found = open_lines.select("line").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    common = max(block, open_lines.count() // COMMON)
     shipped = large.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 64):
-            keys, rows = [], []
+            keys, rows, smaller = [], [], []
             for i, one in enumerate(shingle_sets(batch.column(2).to_pylist())):
-                for lo, hi, chosen in prefixes(one, shipped.value):
-                    keys.append((chosen ^ np.uint64(lo * 4096 + hi)) * np.uint64(0x9E3779B97F4A7C15))
-                    rows.append(np.full(len(chosen), i))
+                chosen, often, first = prefix(one, shipped.value)
+                rare = (often > 1) & (often <= common)
+                keys.append(chosen[rare])
+                rows.append(np.full(rare.sum() + (often > common).any(), i))
+                smaller.append(np.flatnonzero(rare) < first)
+                if (often > common).any():  # key 0 tells that a common shingle counts
+                    keys.append(np.zeros(1, np.uint64))
+                    smaller.append(np.array([(often[:first] > common).any()]))
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(at), batch.column(1).take(at)], ["key", "lhash", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(smaller) if smaller else np.zeros(0, bool))], ["key", "lhash", "component", "smaller"])
 
-    rare = durable(open_lines.select("lhash", "component", "line").mapInArrow(work, "key long, lhash long, component long"), "line_rare")
-    groups = rare.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("lhash")).alias("x")).filter("lo < hi")
+    rare = durable(open_lines.select("lhash", "component", "line").mapInArrow(work, "key long, lhash long, component long, smaller boolean"), "line_rare")
+    own = rare.filter("key <> 0")
+    groups = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("smaller").alias("some"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("lhash")).alias("x")).filter("lo < hi and some")
     groups = groups.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"))  # the same lines once
-    held = join_counted(rare, groups.select("key", "n", F.col("n").alias("lines")), "key", rare.count())
-    # a group of more than a block in tiles, each pair of chunks in one: exact, as all its lines share their rarest shingles
-    chunks = F.ceil(F.col("lines") / F.lit(block // 2)).cast("int")
-    held = held.withColumn("chunks", F.when(F.col("lines") <= block, 1).otherwise(chunks)).withColumn("c", F.pmod(F.xxhash64("key", "lhash"), F.col("chunks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(F.col("c"), o) * F.col("chunks") + F.greatest(F.col("c"), o))
-    held = held.withColumn("chunk", F.explode(tiles)).select("key", "chunk", "lhash", "component")
-    return _grouped(held.join(texts, "lhash"))
+    held = join_counted(own, groups.select("key", "n", F.col("n").alias("lines")), "key", rare.count())
+    more = _grouped(_tiles(held, "lines", block // 2).join(texts, "lhash"))
+
+    # lines that only common shingles can tell apart: tiles of their family, the lines that large keys connect
+    dense = rare.filter("key = 0")
+    if dense.filter("smaller").take(1):
+        family = members.filter("lhash <> first").select(F.col("lhash").alias("a"), F.col("first").alias("b"))
+        family = components(family).withColumnRenamed("id", "lhash").withColumnRenamed("component", "key")
+        dense = durable(dense.select("lhash", "component").join(family, "lhash"), "line_dense")
+        sizes = dense.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+        tiled = _tiles(join_counted(dense, sizes.select("key", "n", F.col("n").alias("lines")), "key", dense.count()), "lines", TILE)
+        tiled = tiled.join(texts, "lhash").select("key", "chunk", "lhash", "line", "component").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+        more = more.unionByName(tiled.mapInArrow(link_tiles, "a long, b long")).distinct()
+    return more
 
 
 def line_components(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFrame:

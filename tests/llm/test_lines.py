@@ -97,3 +97,39 @@ def test_one_template_for_very_many_lines(spark, pairs):
         seen.add(d[:4])
     removed = sum(r.n_removed for r in line_op.repeated_lines(df).collect())
     assert want * 0.99 <= removed <= want * 1.01  # a few share more by chance
+
+
+@pytest.mark.parametrize("common", [1, 10_000])
+def test_a_second_look_finds_all_links_between_components(spark, monkeypatch, common):
+    """Lines of one family near the threshold; ``common`` moves all of them to counts over shingles, or none."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    base, lines = [rng.choice(words) for _ in range(30)], []
+    for _ in range(150):
+        w = list(base)
+        for i in rng.sample(range(30), rng.randint(1, 6)):
+            w[i] = rng.choice(words)
+        lines.append(" ".join(w))
+    monkeypatch.setattr(line_op, "COMMON", 150 if common == 1 else 1)
+    monkeypatch.setattr(line_op, "TILE", 32)
+    hashes, each = [line_op.line_hash(x) for x in lines], [sets(x) for x in lines]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    alone = df([], "id long, component long")
+    links = line_op.rare_links(df([(1, h) for h in hashes], "key long, lhash long"), df(list(zip(hashes, lines)), "lhash long, line string"), alone, 4)
+    comp = {h: h for h in hashes}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for r in links.collect():
+        comp[find(r.a)] = find(r.b)
+    got = {frozenset(h for h in hashes if find(h) == find(x)) for x in hashes}
+    comp = {h: h for h in hashes}
+    for i, a in enumerate(each):
+        for j in range(i):
+            if len(a & each[j]) >= 0.8 * len(a | each[j]) - 1e-9:
+                comp[find(hashes[i])] = find(hashes[j])
+    assert got == {frozenset(h for h in hashes if find(h) == find(x)) for x in hashes}
+    assert 1 < len(got) < 150
