@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from privloom.functions import MISSING_TOKENS, number
+from privloom.operators import dates as D
 from privloom.operators import profile as P
-from privloom.schema import Schema
+from privloom.schema import DISCRETE, NUMERIC, Schema
 
 #: Column names that tell a target or a time, the likelier first: fixed values.
 TARGET_NAMES = ("target", "label", "class", "outcome", "income", "event", "status", "died", "death", "recurrence", "arrest", "failure", "relapse", "deceased", "censored")
@@ -98,14 +99,22 @@ def constraints(schema: Schema, constants: Sequence[str] = (), user: dict | None
     return out
 
 
-def infer(df: DataFrame, targets: Sequence[str] | None = None, survival: bool = False, pad: float = 0.0, max_levels: int = 20, max_categories: int = 200, rules: dict | None = None) -> dict:
+def infer(df: DataFrame, targets: Sequence[str] | None = None, survival: bool = False, pad: float = 0.0, max_levels: int = 20, max_categories: int = 200, rules: dict | None = None, overrides: dict[str, dict] | None = None) -> dict:
     """The schema document of ``df``: one profile of all columns, and one count of the values of those that have few.
 
-    GUID-like columns are left out. Timestamps are seconds. An empty table gives categorical columns without categories.
+    GUID-like columns are left out. Timestamps, and text columns that are dates, are seconds; how dates are written is kept. ``overrides`` gives
+    columns a ``type`` and, if it is a discrete one, a ``domain``. An empty table gives categorical columns without categories.
     """
     kinds_of = {f.name: f.dataType for f in df.schema.fields}
-    found = {r.column: r for r in P.profile(df).collect()}  # a row a column
-    types = {r.column: r.type for r in P.column_types(df, max_levels, max_categories).collect()}
+    wrong = [c for c, o in (overrides or {}).items() if c not in kinds_of or o.get("type") not in (*NUMERIC, *DISCRETE)]
+    if wrong:
+        raise ValueError(f"overrides of unknown columns or types: {wrong}")
+    dates = D.elect(df, [c for c in df.columns if c not in (overrides or {})])
+    df = D.to_epochs(df, dates)
+    profiled = P.profile(df).collect()  # a row a column
+    found = {r.column: r for r in profiled}
+    types = {r.column: r.type for r in P.types_of(df, df.sparkSession.createDataFrame(profiled, P.PROFILE), max_levels).collect()}
+    types |= {c: "integer" for c in dates if types[c] != "constant"} | {c: o["type"] for c, o in (overrides or {}).items()}
     guids = [c for c in df.columns if types[c] == "guid"]
     constant = [c for c in df.columns if types[c] == "constant"]
     target = target_of([c for c in df.columns if c not in guids], targets, survival)
@@ -120,6 +129,7 @@ def infer(df: DataFrame, targets: Sequence[str] | None = None, survival: bool =
         kinds[c] = "binary" if pair and c == pair[0] else kind
     labelled = [c for c, k in kinds.items() if k in ("categorical", "ordinal")]
     categories = {r.column: list(r.categories) for r in P.levels(df, labelled, max_categories).collect()} if labelled else {}
+    categories |= {c: [str(x) for x in o["domain"]] for c, o in (overrides or {}).items() if o["type"] in DISCRETE and o.get("domain") is not None}
     stamps = [c for c, k in kinds_of.items() if c in kinds and isinstance(k, (T.TimestampType, T.TimestampNTZType, T.DateType))]
     ends = {c: (found[c].lo, found[c].hi) for c in kinds if c not in stamps}
     if stamps:
@@ -147,6 +157,9 @@ def infer(df: DataFrame, targets: Sequence[str] | None = None, survival: bool =
     doc["constraints"] = constraints(schema, constant, rules)
     if target and target["kind"] == "single":
         doc["label_domain"] = categories.get(target["primary_target"], ["0", "1"] if kinds.get(target["primary_target"]) == "binary" else [])
+    stamped = {c: D.DEFAULT for c in stamps} | dates
+    if stamped:
+        doc["datetime_spec"] = {c: {"storage": "epoch_s", "output_format": f, "timezone": "UTC"} for c, f in stamped.items() if c in kinds}
     cells = max(bins.values(), default=5)
     doc["extensions"] = {"max_parents": P.max_parents(n, cells), "partial_order": list(pair) if pair else [], "alpha": {c: P.perks(bins.get(c, len(categories.get(c, [])) or 2)) for c in kinds}}
     return doc
@@ -183,9 +196,36 @@ def validate_rows(schema: Schema, df: DataFrame) -> DataFrame:
         spelled = F.count_if(~missing & x.isNull()) if lo is not None else F.lit(0).cast("long")
         levels = F.approx_count_distinct(F.when(~missing, text), 0.01)
         out.append(F.struct(F.lit(c).alias("column"), undeclared.alias("undeclared"), below.alias("below"), above.alias("above"), spelled.alias("not_number"), levels.alias("levels")))
+    if not out:
+        return df.sparkSession.createDataFrame([], "column string, undeclared long, below long, above long, not_number long, levels long")
     return df.agg(F.array(*out).alias("a")).select(F.explode("a").alias("e")).select("e.*")
 
 
+def range_use(schema: Schema, df: DataFrame) -> DataFrame:
+    """(column, used, numbers): what share of its declared range a numeric column's values span, null without values, and whether the column is stored as
+    numbers; by one aggregation."""
+    plain = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))}
+    out = []
+    for c, kind in schema.kinds.items():
+        if c in df.columns and c in schema.bounds and kind in NUMERIC:
+            lo, hi = schema.bounds[c]
+            x = number(F.col(f"`{c}`").cast("string"))
+            out.append(F.struct(F.lit(c).alias("column"), ((F.max(x) - F.min(x)) / F.lit(hi - lo)).alias("used"), F.lit(c in plain).alias("numbers")))
+    if not out:
+        return df.sparkSession.createDataFrame([], "column string, used double, numbers boolean")
+    return df.agg(F.array(*out).alias("a")).select(F.explode("a").alias("e")).select("e.*")
+
+
+def remarks(schema: Schema, df: DataFrame, least: float = 0.1) -> list[str]:
+    """What doesn't forbid the schema's use with the table but is worth a look: little of a range used, numbers kept as text, labels kept as fractions."""
+    out = schema.warnings()
+    for r in range_use(schema, df).collect():  # a row a column
+        out += [f"{r.column}: uses {r.used:.1%} of its range"] if r.used is not None and r.used < least else []
+        out += [] if r.numbers else [f"{r.column}: numbers kept as text"]
+    fractions = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return out + [f"{c}: labels kept as fractions" for c, k in schema.kinds.items() if k in ("categorical", "ordinal") and c in fractions]
+
+
 def _whole(value: str) -> str:
     """1.0 as 1."""
     try:

@@ -133,7 +133,15 @@ def column_types(df: DataFrame, max_levels: int = 20, max_categories: int = 200,
     In this order: guid, constant (both excluded from the model), binary, ordinal or categorical for few whole levels, integer, continuous,
     timestamp as integer, else categorical.
     """
-    p = profile(df)
+    return types_of(df, profile(df), max_levels, guid_share)
+
+
+#: Columns of ``profile``.
+PROFILE = "column string, missing double, n_distinct long, guid_share double, number_share double, lo double, hi double, integer_like int"
+
+
+def types_of(df: DataFrame, p: DataFrame, max_levels: int = 20, guid_share: float = 0.95) -> DataFrame:
+    """``column_types`` of a profile that is there already."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     stamps = [n for n, k in kinds.items() if isinstance(k, (T.TimestampType, T.TimestampNTZType, T.DateType))]
     flags = [n for n, k in kinds.items() if isinstance(k, T.BooleanType)]

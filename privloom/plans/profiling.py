@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from privloom.functions import bucket, clip, edges, hash_uniform, number
 from privloom.operators import counts as C
+from privloom.operators import dates as DT
 from privloom.operators import encode as E
 from privloom.operators import inference as I
 from privloom.operators import privacy
+from privloom.operators import private_inference as PI
 from privloom.operators import profile as P
 from privloom.plans.base import query, r, rounded, sql_bucket
 from privloom.schema import Schema
@@ -307,3 +309,35 @@ def _(spark, read):
     rules = I.infer(read("lineitem").select("l_quantity", "l_discount", "l_returnflag"))["constraints"]["column_constraints"]  # a rule a column
     rows = [(c, r["type"], r.get("min"), r.get("max"), r.get("allowed_values")) for c, r in rules.items()]
     return spark.createDataFrame(rows, "column string, type string, lo double, hi double, allowed array<string>")
+
+
+_DATED = "(SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y.%m.%d') END AS b, o_orderpriority AS c FROM orders)"
+_SCORES = " UNION ALL ".join(
+    f"SELECT col, {i} AS place, '{f}' AS format, avg(CASE WHEN t IS NOT NULL THEN (try_strptime(t, '{f}') IS NOT NULL)::INT END) AS share, min(epoch(try_strptime(t, '{f}')))::BIGINT AS lo, max(epoch(try_strptime(t, '{f}')))::BIGINT AS hi FROM x GROUP BY col" for i, f in enumerate(DT.FORMATS))
+
+
+@query("prof_dt_format", f"""WITH x AS (SELECT 'a' AS col, a AS t FROM {_DATED} UNION ALL SELECT 'b', nullif(b, 'n/a') FROM {_DATED} UNION ALL SELECT 'c', c FROM {_DATED}), s AS ({_SCORES})
+SELECT col AS "column", format, round(share, 6) + 0.0 AS share, lo, hi FROM s WHERE share >= 0.8 QUALIFY row_number() OVER (PARTITION BY col ORDER BY share DESC, place) = 1""")
+def _(spark, read):
+    """The elected format of text columns, and the epochs that the elected ones hold."""
+    d = F.to_date("o_orderdate")
+    rows = read("orders").select(
+        F.when(F.col("o_orderkey") % 9 == 0, "soon").otherwise(F.date_format(d, "dd/MM/yyyy")).alias("a"), F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.date_format(d, "yyyy.MM.dd")).alias("b"), F.col("o_orderpriority").alias("c"),
+    )
+    formats = DT.elect(rows)
+    epochs = DT.to_epochs(rows, formats)
+    ends = epochs.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(f).alias("format"), F.min(c).alias("lo"), F.max(c).alias("hi")) for c, f in formats.items()]).alias("a")).select(F.explode("a").alias("e")).select("e.*")
+    return ends.join(F.broadcast(rounded(DT.date_scores(rows))), ["column", "format"])
+
+
+@query("dp_measured", "SELECT 'c_acctbal' AS \"column\", min(c_acctbal) AS lo, max(c_acctbal) AS hi, " + ", ".join(r(f"quantile_cont(c_acctbal, {q})", n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))) + f", count(*) AS n, 0.0::DOUBLE AS missing FROM customer UNION ALL SELECT 'k', min(k), max(k), quantile_cont(k, 0.25), quantile_cont(k, 0.5), quantile_cont(k, 0.75), count(k), {r('avg((k IS NULL)::INT)', 'missing')} FROM (SELECT nullif(c_nationkey, 3)::DOUBLE AS k FROM customer)")
+def _(spark, read):
+    """All that a private schema document measures of two columns, before noise."""
+    return rounded(PI.measured(read("customer").select("c_acctbal", F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k")), ["c_acctbal", "k"]))
+
+
+@query("val_range", "SELECT 'c_acctbal' AS \"column\", round((max(c_acctbal) - min(c_acctbal)) / 100000, 6) + 0.0 AS used, true AS numbers FROM customer UNION ALL SELECT 'p', round((max(c_custkey) - min(c_custkey)) / 5000000.0, 6) + 0.0, false FROM customer")
+def _(spark, read):
+    """How much of their declared ranges two columns use, one of them kept as text."""
+    schema = Schema({"c_acctbal": "continuous", "p": "integer"}, {"c_acctbal": (-50000.0, 50000.0), "p": (0.0, 5000000.0)})
+    return rounded(I.range_use(schema, read("customer").select("c_acctbal", F.col("c_custkey").cast("string").alias("p"))))

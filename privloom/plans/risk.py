@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from privloom.metrics import risk as R
 from privloom.operators import analysis as A
 from privloom.operators.analysis import student_quantile
+from privloom.operators.results import flatten_results
 from privloom.plans.base import query, r, rounded, survival
 
 
@@ -155,3 +156,19 @@ def _(spark, read):
 @query("abl_output", f"SELECT {r('avg((c_mktsegment NOT IN (' + chr(39) + 'BUILDING' + chr(39) + ', ' + chr(39) + 'FURNITURE' + chr(39) + '))::INT)', 'invalid_rate')}, {r('avg((c_acctbal < 0 OR c_acctbal > 9000)::INT)', 'outside_rate')} FROM customer")
 def _(spark, read):
     return rounded(read("customer").agg(F.avg((~F.col("c_mktsegment").isin("BUILDING", "FURNITURE")).cast("int")).alias("invalid_rate"), F.avg(R.violates(F.col("c_acctbal"), minimum=0, maximum=9000).cast("int")).alias("outside_rate")))
+
+
+@query("an_flatten", """WITH g AS (SELECT user_id % 20 AS g, max(value) AS hi, min(value) AS lo, count(*) AS n FROM events GROUP BY 1)
+SELECT g, 'a' AS implementation, 'ok' AS status, hi AS fit_time_sec, CASE WHEN g % 3 <> 0 THEN lo END AS km_l1, CASE WHEN g % 4 <> 0 THEN n::DOUBLE END AS marginal_l1, CASE WHEN g % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS composition_gap,
+  CASE WHEN g % 4 = 0 THEN ['utility: lost'] ELSE [] END || CASE WHEN g % 3 = 0 THEN ['survival.km_l1: no events'] ELSE [] END AS errors FROM g
+UNION ALL SELECT g, 'b', 'failed', NULL, NULL, NULL, NULL, ['result: timeout'] FROM g WHERE g % 5 = 0""")
+def _(spark, read):
+    """Result documents built from events: some families and metrics are errors, some synthesizers failed."""
+    g = read("events").groupBy((F.col("user_id") % 20).alias("g")).agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.count(F.lit(1)).alias("n"))
+    km = F.when(F.col("g") % 3 == 0, F.lit('{"error": "no events", "value": NaN}')).otherwise(F.col("lo").cast("string"))
+    utility = F.when(F.col("g") % 4 == 0, F.lit('{"error": "lost", "value": NaN}')).otherwise(F.concat(F.lit('{"marginal": {"mean_overall": '), F.col("n").cast("string"), F.lit("}}")))
+    gap = F.when(F.col("g") % 2 == 0, "true").otherwise("false")
+    a = F.concat(F.lit('"a": {"performance": {"fit_time_sec": '), F.col("hi").cast("string"), F.lit('}, "privacy": null, "survival": {"km_l1": '), km, F.lit('}, "compliance": {"composition": {"gap_flag": '), gap, F.lit('}}, "utility": '), utility, F.lit("}"))
+    b = F.when(F.col("g") % 5 == 0, F.lit(', "b": {"status": "failed", "error": "timeout"}')).otherwise("")
+    documents = g.select("g", F.concat(F.lit("{"), a, b, F.lit("}")).alias("document"))
+    return flatten_results(documents).select("g", "implementation", "status", "fit_time_sec", "km_l1", "marginal_l1", "composition_gap", "errors")

@@ -70,14 +70,14 @@ def dummy_rows(spark: SparkSession, schema: Schema, n: int, seed: str = "dummy",
             value = F.get(F.array(*[F.lit(x) for x in labels]), F.floor(u * len(labels)).cast("int"))
         else:
             lo, hi = schema.bounds[name]
-            if pair and name == pair[0]:
-                event = hash_uniform(seed, pair[1], F.col("id")) < 0.5
+            if pair and name == pair[1]:
+                event = hash_uniform(seed, pair[0], F.col("id")) < 0.5
                 hi_of = F.when(event, F.lit(float(schema.target.get("tau", hi)))).otherwise(F.lit(float(hi)))
                 value = F.lit(lo) + u * (hi_of - lo)
             else:
                 value = F.lit(lo) + u * (hi - lo)
             if kind in ("integer", "ordinal"):
-                value = F.least(F.floor(F.lit(lo) + u * (hi - lo + 1)), F.lit(math.floor(hi))).cast("long") if not (pair and name == pair[0]) else F.rint(value).cast("long")
+                value = F.least(F.floor(F.lit(lo) + u * (hi - lo + 1)), F.lit(math.floor(hi))).cast("long") if not (pair and name == pair[1]) else F.rint(value).cast("long")
         rate = (missing or {}).get(name, 0.0)
         out[name] = F.when(hash_uniform(seed, f"{name}|null", F.col("id")) >= rate, value) if rate else value
     return rows.select("id", *[v.alias(k) for k, v in out.items()])

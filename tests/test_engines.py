@@ -61,7 +61,7 @@ def test_numeric_validation(spark, values, kind, bad):
 
 
 def test_sources(spark, tmp_path):
-    schema = Schema.parse({**DOC, "column_types": {**DOC["column_types"], "t": "integer", "e": "binary"}, "public_bounds": {**DOC["public_bounds"], "t": [1, 100]}, "target_spec": {"kind": "survival_pair", "targets": ["t", "e"], "tau": 50}})
+    schema = Schema.parse({**DOC, "column_types": {**DOC["column_types"], "t": "integer", "e": "binary"}, "public_bounds": {**DOC["public_bounds"], "t": [1, 100]}, "target_spec": {"kind": "survival_pair", "targets": ["e", "t"], "tau": 50}})
     df = sources.dummy_rows(spark, schema, 500, missing={"c_acctbal": 0.3})
     assert df.count() == 500 and 100 < df.filter("c_acctbal is null").count() < 200
     assert df.filter("e = 1 and t > 50").count() == 0 and df.filter("t < 1 or t > 100").count() == 0
