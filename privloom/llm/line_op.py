@@ -346,13 +346,12 @@ def _tiles(members: DataFrame, lines: str, most: int) -> DataFrame:
 
 def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """(a, b): links that join components (``joined``: id, component) whose lines share a large key; None if no large key has two components."""
-    of = F.coalesce("component", "lhash")
-    members = large.join(joined.withColumnRenamed("id", "lhash"), "lhash", "left").select("key", "lhash", of.alias("component"))
-    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("lhash").alias("first"), F.count("*").alias("n")).filter("lo < hi").select("key", "first", "n")
-    total = large.count() if large.take(1) else 0
-    if not total or not apart.take(1):
+    members = large.join(joined.withColumnRenamed("id", "lhash"), "lhash", "left").select("key", "lhash", F.coalesce("component", "lhash").alias("component"))
+    members = durable(members, "line_large")
+    apart = durable(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "line_apart")
+    if not apart.take(1):
         return None
-    members = durable(join_counted(members, apart, "key", total), "line_apart")
+    members = members.join(apart, "key")
     open_lines = durable(members.select("lhash", "component").distinct().join(texts, "lhash"), "line_open")
     counts = np.zeros(BUCKETS, np.int64)
     found = open_lines.select("line").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
@@ -379,18 +378,15 @@ def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int
     rare = durable(open_lines.select("lhash", "component", "line").mapInArrow(work, "key long, lhash long, component long, smaller boolean"), "line_rare")
     own = rare.filter("key <> 0")
     groups = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("smaller").alias("some"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("lhash")).alias("x")).filter("lo < hi and some")
-    groups = groups.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"))  # the same lines once
-    held = join_counted(own, groups.select("key", "n", F.col("n").alias("lines")), "key", rare.count())
-    more = _grouped(_tiles(held, "lines", block // 2).join(texts, "lhash"))
+    groups = durable(groups.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.col("n").alias("lines")), "line_groups")  # the same lines once
+    more = _grouped(_tiles(own.join(groups, "key"), "lines", block // 2).join(texts, "lhash"))
 
-    # lines that only common shingles can tell apart: tiles of their family, the lines that large keys connect
+    # lines that only common shingles can tell apart: tiles of the large keys that they share
     dense = rare.filter("key = 0")
     if dense.filter("smaller").take(1):
-        family = members.filter("lhash <> first").select(F.col("lhash").alias("a"), F.col("first").alias("b"))
-        family = components(family).withColumnRenamed("id", "lhash").withColumnRenamed("component", "key")
-        dense = durable(dense.select("lhash", "component").join(family, "lhash"), "line_dense")
-        sizes = dense.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        tiled = _tiles(join_counted(dense, sizes.select("key", "n", F.col("n").alias("lines")), "key", dense.count()), "lines", TILE)
+        dense = durable(members.join(dense.select("lhash"), "lhash", "left_semi"), "line_dense")
+        sizes = dense.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("lines")).filter("lo < hi").select("key", "lines")
+        tiled = _tiles(dense.join(sizes, "key"), "lines", TILE)
         tiled = tiled.join(texts, "lhash").select("key", "chunk", "lhash", "line", "component").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
         more = more.unionByName(tiled.mapInArrow(link_tiles, "a long, b long")).distinct()
     return more
