@@ -67,9 +67,11 @@ def infer_private(df: DataFrame, epsilon: float, targets: Sequence[str] | None =
         spend("missing_rate", c, each)
     bins, spent = P.sturges(released, P.auto_cap(released)), {}
     doc["binning"] = {}
+    stamps = {c for c in numeric if c in doc.get("datetime_spec", {})}
+    skewed = [c for c in numeric if c not in stamps and found[c].n >= 4]
     for c in numeric:
         lo, hi, cost = (found[c].lo, found[c].hi, 0.0) if found[c].n else (0.0, 1.0, 0.0)
-        stamp = c in doc.get("datetime_spec", {}) or dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz")
+        stamp = c in stamps
         if stamp:  # measured as seconds
             at = doc["public_bounds"][c]
             lo, hi = at["min"], at["max"]
@@ -81,7 +83,7 @@ def infer_private(df: DataFrame, epsilon: float, targets: Sequence[str] | None =
         spend("bounds", c, cost)
         by = pad * (hi - lo) if hi > lo else max(abs(lo) * pad, 1.0) if pad else 0.0
         lo, hi = (math.floor(lo - by), math.ceil(hi + by)) if kinds[c] == "integer" else (lo - by, hi + by)
-        skew, cost = D.noisy_skew((found[c].q1, found[c].q2, found[c].q3), found[c].n, lo, hi, share["strategy"] / len(numeric), noise) if found[c].n >= 4 and not stamp else (0.0, 0.0)
+        skew, cost = D.noisy_skew((found[c].q1, found[c].q2, found[c].q3), found[c].n, lo, hi, share["strategy"] / len(skewed), noise) if c in skewed else (0.0, 0.0)
         spend("strategy", c, cost)
         doc["binning"][c] = "quantile" if abs(skew) > SKEWED else "uniform"
         doc["public_bounds"][c] = {"min": float(lo), "max": float(hi if hi > lo else lo + 1), "n_bins": bins}

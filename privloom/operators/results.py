@@ -48,7 +48,7 @@ def flatten_results(documents: DataFrame, document: str = "document") -> DataFra
     """
     others = [c for c in documents.columns if c != document]
     rows = documents.select(*others, F.explode(F.from_json(document, "map<string,string>")).alias("implementation", "__text"))
-    rows = rows.withColumn("__r", F.from_json("__text", _declared())).filter("__r is not null")
+    rows = rows.withColumn("__r", F.from_json("__text", _declared())).filter(F.trim("__text").startswith("{"))
     raw = lambda path: F.col("__r").getField(path[0]).getField(path[1])
 
     def value(path):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from privloom.functions import MISSING_TOKENS, number
 
+VERSION = "1.6.0"
 NUMERIC, DISCRETE = ("continuous", "integer"), ("categorical", "ordinal", "binary")
 KINDS = ("continuous", "integer", "binary", "ordinal", "categorical", "datetime", "timedelta")
 
@@ -47,13 +48,15 @@ class Schema:
         limits = d.get("constraints") if isinstance(d.get("constraints"), dict) else {}
         rules = limits.get("column_constraints", {})
         rest = {k: v for k, v in d.items() if k not in ("column_types", "public_bounds", "public_categories", "target_spec", "sensitive_attributes")}
+        rest["schema_version"] = d.get("schema_version", VERSION)
+        rest["dataset_info"] = {"n_records": n} | (d.get("dataset_info") or {})
         rest["constraints"] = {k: v for k, v in limits.items() if k != "column_constraints"}
         return cls(kinds, bounds, bins, {k: [str(x) for x in v] for k, v in d.get("public_categories", {}).items()}, rules if isinstance(rules, dict) else {}, d.get("target_spec", {}) or {}, list(d.get("sensitive_attributes", []) or []), n, deepcopy(rest))
 
     def document(self) -> dict:
         """The document that ``parse`` reads to the same schema."""
         bounds = {k: {"min": lo, "max": hi, **({"n_bins": self.bins[k]} if k in self.bins else {})} for k, (lo, hi) in self.bounds.items()}
-        own = {"schema_version": "1.6.0", "dataset_info": {"n_records": self.n_records}, "column_types": self.kinds, "public_bounds": bounds, "public_categories": self.categories}
+        own = {"schema_version": VERSION, "dataset_info": {"n_records": self.n_records}, "column_types": self.kinds, "public_bounds": bounds, "public_categories": self.categories}
         own |= {k: v for k, v in self.rest.items() if k != "constraints"}
         return deepcopy(own | {"constraints": {"column_constraints": self.constraints, **self.rest.get("constraints", {})}, "target_spec": self.target, "sensitive_attributes": self.sensitive})
 
