@@ -64,24 +64,32 @@ class Codec:
 
 @dataclass
 class NetworkEngine:
-    """Parents by noisy mutual information, conditional tables with Laplace noise."""
+    """Parents by noisy mutual information, conditional tables with Laplace noise. A schema's extensions say which columns come first, which parents are
+    forbidden, how many there may be (``most_parents`` at most) and how much each table is smoothed (where ``alpha`` is None)."""
 
     epsilon: float | None = 1.0
     most_parents: int = 2
-    alpha: float = 1.5
+    alpha: float | None = 1.5
+    temperature: float = 1.0
     noise: SecureNoise = field(default_factory=SecureNoise)
 
     def fit(self, df: DataFrame, schema: Schema) -> "NetworkEngine":
         schema.check_rows(df.count())
         self.codec = Codec(schema)
+        more = schema.rest.get("extensions") or {}
+        order = N.column_order(list(schema.kinds), more.get("partial_order") or ())
+        alpha = (more.get("alpha") or 1.5) if self.alpha is None else self.alpha
         coded = self.codec.encode(df).persist()
-        self.net = N.fit(coded, self.codec.sizes(), list(schema.kinds), self.epsilon, self.most_parents, self.alpha, self.noise)
-        coded.unpersist()
+        try:
+            self.net = N.fit(coded, self.codec.sizes(), order, self.epsilon, min(self.most_parents, more.get("max_parents") or self.most_parents), alpha, self.noise, more.get("forbidden_parents"))
+        finally:
+            coded.unpersist()
         return self
 
-    def sample(self, spark: SparkSession, n: int, seed: str = "sample") -> DataFrame:
+    def sample(self, spark: SparkSession, n: int, seed: str = "sample", temperature: float | None = None) -> DataFrame:
         rows = spark.range(n).withColumnRenamed("id", "__id")
-        return self.codec.decode(self.net.sample(rows, "__id", seed=seed), "__id", seed).drop("__id")
+        codes = self.net.sample(rows, "__id", seed=seed, temperature=temperature or self.temperature)
+        return self.codec.decode(codes, "__id", seed).drop("__id")
 
     def report(self) -> dict:
         return {"epsilon_total": self.epsilon, "epsilon_structure": self.net.spent["structure"], "epsilon_cpt": self.net.spent["tables"], "epsilon_metadata": 0.0, "delta": 0.0,

@@ -92,4 +92,4 @@ def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     each = halved.groupBy("b", "node", "r").agg(F.sum(F.when(F.col("later") == 1, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("later") == 0, F.col("d")).otherwise(0)).alias("d"))
     each = scan(each, "r", {"upto": F.col("n")}, ["b", "node"])
     pairs = F.sum(F.col("d") * F.col("upto_total"))
-    return each.agg((F.sum(F.col("d") * (F.col("upto") - F.col("n") / 2)) / pairs).alias("concordance"), pairs.alias("pairs"))
+    return each.agg(F.try_divide(F.sum(F.col("d") * (F.col("upto") - F.col("n") / 2)), pairs).alias("concordance"), F.coalesce(pairs, F.lit(0)).alias("pairs"))

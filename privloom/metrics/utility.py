@@ -45,7 +45,7 @@ def wasserstein(both: DataFrame, column: str, by: Sequence[str] = ()) -> DataFra
     """One row (distance), or one for each group (by, distance): the area between the two sides' distribution functions."""
     cells = both.select("side", *by, number(F.col(column)).alias("x")).dropna(subset=["x"]).groupBy(*by, "x").agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1"))
     cells = scan(cells, "x", {"c0": F.col("n0"), "c1": F.col("n1")}, by, following="next")
-    gap = F.abs(F.col("c0") / F.col("c0_total") - F.col("c1") / F.col("c1_total"))
+    gap = F.abs(F.try_divide("c0", "c0_total") - F.try_divide("c1", "c1_total"))  # null where a side has no rows
     return cells.groupBy(*by).agg(F.coalesce(F.sum(gap * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("distance"))
 
 
@@ -53,7 +53,7 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row (auc): chance that a row of label 1 scores above one of label 0, ties half."""
     cells = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y")).dropna().groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     cells = scan(cells, "s", {"upto": F.col("q")})
-    return cells.withColumn("w", F.col("p") * (F.col("upto") - F.col("q") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return cells.withColumn("w", F.col("p") * (F.col("upto") - F.col("q") / 2)).agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -94,7 +94,7 @@ def with_average_rank(df: DataFrame, column: str, name: str = "average_rank") ->
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, rho): rank correlations of all pairs of columns over the rows where both are there. All pairs' cells come of one scan, and all
+    """(by, a, b, rho): rank correlations of all pairs of columns over the rows where both are there, null if one is constant. All pairs' cells come of one scan, and all
     their ranks of another."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
@@ -111,7 +111,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         out = out.join(own, same).drop("__v", *[f"__{k}" for k in keys])
     n, mx, my = F.sum("cell"), F.sum(F.col("cell") * F.col("rx")), F.sum(F.col("cell") * F.col("ry"))
     xy, xx, yy = (F.sum(F.col("cell") * F.col(p) * F.col(q)) for p, q in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
-    return out.groupBy(*keys).agg(((n * xy - mx * my) / F.sqrt((n * xx - mx * mx) * (n * yy - my * my))).alias("rho"))
+    return out.groupBy(*keys).agg(F.try_divide(n * xy - mx * my, F.sqrt((n * xx - mx * mx) * (n * yy - my * my))).alias("rho"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

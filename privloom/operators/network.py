@@ -19,6 +19,24 @@ from privloom.operators.counts import conditional, contingency, keyed_counts
 CELLS = 2_000_000
 
 
+def column_order(columns: Sequence[str], first: Sequence[str] = ()) -> list[str]:
+    """The columns with those of a declared partial order in front, the others after them as they were; only earlier columns can be parents."""
+    ahead = [c for c in dict.fromkeys(first) if c in columns]
+    return [*ahead, *[c for c in columns if c not in ahead]]
+
+
+def tempered(table: np.ndarray, temperature: float) -> np.ndarray:
+    """Rows of probabilities to the power of 1 / temperature, as shares again: below 1 likely codes become likelier, above 1 all more alike."""
+    if temperature <= 0:
+        raise ValueError("a temperature is above 0")
+    if temperature == 1:
+        return table
+    with np.errstate(divide="ignore"):
+        logs = np.log(table) / temperature
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def rank_parents(scores: dict[tuple[str, str], float], order: Sequence[str], most: int, forbidden: dict[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
     """For each column the ``most`` earlier ones with the largest score (ties by name), without the forbidden."""
     out = {}
@@ -51,15 +69,15 @@ class Network:
             key = key * self.sizes[p] + F.col(p).cast("long")
         return key
 
-    def sample(self, rows: DataFrame, id_column: str, uniform: Callable | None = None, seed: str = "sample") -> DataFrame:
-        """``rows`` with a code for each column: the first whose cumulative probability reaches a uniform number.
+    def sample(self, rows: DataFrame, id_column: str, uniform: Callable | None = None, seed: str = "sample", temperature: float = 1.0) -> DataFrame:
+        """``rows`` with a code for each column: the first whose cumulative probability, at a temperature, reaches a uniform number.
 
         Small tables are array literals, so a row is sampled within one stage; larger ones are joined by their key.
         """
         spark = rows.sparkSession
         uniform = uniform or (lambda tag: hash_uniform(seed, tag, F.col(id_column)))
         for child in self.order:
-            table = np.cumsum(self.tables[child], axis=1)
+            table = np.cumsum(tempered(self.tables[child], temperature), axis=1)
             u = uniform(child)
             pick = lambda cdf: F.least(F.size(F.filter(cdf, lambda c: c < u)), F.lit(self.sizes[child] - 1)).cast("int")  # noqa: B023, E731
             if table.size <= 4096:
@@ -84,8 +102,8 @@ def dense_pairs(df: DataFrame, sizes: dict[str, int]) -> dict[tuple[str, str], n
     return out
 
 
-def fit(df: DataFrame, sizes: dict[str, int], order: Sequence[str], epsilon: float | None = None, most: int = 2, alpha: float = 1.5, noise=None, forbidden=None, structure_share: float = 0.3) -> Network:
-    """A network with Laplace-noised two-way tables for its structure and Laplace-noised conditional counts.
+def fit(df: DataFrame, sizes: dict[str, int], order: Sequence[str], epsilon: float | None = None, most: int = 2, alpha: float | dict[str, float] = 1.5, noise=None, forbidden=None, structure_share: float = 0.3) -> Network:
+    """A network with Laplace-noised two-way tables for its structure and Laplace-noised conditional counts, smoothed by ``alpha`` (of all or of each).
 
     ``epsilon`` None adds no noise; ``noise`` is a ``privloom.operators.privacy`` source, secure by default.
     """
@@ -108,7 +126,7 @@ def fit(df: DataFrame, sizes: dict[str, int], order: Sequence[str], epsilon: flo
             counts[row.key, row.child] = row.n
         if eps_c:
             counts = counts + noise.laplace(len(order) / eps_c, counts.shape)
-        mass = np.maximum(counts, 0) + alpha
+        mass = np.maximum(counts, 0) + (alpha.get(child, 1.5) if isinstance(alpha, dict) else alpha)
         total = mass.sum(1, keepdims=True)
         net.tables[child] = np.where(total > 1e-12, mass / np.maximum(total, 1e-12), 1 / sizes[child])
     return net

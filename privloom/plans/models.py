@@ -16,6 +16,7 @@ from privloom.operators.compression import Compression
 from privloom.operators.counts import contingency, pairwise_mi
 from privloom.operators.privacy import most_parents_useful, tree_of_rows
 from privloom.plans.base import query, r, rounded
+from privloom.plans.counting import _COLS, _nmi_sql
 from privloom.streaming import windowed_counts
 
 _SIZES = {"f": 3, "s": 2, "n": 7}
@@ -79,7 +80,7 @@ def _(spark, read):
     return net.sample(rows.select("id"), "id").groupBy("f", "s").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A_order", f"""WITH m AS (SELECT p, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS p FROM orders) GROUP BY 1), c AS (SELECT p, sum(n) OVER (ORDER BY p) / sum(n) OVER () AS hi FROM m),
+@query("A_root", f"""WITH m AS (SELECT p, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS p FROM orders) GROUP BY 1), c AS (SELECT p, sum(n) OVER (ORDER BY p) / sum(n) OVER () AS hi FROM m),
 l AS (SELECT list(hi ORDER BY p) AS cdf FROM c), u AS (SELECT o_orderkey, (('0x' || substr(md5('sample|status|' || o_orderkey), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM orders)
 SELECT o_orderkey, least(len(list_filter(cdf, lambda c: c < u)), 2)::INT AS status FROM u, l""")
 def _(spark, read):
@@ -220,3 +221,20 @@ def _(spark, read):
     pooled = pools.encode(rows)
     back = pools.decode(pooled, "p_partkey", "pool").select("p_partkey", F.col("p_size").alias("restored"))
     return pooled.withColumnRenamed("p_size", "pooled").join(back, "p_partkey")
+
+
+_FIRST = ("l_linenumber", "l_linestatus")
+_ORDER = N.column_order(_COLS, _FIRST)
+
+
+@query("A_order", f"""WITH {_nmi_sql()}, o(place, c) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_ORDER))}), e AS (SELECT a AS x, b AS y, mi FROM m UNION ALL SELECT b, a, mi FROM m)
+SELECT o.place, o.c AS child, p.parent FROM o LEFT JOIN (SELECT y AS child, arg_min(x, (-round(mi, 12), x)) AS parent FROM e JOIN o a ON a.c = x JOIN o b ON b.c = y WHERE a.place < b.place GROUP BY y) p ON p.child = o.c""")
+def _(spark, read):
+    """Columns with a declared partial order in front, and of each the best parent among the earlier ones."""
+    m = pairwise_mi(read("lineitem"), _COLS)
+    places = spark.createDataFrame(list(enumerate(_ORDER)), "place int, child string")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("child")), F.struct(F.col("b").alias("x"), F.col("a").alias("child"))))
+    edges = m.select(ends.alias("e"), F.round("mi", 12).alias("mi")).select("e.*", "mi")
+    earlier = places.withColumnsRenamed({"place": "at", "child": "x"})
+    best = edges.join(F.broadcast(places), "child").join(F.broadcast(earlier), "x").filter("at < place").groupBy("child").agg(F.min_by("x", F.struct(-F.col("mi"), "x")).alias("parent"))
+    return places.join(best, "child", "left").select("place", "child", "parent")

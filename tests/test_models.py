@@ -90,3 +90,23 @@ def test_trees():
     assert len(G.greedy_cliques({("a", "b"): 1.0, ("b", "c"): 2.0, ("a", "c"): 0.1}, ["a", "b", "c"])) == 2
     with pytest.raises(ValueError):
         G.Model(G.Domain({c: 100 for c in "abcdef"}), [tuple("abcdef")], 1.0)
+
+
+def test_order_temperature_and_extensions(spark):
+    import numpy as np
+
+    from privloom.engines import NetworkEngine
+    from privloom.operators.network import column_order, tempered
+    from privloom.schema import Schema
+
+    assert column_order(["a", "b", "c"], ["c", "z", "a", "c"]) == ["c", "a", "b"]
+    p = np.array([[0.5, 0.3, 0.2], [1.0, 0.0, 0.0]])
+    assert tempered(p, 0.5)[0] == pytest.approx(np.array([25, 9, 4]) / 38) and tempered(p, 0.5)[1].tolist() == [1, 0, 0] and tempered(p, 1.0) is p
+    with pytest.raises(ValueError):
+        tempered(p, 0)
+    df = spark.createDataFrame([(i % 3, i % 3, i % 2) for i in range(600)], "a int, b int, c int").selectExpr("string(a) a", "string(b) b", "c")
+    doc = {"column_types": {"a": "categorical", "b": "categorical", "c": "binary"}, "public_categories": {"a": ["0", "1", "2"], "b": ["0", "1", "2"]}, "dataset_info": {"n_records": 600}}
+    ordered = NetworkEngine(epsilon=None).fit(df, Schema.parse({**doc, "extensions": {"partial_order": ["c", "b"], "forbidden_parents": {"a": ["b"]}, "max_parents": 1, "alpha": {"a": 5.0}}}))
+    assert ordered.net.order == ["c", "b", "a"] and ordered.net.parents == {"c": [], "b": ["c"], "a": ["c"]}
+    plain = NetworkEngine(epsilon=None, alpha=None).fit(df, Schema.parse(doc))
+    assert plain.sample(spark, 500, temperature=0.05).filter("a <> b").count() == 0
