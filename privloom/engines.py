@@ -13,6 +13,7 @@ from privloom.operators import encode as E
 from privloom.operators import graphical as G
 from privloom.operators import network as N
 from privloom.operators.cliques import grow_cliques
+from privloom.operators.inference import infer
 from privloom.operators.compression import Compression
 from privloom.operators.privacy import SecureNoise, rho_of
 from privloom.schema import Schema
@@ -73,7 +74,10 @@ class NetworkEngine:
     temperature: float = 1.0
     noise: SecureNoise = field(default_factory=SecureNoise)
 
-    def fit(self, df: DataFrame, schema: Schema) -> "NetworkEngine":
+    def fit(self, df: DataFrame, schema: Schema | None = None) -> "NetworkEngine":
+        """Without a schema one is inferred from the rows, which the report says."""
+        self.inferred = schema is None
+        schema = schema or Schema.parse(infer(df))
         schema.check_rows(df.count())
         self.codec = Codec(schema)
         more = schema.rest.get("extensions") or {}
@@ -93,7 +97,7 @@ class NetworkEngine:
 
     def report(self) -> dict:
         return {"epsilon_total": self.epsilon, "epsilon_structure": self.net.spent["structure"], "epsilon_cpt": self.net.spent["tables"], "epsilon_metadata": 0.0, "delta": 0.0,
-                "mechanism_structure": "laplace", "mechanism_cpt": "laplace", "metadata_source": "public schema", "adjacency": "add or remove a row", "composition": "sequential"}
+                "mechanism_structure": "laplace", "mechanism_cpt": "laplace", "metadata_source": "inferred from the rows, not private" if self.inferred else "public schema", "undeclared": ["schema inferred from the rows"] if self.inferred else [], "adjacency": "add or remove a row", "composition": "sequential"}
 
 
 @dataclass
@@ -236,7 +240,7 @@ class ClusteredEngine:
     def report(self) -> dict:
         half = self.epsilon / 2 if self.epsilon else None
         return {"epsilon_total": self.epsilon, "epsilon_structure": half, "epsilon_cpt": half, "epsilon_metadata": 0.0, "delta": 0.0, "mechanism_structure": "exponential", "mechanism_cpt": "laplace",
-                "metadata_source": "learned from the rows, not private", "bins": self.used_bins, "bins_source": self.source, "adjacency": "add or remove a row", "composition": "sequential"}
+                "metadata_source": "learned from the rows, not private", "undeclared": ["values and bounds of columns", "number of rows in the number of parents"], "bins": self.used_bins, "bins_source": self.source, "adjacency": "add or remove a row", "composition": "sequential"}
 
 
 ENGINES = {"network": NetworkEngine, "graphical": GraphicalEngine, "clustered": ClusteredEngine}

@@ -104,3 +104,12 @@ def ledger(report: dict) -> dict:
     out["completeness"] = sum(out[k] is not None for k in LEDGER) / len(LEDGER)
     out["budget_coverage"] = sum(phases) / total if total else math.nan
     return out
+
+
+def composition(report: dict) -> dict:
+    """What a synthesizer's report says of how its budget adds up: the phases that name a cost, the steps that read rows without one, and the declared phases
+    over the total (above 1: more is spent than declared; None: no total)."""
+    phases = {k: report[k] for k in ("epsilon_structure", "epsilon_cpt", "epsilon_metadata") if report.get(k)}
+    total, gaps = report.get("epsilon_total"), list(report.get("undeclared") or [])
+    ratio = round(sum(phases.values()) / total, 4) if total else None
+    return {"declared_phases": list(phases), "undeclared_data_dependent_phases": gaps, "gap_flag": bool(gaps), "n_gaps": len(gaps), "composition_gap_ratio": ratio}

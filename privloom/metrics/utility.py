@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +30,18 @@ def cell_distance(both: DataFrame, cells: Sequence[str]) -> DataFrame:
     return one.agg((F.sum(F.abs(F.col("n0") / F.col("t0") - F.col("n1") / F.col("t1"))) / 2).alias("distance"))
 
 
-def pairwise_distance(both: DataFrame, codes: dict[str, Column]) -> DataFrame:
-    """(a, b, distance) for all pairs of coded columns, of one scan."""
-    names = list(codes)
-    rows = both.select("side", *[v.cast("int").alias(k) for k, v in codes.items()])
+def sampled_pairs(names: Sequence[str], most: int | None = None, seed: str = "pairs") -> list[tuple[str, str]]:
+    """All pairs of names, or ``most`` of them by the hash of seed and names: the same ones in every run."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if most is None or len(pairs) <= most:
+        return pairs
+    return sorted(pairs, key=lambda p: hashlib.md5(f"{seed}|{p[0]}|{p[1]}".encode()).hexdigest())[:most]
+
+
+def pairwise_distance(both: DataFrame, codes: dict[str, Column], most: int | None = None, seed: str = "pairs") -> DataFrame:
+    """(a, b, distance) for all pairs of coded columns, or ``most`` sampled ones, of one scan."""
+    pairs = sampled_pairs(list(codes), most, seed)
+    rows = both.select("side", *[v.cast("int").alias(k) for k, v in codes.items() if any(k in p for p in pairs)])
     long = rows.select("side", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("c")).select("side", "c.*")
     cells = long.groupBy("a", "b", "x", "y").agg(F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.sum((F.col("side") == 1).cast("long")).alias("n1"))
     w = Window.partitionBy("a", "b")

@@ -47,12 +47,12 @@ def range_of(value: Column, kind: str, at: Sequence[str]) -> Column:
     return F.coalesce(F.when(outer > 0, (outer - 1) * width + inner).otherwise(0), F.lit(0))
 
 
-def scan(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), following: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+def scan(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), following: str | None = None, rows: int = RANGE_ROWS, ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with, for each of ``sums``, its running sum in the order of a column (this row's value included) and, as ``<name>_total``, its group's
     sum; ``following`` names the next value of the order. Groups are by ``by``, nulls first.
 
-    Rows that are equal in group and order get the sums after some of them: aggregate them to one first, which also keeps a value that very
-    many rows share from filling one range.
+    Rows that are equal in group and order go by ``ties``, or else get the sums after some of them: aggregate them to one first, which also keeps
+    a value that very many rows share from filling one range.
     """
     kind = dict(df.dtypes)[order]
     keys = list(by)
@@ -66,7 +66,7 @@ def scan(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] =
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
     joined = placed.join(ranges, same)
-    inside = Window.partitionBy(*keys, "__range").orderBy(order)
+    inside = Window.partitionBy(*keys, "__range").orderBy(order, *ties)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = {n: F.col(f"__before_{n}") + F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)) for n in sums}
     if following:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import hash_uniform
-from privloom.operators.prefix import order_statistics
+from privloom.operators.prefix import order_statistics, scan
 
 def lookup(df: DataFrame, key: Column, table: DataFrame, value: str, most: int = 2_000_000) -> DataFrame:
     """``df`` with the row of a conditional table (key, value): broadcast if the table has ``most`` cells at most, else a shuffled join."""
@@ -76,8 +76,8 @@ def allot(df: DataFrame, groups: Sequence[str], shares: DataFrame, key: str, see
 
     A row of rank i of n gets the first code whose cumulative share exceeds (i + 0.5) / n.
     """
-    w = Window.partitionBy(*groups)
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(hash_uniform(seed, "allot", F.col(key)), key)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    ranked = scan(df.withColumn("__u", hash_uniform(seed, "allot", F.col(key))), "__u", {"__i": F.lit(1)}, groups, ties=[key])
+    ranked = ranked.withColumn("__i", F.col("__i") - 1).withColumnRenamed("__i_total", "__n").drop("__u")
     table = shares.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("code", "p"))).alias("__s"))
     joined = ranked.join(table, list(groups))
     at = (F.col("__i") + 0.5) / F.col("__n")

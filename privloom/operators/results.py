@@ -151,7 +151,7 @@ def report(real: DataFrame, synthetic: DataFrame, schema, implementation: str, l
     if test is not None and key and numeric:
         privacy["mia"] = guarded(lambda: risk.membership(near(real), near(test), near(synthetic), key, "v").first().asDict())
     rates = guarded(lambda: {"overall_violation_rate": one(synthetic.agg(F.avg(_broken(schema).cast("int"))))})
-    return {"implementation": implementation, "status": "ok", "compliance": {"ledger": (held := risk.ledger(ledger or {})), "ledger_completeness": held["completeness"]}, "utility": utilities, "survival": survivals, "privacy": privacy, "performance": performance or {}, "constraints": rates}
+    return {"implementation": implementation, "status": "ok", "compliance": {"ledger": (held := risk.ledger(ledger or {})), "ledger_completeness": held["completeness"], "composition": risk.composition(ledger or {})}, "utility": utilities, "survival": survivals, "privacy": privacy, "performance": performance or {}, "constraints": rates}
 
 
 def _broken(schema):

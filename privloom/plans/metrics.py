@@ -48,12 +48,21 @@ f AS (SELECT a, b, n0 / sum(n0) OVER (PARTITION BY a, b) AS p, n1 / sum(n1) OVER
 SELECT a, b, {r('sum(abs(p - q)) / 2', 'distance')} FROM f GROUP BY a, b"""
 
 
+def _coded_columns():
+    flag = F.col("l_returnflag")
+    return {"l_quantity": bucket(F.col("l_quantity"), QTY8, True), "l_extendedprice": bucket(F.col("l_extendedprice"), PRICE8, True), "l_discount": bucket(F.col("l_discount"), DISC8, True),
+            "l_returnflag": F.when(flag == "N", 1).when(flag == "R", 2).otherwise(0)}
+
+
 @query("m_tvd", _tvd_sql())
 def _(spark, read):
-    flag = F.col("l_returnflag")
-    codes = {"l_quantity": bucket(F.col("l_quantity"), QTY8, True), "l_extendedprice": bucket(F.col("l_extendedprice"), PRICE8, True), "l_discount": bucket(F.col("l_discount"), DISC8, True),
-             "l_returnflag": F.when(flag == "N", 1).when(flag == "R", 2).otherwise(0)}
-    return rounded(U.pairwise_distance(halves(read, ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]), codes))
+    return rounded(U.pairwise_distance(halves(read, list(_CODES)), _coded_columns()))
+
+
+@query("smp_pairs", f"SELECT * FROM ({_tvd_sql()}) ORDER BY md5('pairs|' || a || '|' || b) LIMIT 3")
+def _(spark, read):
+    """Distances of three sampled pairs of columns."""
+    return rounded(U.pairwise_distance(halves(read, list(_CODES)), _coded_columns(), 3))
 
 
 def _w1_sql(x: str, table: str, key: str) -> str:

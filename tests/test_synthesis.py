@@ -184,3 +184,18 @@ def test_report_survives_failed_families(spark):
     assert results.guarded(lambda: 1 / 0) == {"error": "division by zero", "value": None}
     broken = results.report(df, df.drop("age").withColumn("age", F.lit("x")), schema, "network")
     assert broken["status"] == "ok" and broken["utility"]["marginal"] is not None
+
+
+def test_composition_and_inferred_schema(spark):
+    from privloom.engines import NetworkEngine
+    from privloom.metrics.risk import composition
+    from privloom.metrics.utility import sampled_pairs
+
+    df = spark.createDataFrame([("ab"[i % 2], i % 7, i * 0.37) for i in range(300)], "k string, n int, x double")
+    engine = NetworkEngine(epsilon=2.0, noise=SeededNoise(1)).fit(df)
+    assert engine.sample(spark, 50).columns == ["k", "n", "x"]
+    told = composition(engine.report())
+    assert told["gap_flag"] and told["n_gaps"] == 1 and told["composition_gap_ratio"] == 1.0 and told["declared_phases"] == ["epsilon_structure", "epsilon_cpt"]
+    assert composition({"epsilon_total": 1.0, "epsilon_cpt": 1.5}) | {"gap_flag": False, "composition_gap_ratio": 1.5} == composition({"epsilon_total": 1.0, "epsilon_cpt": 1.5})
+    assert composition({})["composition_gap_ratio"] is None
+    assert len(sampled_pairs("abcdef", 4)) == 4 and sampled_pairs("abcdef", 4) == sampled_pairs("abcdef", 4) and len(sampled_pairs("abcd")) == 6
