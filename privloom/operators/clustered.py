@@ -23,6 +23,8 @@ from privloom.operators.relational import lookup
 
 #: Clusters of a set's codes, rounds of clustering, and the heaviest codes that its first centroids are chosen from.
 CLUSTERS, ROUNDS, SEEDS = 10, 8, 256
+#: Distinct codes of all sets that the driver clusters itself; more are clustered by Spark, in the same way.
+SMALL = 100_000
 #: Observed cells of a conditional table at most: it is on the driver when noise is drawn. The last parent goes beyond that.
 CELLS = 2_000_000
 
@@ -57,6 +59,9 @@ def first_centroids(points: np.ndarray, weights: np.ndarray, k: int = CLUSTERS)
 def cluster(cells: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS) -> dict[int, np.ndarray]:
     """Centroids of each set's distinct codes, weighted by their rows: Lloyd's rounds, of all sets at once, until none moves."""
     one = cells.groupBy("set", "codes", "child").agg(F.sum("n").alias("w")).groupBy("set", "codes").agg(F.max("w").alias("w"))
+    few = one.limit(SMALL + 1).collect()
+    if len(few) <= SMALL:
+        return _cluster_few([(r["set"], r["codes"], r["w"]) for r in few], k, rounds)
     heavy = Window.partitionBy("set").orderBy(F.desc("w"), "codes")
     found: dict[int, list] = {}
     for row in one.withColumn("r", F.row_number().over(heavy)).filter(F.col("r") <= SEEDS).orderBy("set", "r").collect():
@@ -74,6 +79,27 @@ def cluster(cells: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS) -> dict[i
     return centroids
 
 
+def _cluster_few(rows: list[tuple[int, list[int], int]], k: int, rounds: int) -> dict[int, np.ndarray]:
+    """``cluster`` of codes that are all here."""
+    held: dict[int, list] = {}
+    for s, codes, w in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        held.setdefault(s, []).append((codes, w))
+    out = {}
+    for s, v in held.items():
+        points, weights = np.array([c for c, _ in v], float).reshape(len(v), -1), np.array([w for _, w in v], float)
+        centroids = first_centroids(points[:SEEDS], weights[:SEEDS], k)
+        for _ in range(rounds):
+            near = ((points[:, None] - centroids[None]) ** 2).sum(2).argmin(1)
+            mass = np.bincount(near, weights, len(centroids))
+            moved = np.stack([np.bincount(near, weights * points[:, i], len(centroids)) for i in range(points.shape[1])], 1) / np.maximum(mass, 1e-300)[:, None]
+            moved = np.where(mass[:, None] > 0, moved, centroids)
+            if np.allclose(moved, centroids, atol=1e-9):
+                break
+            centroids = moved
+        out[s] = centroids
+    return out
+
+
 def cluster_scores(cells: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
     """(set, child, score): the information of cluster and child over the mean of their entropies; 1 if both are constant, 0 if one is."""
     dealt = _with_centroids(cells, centroids).withColumn("cluster", _nearest(F.col("centroids"), F.col("codes")))

@@ -35,11 +35,20 @@ def test_search_finds_the_planted_network(spark):
     assert K.search(df, sizes, None, 0, root="b")[1:] == [(c, []) for c in "acde"]
 
 
-def test_clusters_of_distinct_codes(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_clusters_of_distinct_codes(spark, monkeypatch, small):
+    monkeypatch.setattr(K, "SMALL", small)
     df = spark.createDataFrame([(x, y, 0) for x, y in [(0, 0), (0, 1), (9, 9), (9, 8)] * 5], "x int, y int, z int")
     cells = K.candidate_cells(df, [("x", "y")], ["z"])
     found = K.cluster(cells, 2)[0]
     assert sorted(found.tolist()) == [[0.0, 0.5], [9.0, 8.5]]
+    wide, sizes = planted(spark, 800)
+    both = K.candidate_cells(wide, [("a", "c"), ("a", "b")], list(sizes))
+    monkeypatch.setattr(K, "SMALL", 100_000)
+    here = K.cluster(both, 4)
+    monkeypatch.setattr(K, "SMALL", small)
+    there = K.cluster(both, 4)
+    assert all(here[i] == pytest.approx(there[i]) for i in (0, 1))
     assert [(r["set"], r.child, r.score) for r in K.cluster_scores(cells, {0: found}).collect()] == [(0, "z", 0.0)]
     assert K.first_centroids(np.array([[1.0], [1.0], [5.0]]), np.array([1, 1, 1]), 3).tolist() == [[1.0], [5.0]]
 
