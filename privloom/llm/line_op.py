@@ -344,9 +344,16 @@ def _tiles(members: DataFrame, lines: str, most: int) -> DataFrame:
     return members.withColumn("chunk", F.explode(tiles)).select("key", "chunk", "lhash", "component")
 
 
+def _of_ids(joined: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``joined`` (id, component) of the few ``ids``, without a shuffle of all components where these ids fit a broadcast."""
+    ids = durable(ids.distinct(), "line_ids")
+    return durable(joined.join(F.broadcast(ids) if 8 * ids.count() <= SMALL else ids, "id"), "line_known")
+
+
 def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """(a, b): links that join components (``joined``: id, component) whose lines share a large key; None if no large key has two components."""
-    members = large.join(joined.withColumnRenamed("id", "lhash"), "lhash", "left").select("key", "lhash", F.coalesce("component", "lhash").alias("component"))
+    known = _of_ids(joined, large.select(F.col("lhash").alias("id"))).withColumnRenamed("id", "lhash")
+    members = large.join(known, "lhash", "left").select("key", "lhash", F.coalesce("component", "lhash").alias("component"))
     members = durable(members, "line_large")
     apart = durable(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "line_apart")
     if not apart.take(1):
@@ -401,11 +408,12 @@ def line_components(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> Da
         return joined.withColumnRenamed("id", "lhash")
     # the links that were missing are links of components
     more = durable(more, "line_more")
-    root = joined.select(F.col("id"), F.col("component").alias("root"))
-    ends = more.join(root.withColumnRenamed("id", "a").withColumnRenamed("root", "ra"), "a", "left").join(root.withColumnRenamed("id", "b").withColumnRenamed("root", "rb"), "b", "left")
+    ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    root = _of_ids(joined, ids)
+    ends = more.join(root.select(F.col("id").alias("a"), F.col("component").alias("ra")), "a", "left").join(root.select(F.col("id").alias("b"), F.col("component").alias("rb")), "b", "left")
     merged = durable(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "line_merged")
     merged = merged.select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    every = joined.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(joined, "id", "left_anti").withColumn("component", F.col("id")))
+    every = joined.unionByName(ids.join(root, "id", "left_anti").withColumn("component", F.col("id")))
     every = every.join(merged, "component", "left").select(F.col("id").alias("lhash"), F.coalesce("whole", "component").alias("component"))
     return durable(every, "line_all_components")
 
