@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from privloom.functions import bucket, clip, edges, hash_uniform, number
+from privloom.functions import clip, edges, hash_uniform, number
 from privloom.operators import counts as C
 from privloom.operators import dates as DT
 from privloom.operators import encode as E
