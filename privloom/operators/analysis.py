@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def student_quantile(p: float, df: int) -> float:
     """By bisection of the distribution function, a regularised incomplete beta function by its continued fraction."""
 
@@ -50,6 +49,19 @@ def over_seeds(runs: DataFrame, by: Sequence[str], metric: str, most: int = 1_00
     return agg.select(*by, "n", "mean", "std", "se", (t * F.col("se")).alias("half"))
 
 
+def ablation_intervals(runs: DataFrame, by: Sequence[str], metric: str, most: int = 1_000) -> DataFrame:
+    """(by, runs, n, mean, std, se, half) of an ablation's conditions: n counts the values that aren't null and gives the standard error, while Student's
+    quantile goes by all runs of the condition. A single value has no spread (0), a condition without values has nulls; a single run has no interval."""
+    spark = runs.sparkSession
+    agg = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"))
+    agg = agg.withColumn("std", F.when(F.col("n") == 1, 0.0).otherwise(F.col("std")))
+    sizes = sorted({r.runs for r in agg.select("runs").distinct().filter(F.col("runs").between(2, most + 1)).collect()})
+    table = spark.createDataFrame([(int(n), student_quantile(0.975, n - 1)) for n in sizes], "runs long, t double")
+    agg = agg.join(F.broadcast(table), "runs", "left").withColumn("se", F.when(F.col("n") > 0, F.col("std") / F.sqrt("n")))
+    t = F.when(F.col("runs") > most + 1, F.lit(1.959963984540054)).otherwise(F.col("t"))
+    return agg.select(*by, "runs", "n", "mean", "std", "se", (t * F.col("se")).alias("half"))
+
+
 def best(results: DataFrame, by: Sequence[str], name: str, metric: str, lower: bool, exclude: Sequence[str] = ()) -> DataFrame:
     """(by, best): the name with the best value in each group, ties to the first name, the excluded left out."""
     sign = 1 if lower else -1

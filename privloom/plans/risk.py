@@ -172,3 +172,17 @@ def _(spark, read):
     b = F.when(F.col("g") % 5 == 0, F.lit(', "b": {"status": "failed", "error": "timeout"}')).otherwise("")
     documents = g.select("g", F.concat(F.lit("{"), a, b, F.lit("}")).alias("document"))
     return flatten_results(documents).select("g", "implementation", "status", "fit_time_sec", "km_l1", "marginal_l1", "composition_gap", "errors")
+
+
+_T_OF_RUNS = ", ".join(f"({n}, {student_quantile(0.975, n - 1)!r}::DOUBLE)" for n in range(2, 12))
+
+
+@query("an_abl_ci", f"""WITH t(runs, t) AS (VALUES {_T_OF_RUNS}), x AS (SELECT event_type, user_id % 4 AS condition, user_id % 7 AS run, avg(value) AS v FROM events GROUP BY 1, 2, 3),
+m AS (SELECT event_type, condition, CASE WHEN run >= condition * 2 THEN v END AS m FROM x), a AS (SELECT event_type, condition, count(*) AS runs, count(m) AS n, avg(m) AS mean, CASE WHEN count(m) = 1 THEN 0 ELSE stddev_samp(m) END AS std FROM m GROUP BY 1, 2)
+SELECT event_type, condition, runs, n, {r('mean', 'mean')}, {r('std', 'std')}, {r('std / sqrt(n)', 'se')}, {r('t * std / sqrt(n)', 'half')} FROM a LEFT JOIN t USING (runs)""")
+def _(spark, read):
+    """Intervals of conditions of which some runs failed, pseudo-runs of events."""
+    u = F.col("user_id")
+    runs = read("events").groupBy("event_type", (u % 4).alias("condition"), (u % 7).alias("run")).agg(F.avg("value").alias("v"))
+    runs = runs.withColumn("m", F.when(F.col("run") >= F.col("condition") * 2, F.col("v")))
+    return rounded(A.ablation_intervals(runs, ["event_type", "condition"], "m"))
