@@ -50,3 +50,31 @@ def test_concordance(spark, digits):
 def test_concordance_without_pairs(spark):
     df = spark.createDataFrame([(1.0, 1, 2.0), (1.0, 0, 3.0)], "t double, e int, r double")
     assert concordance(df, "t", "e", "r").first().pairs == 0 and concordance(df.limit(0), "t", "e", "r").first().concordance is None
+
+
+def test_many_queries_far_apart_in_scale_copies_and_what_is_no_number(spark):
+    """Work that goes by products has the distances of differences: of copies, of far offsets, of one point far from the others, of huge and missing numbers."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([1e6 + rng.normal(0, 1e-3, (150, 5)), np.tile(rng.normal(0, 1, (1, 5)), (150, 1)), rng.normal(0, 1, (40, 5)), [[1e8] * 5, [1e170] * 5]])
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.nan)
+    for block in (64, None):
+        got = {r.k: r.distances for r in nearest_distances(points(spark, x), points(spark, x), "k", "v", 2, block).collect()}
+        for i in range(len(x)):
+            assert got[i] == pytest.approx(np.sort(far[i])[:2].tolist(), rel=1e-9, abs=1e-12)
+    one = {r.k: r.distances for r in nearest_distances(points(spark, [[float("nan"), 0], [0, 0]]), points(spark, [[3, 4]], 9), "k", "v").collect()}
+    assert np.isnan(one[0][0]) and one[1] == [5.0]
+
+
+def test_pivots_of_copies_differ_and_tasks_are_bounded_by_blocks(spark):
+    """Copies have equal hashes: pivots were once the same vector many times, and every ball was visited row by row."""
+    from privloom.operators import neighbours as N
+
+    x = np.repeat(np.arange(40.0)[:, None], 25, 0)
+    df = points(spark, x).select("k", "v")
+    pivots = N.pivots_of(df, 1000)
+    assert len(pivots) == len(np.unique(pivots)) == 31
+    plan = N._plan(df, df, "k", "v", 1, 100)
+    balls = plan[4]
+    assert plan[2].groupBy("cell").count().agg({"count": "max"}).first()[0] <= 200 and balls.sizes.sum() == 1000
+    assert N._visits(plan[1], balls, "long", "array<double>").count() <= 1000 * (balls.cell + balls.slices).max()
