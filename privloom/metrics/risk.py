@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from privloom.metrics.utility import auc
 from privloom.operators.neighbours import nearest_distances
+from privloom.operators.prefix import quantiles
 
 #: Keys of a complete ledger: fixed values.
 LEDGER = ("epsilon_total", "epsilon_structure", "epsilon_cpt", "epsilon_metadata", "delta", "mechanism_structure", "mechanism_cpt", "metadata_source", "adjacency", "composition")
@@ -37,7 +38,11 @@ def neighbour_ratio(real: DataFrame, synthetic: DataFrame, key: str, vector: str
     to_synthetic = nearest_distances(real, synthetic, key, vector).select(key, F.col("distances")[0].alias("s"))
     to_real = nearest_distances(real, real, key, vector).select(key, F.col("distances")[0].alias("r"))
     ratio = to_synthetic.join(to_real, key).filter(F.col("r") > 0).select((F.col("s") / F.greatest("r", F.lit(floor))).alias("x"))
-    return ratio.agg(F.avg("x").alias("mean_ratio"), F.percentile("x", F.lit(0.5)).alias("median_ratio"), F.avg((F.col("x") < 1).cast("int")).alias("below_one"), F.count(F.lit(1)).alias("n"))
+    # a row a real row, from much work: stored, as the median reads it again
+    ratio = ratio.persist()
+    one = ratio.agg(F.avg("x").alias("mean_ratio"), F.avg((F.col("x") < 1).cast("int")).alias("below_one"), F.count(F.lit(1)).alias("n"))
+    median = quantiles(ratio, F.col("x"), [0.5]).select(F.col("q")[0].alias("median_ratio"))
+    return one.join(F.broadcast(median), F.lit(True), "left").select("mean_ratio", "median_ratio", "below_one", "n")
 
 
 def membership(members: DataFrame, others: DataFrame, synthetic: DataFrame, key: str, vector: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from privloom.operators import prefix
 from privloom.operators.prefix import value_ranks
 
 
@@ -85,7 +86,7 @@ def value_fractions(df: DataFrame, column: str, categories: Sequence[str]) -> Da
 
 def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     """One row (quantiles): linear-interpolated quantiles."""
-    return df.agg(F.percentile(column, F.array(*[F.lit(float(q)) for q in at])).alias("quantiles"))
+    return prefix.quantiles(df, F.col(column), at).select(F.col("q").alias("quantiles"))
 
 
 def with_average_rank(df: DataFrame, column: str, name: str = "average_rank") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privloom.functions import bucket, cat_code, clip, edges, number, repair_category
-from privloom.operators.prefix import scan
+from privloom.operators.prefix import quantiles, scan
 
 UNKNOWN, NO_VALUE = "__UNK__", "__NAN__"
 
@@ -106,8 +106,8 @@ class Holed:
 
 
 def quantile_bins(df: DataFrame, column: str, lo: float, hi: float, n: int) -> Numeric:
-    """Bins at the column's quantiles (repeated ones merge), of one aggregation."""
-    at = df.agg(F.percentile(number(F.col(column)), F.array(*[F.lit(i / n) for i in range(1, n)]))).first()[0] or []
+    """Bins at the column's quantiles (repeated ones merge)."""
+    at = (quantiles(df, number(F.col(column)), [i / n for i in range(1, n)]).first().q if n > 1 else None) or []
     inner = sorted({(x - lo) / (hi - lo) for x in at if lo < x < hi})
     return Numeric(lo, hi, (0.0, *inner, 1.0))
 

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a range, and ranges: beyond that many, ranges grow, and sort and spill like any other window.
 RANGE_ROWS, RANGES = 20_000, 1_024
+#: Groups whose cuts are sent to every task.
+FEW_GROUPS = 10_000
 
 
 def cuts(df: DataFrame, order: str, rows: int = RANGE_ROWS) -> list[str]:
@@ -91,3 +93,59 @@ def order_statistics(df: DataFrame, column: str, first: Column, last: Column, ro
     held = held.filter((F.col("upto") > F.col("first")) & (F.col("lo") <= F.col("last")))
     ranks = F.sequence(F.greatest("lo", "first", F.lit(0)), F.least(F.col("upto") - 1, F.col("last")))
     return held.select(F.explode(ranks).alias("rank"), "x", "n")
+
+
+def quantiles(df: DataFrame, column: Column, at: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """(by, q array<double>, n): linear-interpolated quantiles, as ``F.percentile`` gives them, and the number of values that aren't null; a group
+    without values has null and 0.
+
+    ``percentile_approx`` brackets each quantile; the ranges between brackets are counted, and only the values of ranges that hold the ranks asked for
+    meet. So the brackets may be wrong: the result is exact, and only the ranges would be larger.
+    """
+    keys = list(by)
+    values = df.select(*keys, column.cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    ends = sorted({min(max(q + side * 4 / accuracy, 0.0), 1.0) for q in at for side in (-1, 1)})
+    cuts = values.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("__x", ends, accuracy)).alias("__cuts"))
+    few = cuts.limit(FEW_GROUPS + 1).collect()  # a row a group, unless there are many
+    small = len(few) <= FEW_GROUPS
+    if not keys:
+        known = F.array(*[F.lit(c) for c in (few[0]["__cuts"] if few else None) or []])
+        placed = values.withColumn("__cuts", known.cast("array<double>"))
+    else:
+        placed = _joined(values, df.sparkSession.createDataFrame(few, cuts.schema) if small else cuts, keys, small)
+    # 0 below the first cut, 1 at it, 2 between it and the second
+    code = sum((F.coalesce((F.get("__cuts", i) < F.col("__x")).cast("int") + (F.get("__cuts", i) <= F.col("__x")).cast("int"), F.lit(0)) for i in range(len(ends))), F.lit(0))
+    placed = placed.select(*keys, "__x", code.alias("__code"))
+    ranges = placed.groupBy(*keys, "__code").agg(F.count(F.lit(1)).alias("__m"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))  # a row a range
+    ranges = ranges.withColumns({"__before": F.sum("__m").over(group.orderBy("__code")) - F.col("__m"), "n": F.sum("__m").over(group)})
+    places = [(F.col("n") - 1) * F.lit(float(q)) for q in at]
+    ranks = [f(p).cast("long") for p in places for f in (F.floor, F.ceil)]
+    wanted = ranges.filter(any_of([(F.col("__before") <= r) & (r < F.col("__before") + F.col("__m")) for r in ranks])).drop("__m")
+    band = _joined(placed, wanted, [*keys, "__code"], small).groupBy(*keys, "__code", "__x").agg(F.count(F.lit(1)).alias("__m"), F.first("__before").alias("__before"), F.first("n").alias("n"))
+    upto = F.col("__before") + F.sum("__m").over(Window.partitionBy(*keys, "__code").orderBy("__x"))
+    band = band.withColumn("__upto", upto).withColumn("__lo", F.col("__upto") - F.col("__m"))
+    found = band.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when((F.col("__lo") <= r) & (r < F.col("__upto")), F.col("__x"))).alias(f"__r{i}") for i, r in enumerate(ranks)])
+    q = []
+    for i, p in enumerate(places):
+        low, high = F.col(f"__r{2 * i}"), F.col(f"__r{2 * i + 1}")
+        q.append(F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high))
+    found = found.select(*keys, F.when(F.col("n") > 0, F.array(*q)).alias("q"), F.col("n").alias("__n"))
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    return _joined(groups, found, keys, small, "left").select(*keys, "q", F.coalesce("__n", F.lit(0)).alias("n"))
+
+
+def any_of(tests: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, whose keys may be null; broadcast if ``right`` is small."""
+    right = right.select(*[F.col(k).alias(f"__of{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of{k}"))
+    return left.join(F.broadcast(right) if small else right, same, how).drop(*[f"__of{k}" for k in keys])

@@ -16,17 +16,20 @@ from privloom.functions import number
 from privloom.operators import inference as I
 from privloom.operators import privacy as D
 from privloom.operators import profile as P
+from privloom.operators.prefix import quantiles
 
 #: From this skewness on, bins are at quantiles.
 SKEWED = 0.2
 
 
 def measured(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, lo, hi, q1, q2, q3, n, missing): what a private document needs of its columns, before noise; from one aggregation."""
+    """(column, lo, hi, q1, q2, q3, n, missing): what a private document needs of its columns, before noise."""
     x = {c: F.when(F.abs(number(F.col(f"`{c}`").cast("string"))) < float("inf"), number(F.col(f"`{c}`").cast("string"))) for c in columns}
-    q = {c: F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c, v in x.items()}
-    rows = [F.struct(F.lit(c).alias("column"), F.min(v).alias("lo"), F.max(v).alias("hi"), q[c][0].alias("q1"), q[c][1].alias("q2"), q[c][2].alias("q3"), F.count(v).alias("n"), F.avg(F.col(f"`{c}`").isNull().cast("int")).alias("missing")).alias(f"c{i}") for i, (c, v) in enumerate(x.items())]
-    return df.agg(*rows).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(rows))])).alias("m")).select("m.*")
+    numbers = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("x")) for c, v in x.items()])).alias("e")).select("e.*")
+    quarters = quantiles(numbers, F.col("x"), [0.25, 0.5, 0.75], ["column"]).select("column", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    rows = [F.struct(F.lit(c).alias("column"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.avg(F.col(f"`{c}`").isNull().cast("int")).alias("missing")).alias(f"c{i}") for i, (c, v) in enumerate(x.items())]
+    plain = df.agg(*rows).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(rows))])).alias("m")).select("m.*")
+    return plain.join(F.broadcast(quarters), "column", "left").select("column", "lo", "hi", "q1", "q2", "q3", "n", "missing")  # a row a column
 
 
 def log_histogram(df: DataFrame, column: str) -> list[int]:

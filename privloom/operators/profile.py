@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from privloom.functions import GUID, number
+from privloom.operators.prefix import quantiles
 
 #: Date formats tried in order: fixed values.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd")
@@ -97,7 +98,7 @@ def date_shares(df: DataFrame, column: str) -> DataFrame:
 def bowley(df: DataFrame, column: str) -> DataFrame:
     """One row (skew): quartile skewness, 0 with fewer than four values or hardly any spread."""
     x = number(_q(column))
-    one = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(x).alias("n"))
+    one = quantiles(df, x, [0.25, 0.5, 0.75])
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
     return one.select(F.when((F.col("n") >= 4) & (q3 - q1 >= 1e-10), (q3 + q1 - 2 * q2) / (q3 - q1)).otherwise(0.0).alias("skew"))
 

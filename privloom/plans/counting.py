@@ -10,6 +10,7 @@ from privloom.operators import counts as C
 from privloom.operators import neighbours as NN
 from privloom.operators import quantiles as Q
 from privloom.operators import relational as R
+from privloom.operators.prefix import quantiles
 from privloom.plans.base import query, r, rounded, sql_bucket
 
 PRICE10 = edges(900.0, 105000.0, 10)
@@ -118,8 +119,8 @@ def _(spark, read):
 
 @query("agg_median_iqr", f"SELECT event_type, {r('quantile_cont(value, 0.5)', 'median')}, {r('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)', 'iqr')} FROM events GROUP BY 1")
 def _(spark, read):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rounded(read("events").groupBy("event_type").agg(q.alias("q")).select("event_type", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")))
+    q = quantiles(read("events"), F.col("value"), [0.25, 0.5, 0.75], ["event_type"])
+    return rounded(q.select("event_type", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")))
 
 
 @query("agg_quantile", f"SELECT {r('quantile_cont(l_extendedprice, 0.025)', 'lo')}, {r('quantile_cont(l_extendedprice, 0.99)', 'hi')} FROM lineitem")

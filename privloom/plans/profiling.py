@@ -12,6 +12,7 @@ from privloom.operators import inference as I
 from privloom.operators import privacy
 from privloom.operators import private_inference as PI
 from privloom.operators import profile as P
+from privloom.operators.prefix import quantiles
 from privloom.plans.base import query, r, rounded, sql_bucket
 from privloom.schema import Schema
 
@@ -280,7 +281,7 @@ def _(spark, read):
 @query("dp_bowley", f"SELECT {r('q[1]', 'q1')}, {r('q[2]', 'q2')}, {r('q[3]', 'q3')}, n, {r('3 * (50.0 - 1.0) / n / 0.5', 'scale')} FROM (SELECT quantile_cont(greatest(least(l_quantity, 50.0), 1.0), [0.25, 0.5, 0.75]) AS q, count(l_quantity) AS n FROM lineitem)")
 def _(spark, read):
     """Quartiles within public bounds and the scale of their noise, a third of the budget each."""
-    one = read("lineitem").agg(F.percentile(clip(F.col("l_quantity"), 1.0, 50.0), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("l_quantity").alias("n"))
+    one = quantiles(read("lineitem"), clip(F.col("l_quantity"), 1.0, 50.0), [0.25, 0.5, 0.75])
     return rounded(one.select(*[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)], "n", (F.lit(3 * 49.0 / 0.5) / F.col("n")).alias("scale")))
 
 
