@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that stand for a missing value: fixed values.
@@ -24,6 +24,12 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(*MISSING_TOKENS)
 
 
+def value_counts(df: DataFrame, names: Sequence[str], of: Callable[[str], Column]) -> DataFrame:
+    """(i, v, n): of each of the columns, by its place, how many rows have each text ``of`` it, nulls included."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), of(c).alias("v")) for i, c in enumerate(names)]))
+    return df.select(each.alias("e")).select("e.*").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     """Between the bounds; null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(hi))), F.lit(float(lo))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from privloom.functions import MISSING_TOKENS
+from privloom.functions import MISSING_TOKENS, value_counts
 
 # Output formats in the order in which they are tried, and the same in Spark's letters.
 FORMATS = {
@@ -27,15 +27,19 @@ def _text(name: str) -> Column:
 
 
 def date_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, format, share): of the text columns' values that aren't missing, how many parse by each format; from one aggregation. Shares of a
-    column without values are null."""
+    """(column, format, share): of the text columns' values that aren't missing, how many parse by each format. Each different text is parsed once, as
+    a text that is no date costs the most. Shares of a column without values are null."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, format string, share double")
-    parsed = {(i, j): F.avg(F.when(_text(n).isNotNull(), F.try_to_timestamp(_text(n), F.lit(java)).isNotNull().cast("int"))) for i, n in enumerate(names) for j, java in enumerate(FORMATS.values())}
-    one = df.agg(*[v.alias(f"s{i}_{j}") for (i, j), v in parsed.items()])
-    rows = [F.struct(F.lit(names[i]).alias("column"), F.lit(list(FORMATS)[j]).alias("format"), F.col(f"s{i}_{j}").alias("share")) for i, j in parsed]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    texts = value_counts(df, names, _text).filter(F.col("v").isNotNull())
+    parsed = [F.sum(F.when(F.try_to_timestamp(F.col("v"), F.lit(java)).isNotNull(), F.col("n")).otherwise(0)).alias(f"s{j}") for j, java in enumerate(FORMATS.values())]
+    found = texts.groupBy("i").agg(F.sum("n").alias("n"), *parsed)  # a row a column
+    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("__i"))
+    joined = every.join(F.broadcast(found), F.col("__i") == F.col("i"), "left")
+    rows = [F.struct(F.lit(f).alias("format"), (F.col(f"s{j}") / F.col("n")).alias("share")) for j, f in enumerate(FORMATS)]
+    column = F.get(F.array(*map(F.lit, names)), F.col("__i"))
+    return joined.select(column.alias("column"), F.explode(F.array(*rows)).alias("r")).select("column", "r.*")
 
 
 def elect(df: DataFrame, columns: Sequence[str] | None = None, least: float = 0.8) -> dict[str, str]:

@@ -99,3 +99,28 @@ def test_parents_and_bins():
     assert 10_000 * 0.1 / ((9 - k) * 2 ** (k + 3)) <= 5 < 10_000 * 0.1 / ((9 - k + 1) * 2 ** (k + 2))
     assert profile.optimal_bins(1000) == 20 and profile.optimal_bins(1000, most=7) == 7 and profile.optimal_bins(8, 0.0) == 5
     assert profile.sturges(228, 20) == 9 and profile.auto_cap(228) == 9 and profile.max_parents(228, 9) == 3 and profile.perks(8) == 0.125
+
+
+def test_texts_are_judged_once_each(spark):
+    """Profile and date scores of texts go by counts of different texts, whatever columns lie beside them, and are those of all rows."""
+    from privloom.operators import dates
+
+    rows = [("2020-01-02" if i % 3 else None, ["A", "1.5", " 2 ", "nan", "Infinity", None][i % 6], f"{i:08x}-0000-4000-8000-{i:012x}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "d string, `m.x` string, g string, k double")
+    got = {r.column: r for r in profile.profile(df).collect()}
+    m = got["m.x"]
+    assert (m.missing, m.n_distinct, m.guid_share, m.number_share, m.lo, m.hi, m.integer_like) == pytest.approx((1 / 6, 5, 0, 0.5, 1.5, 2.0, 0))
+    assert got["g"].guid_share == 1 and got["g"].n_distinct == 60 and got["k"].hi == 59 and got["d"].missing == pytest.approx(1 / 3)
+    none = {r.column: r for r in profile.profile(df.limit(0)).collect()}
+    assert set(none) == {"d", "m.x", "g", "k"} and none["d"].missing is None and none["d"].n_distinct == 0 and none["d"].guid_share is None
+    scores = {(r.column, r.format): r.share for r in dates.date_scores(df).collect()}
+    assert scores["d", "%Y-%m-%d"] == 1 and scores["d", "%d/%m/%Y"] == 0 and scores["m.x", "%Y-%m-%d"] == 0
+    assert {r.share for r in dates.date_scores(df.limit(0)).collect()} == {None}
+    assert "v" in [c for c in value_columns(dates.date_scores(df))]
+
+
+def value_columns(df):
+    """Columns by which the plan groups."""
+    import re
+
+    return [x for g in re.findall(r"Aggregate \[([^\]]*)\]", df._jdf.queryExecution().analyzed().toString()) for x in re.findall(r"(\w+)#", g)]
