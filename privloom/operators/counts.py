@@ -15,6 +15,10 @@ from privloom.operators import prefix
 from privloom.operators.prefix import value_ranks
 
 
+#: Values of a column, by group, whose ranks are sent to every task.
+FEW_LEVELS = 100_000
+
+
 def contingency(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = None, name: str = "n") -> DataFrame:
     """Counts of each attribute set in one pass: (set_id, columns of all sets, ``name``). Columns outside a set are null."""
     names = list(dict.fromkeys(c for s in sets for c in s))
@@ -94,9 +98,42 @@ def with_average_rank(df: DataFrame, column: str, name: str = "average_rank") ->
     return df.join(value_ranks(df, column).select(column, F.col("rank").alias(name)), column, "left")
 
 
+def _full_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str], levels: dict[str, int]) -> DataFrame:
+    """``spearman_pairs`` of columns without nulls: each has the same ranks in all its pairs. Ranks of all columns but that of most values (``levels``) join
+    the rows, broadcast where these are few; that one's rows are summed by value, and its ranks meet the sums."""
+    *others, last = sorted(columns, key=lambda c: levels[c])
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    ranked = rows
+    for c in others:
+        ranks = value_ranks(rows, c, by=by).select(*by, c, F.col("rank").alias(f"__r_{c}"))
+        ranked = prefix._joined(ranked, ranks, [*by, c], levels[c] <= FEW_LEVELS)
+    rank = {c: F.col(f"__r_{c}") for c in others}
+    products = [(a, b) for i, a in enumerate(others) for b in others[i:]]
+    cells = ranked.groupBy(*by, last).agg(F.count(F.lit(1)).alias("__m"), *[F.sum(rank[a]).alias(f"__s{i}") for i, a in enumerate(others)], *[F.sum(rank[a] * rank[b]).alias(f"__p{i}") for i, (a, b) in enumerate(products)])
+    cells = prefix.scan(cells, last, {"__upto": F.col("__m")}, by, at=prefix.cuts(rows, last))
+    mine = F.col("__upto") - (F.col("__m") - 1) / F.lit(2.0)
+    one = cells.groupBy(*by).agg(
+        F.sum("__m").alias("n"), F.sum(F.col("__m") * mine).alias("m"), F.sum(F.col("__m") * mine * mine).alias("mm"),
+        *[F.sum(f"__s{i}").alias(f"s{i}") for i in range(len(others))], *[F.sum(mine * F.col(f"__s{i}")).alias(f"x{i}") for i in range(len(others))], *[F.sum(f"__p{i}").alias(f"p{i}") for i in range(len(products))],
+    )
+    total = {last: F.col("m")} | {a: F.col(f"s{i}") for i, a in enumerate(others)}
+    product = {(last, last): F.col("mm")} | {(a, b): F.col(f"p{i}") for i, (a, b) in enumerate(products)} | {(a, last): F.col(f"x{i}") for i, a in enumerate(others)}
+    product |= {(b, a): p for (a, b), p in product.items()}
+    n = F.col("n")
+    spread = lambda a, b: n * product[a, b] - total[a] * total[b]
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(spread(a, b), F.sqrt(spread(a, a) * spread(b, b))).alias("rho")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return one.select(*by, F.explode(F.array(*pairs)).alias("e")).select(*by, "e.*")
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b, rho): rank correlations of all pairs of columns over the rows where both are there, null if one is constant. All pairs' cells come of one scan, and all
-    their ranks of another."""
+    their ranks of another; columns without nulls need their ranks once for all pairs."""
+    number = {c: F.col(c).cast("double") for c in columns}
+    of = lambda c: F.struct(*by, c) if by else F.col(c)
+    gaps = F.count_if(F.exists(F.array(*number.values()), lambda x: x.isNull() | F.isnan(x)))
+    one = df.agg(gaps.alias("gaps"), *[F.approx_count_distinct(of(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    if not one.gaps and len(columns) > 1 and len({*columns, *by}) == len(columns) + len(by):
+        return _full_pairs(df, columns, by, {c: one[f"d{i}"] for i, c in enumerate(columns)})
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
     keys = [*by, "a", "b"]

@@ -49,16 +49,16 @@ def range_of(value: Column, kind: str, at: Sequence[str]) -> Column:
     return F.coalesce(F.when(outer > 0, (outer - 1) * width + inner).otherwise(0), F.lit(0))
 
 
-def scan(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), following: str | None = None, rows: int = RANGE_ROWS, ties: Sequence[str] = ()) -> DataFrame:
+def scan(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), following: str | None = None, rows: int = RANGE_ROWS, ties: Sequence[str] = (), at: Sequence[str] | None = None) -> DataFrame:
     """``df`` with, for each of ``sums``, its running sum in the order of a column (this row's value included) and, as ``<name>_total``, its group's
     sum; ``following`` names the next value of the order. Groups are by ``by``, nulls first.
 
     Rows that are equal in group and order go by ``ties``, or else get the sums after some of them: aggregate them to one first, which also keeps
-    a value that very many rows share from filling one range.
+    a value that very many rows share from filling one range. ``at`` gives cuts that are known.
     """
     kind = dict(df.dtypes)[order]
     keys = list(by)
-    placed = df.withColumns({"__range": range_of(F.col(order), kind, cuts(df, order, rows)), **{f"__{n}": c for n, c in sums.items()}})
+    placed = df.withColumns({"__range": range_of(F.col(order), kind, cuts(df, order, rows) if at is None else at), **{f"__{n}": c for n, c in sums.items()}})
     ranges = placed.groupBy(*keys, "__range").agg(F.min(order).alias("__first"), *[F.coalesce(F.sum(f"__{n}"), F.lit(0)).alias(f"__all_{n}") for n in sums])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))  # a row a range
     ahead = {f"__before_{n}": F.sum(f"__all_{n}").over(group.orderBy("__range")) - F.col(f"__all_{n}") for n in sums} | {f"{n}_total": F.sum(f"__all_{n}").over(group) for n in sums}
