@@ -1,8 +1,10 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard verification, distributed union-find.
 
 Lines are compared lower-cased and with white space collapsed. One hash of each shingle fills the bins of a one-permutation
-MinHash (empty bins borrow from the next filled one); bands of bins are candidate keys. Lines that share a key meet in a task that
-compares their shingle sets exactly and passes on a spanning forest of the pairs at or above the threshold. A key of more than a block of
+MinHash (empty bins borrow from the next filled one); bands of bins are candidate keys. Keys are dealt into buckets, many in one row, and
+sorted there by arrays; those of one line alone go. Lines that share a key meet in a task that
+compares their shingle sets exactly and passes on a spanning forest of the pairs at or above the threshold. Groups of the same first line meet in
+one place, where each text arrives once. A key of more than a block of
 lines is dealt out anew: each line goes to one chunk, which all the key's representatives visit too, so that work grows with the
 number of lines. Where that leaves a large key's lines in several components, these lines are looked at again by an exact prefix
 filter: two sets that are similar enough share one of their rarest shingles, as many of which count as their sizes allow to differ. Lines
@@ -14,11 +16,12 @@ Lines are normalised, hashed and cut into shingles in Arrow batches; counting, j
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ SHINGLE, SIMILAR = 6, 0.8
 BANDS, ROWS = 14, 5
 #: Lines of a key that meet in one task; a larger key is cut into chunks of half of it, which so many representatives visit.
 BLOCK, REPRESENTATIVES = 512, 16
+#: Keys of a bucket, about, and those that a task holds before it sends them on; a key with more lines than ``WIDE`` leaves a bucket that outgrows ``HELD`` keys.
+DEALT, SENT, WIDE, HELD = 1 << 19, 1 << 19, 1 << 16, 1 << 22
 #: Shingles are counted in so many buckets to tell the rare ones; a shingle is common if more than one in so many of the lines looked at again has
 #: it; lines of a tile that are compared by counts.
 BUCKETS, COMMON, TILE = 1 << 18, 16, 1_024
@@ -39,6 +44,10 @@ BUCKETS, COMMON, TILE = 1 << 18, 16, 1_024
 SMALL = 8_000_000
 #: Characters that are hashed together (their arrays fit a core's cache), and hashes of lines that a task remembers having sent.
 SEGMENT, SEEN = 50_000, 250_000
+#: Bits of a line in the filter by which texts are looked up, and of the whole filter.
+BITS_EACH, MOST_BITS = 64, 1 << 27
+#: Shingles by which a group's lines are multiplied at once.
+COLUMNS = 4_096
 
 
 def normal(line: str) -> str:
@@ -138,52 +147,81 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 def links_of(hashes: list[int], sets: list[np.ndarray], similar: float = SIMILAR, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose shingle sets have a Jaccard similarity of ``similar`` or more, over the components ``known`` so far.
 
-    Sets come in the order of their sizes. Each meets those after it that are not yet in its component and not too large, all at once.
+    What the sets have in common is counted for all pairs at once, by products of the sets' indicators over the shingles that several have.
     """
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order])
-    last = np.searchsorted(sizes, sizes / similar + 1e-6, side="right")
-    label = np.arange(len(order)) if known is None else np.unique(np.array(known, np.int64)[order], return_inverse=True)[1]
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    label = np.arange(n) if known is None else np.array(known, np.int64)
+    if n == 2:
+        x, y = sets
+        if label[0] == label[1] or min(len(x), len(y)) < similar * max(len(x), len(y)) - 1e-6:
+            return []
+        same = np.count_nonzero(x[np.minimum(x.searchsorted(y), len(x) - 1)] == y)
+        return [(hashes[0], hashes[1])] if same >= similar * (len(x) + len(y) - same) - 1e-9 else []
+    whole, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(whole)
+    whole, owner = whole[order], owner[order]
+    again = whole[1:] == whole[:-1]
+    several = np.append(again, False) | np.append(False, again)
+    column = np.cumsum(np.append(True, ~again)[several]) - 1
+    owner = owner[several]
+    same = np.zeros((n, n))
+    for lo in range(0, column[-1] + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        has = np.zeros((n, column[b - 1] + 1 - lo), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        same += has @ has.T
+    near = (same >= similar * (sizes[:, None] + sizes - same) - 1e-9) & (label[:, None] != label)
     out = []
-    for a, i in enumerate(order[:-1]):
-        others = np.flatnonzero(label[a + 1 : last[a]] != label[a]) + a + 1
-        if not len(others):
-            continue
-        each = [sets[order[b]] for b in others.tolist()]
-        whole = np.concatenate(each) if len(each) > 1 else each[0]
-        mine = sets[i]
-        at = np.searchsorted(mine, whole)
-        hit = mine[np.minimum(at, len(mine) - 1)] == whole
-        same = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[others])[:-1])), dtype=np.int64)
-        for b in others[same >= similar * (sizes[a] + sizes[others] - same) - 1e-9].tolist():
-            if label[a] != label[b]:
-                label[label == label[b]] = label[a]
-                out.append((hashes[i], hashes[order[b]]))
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        for j in np.flatnonzero(near[i] & (label != label[i])).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((hashes[i], hashes[j]))
     return out
 
 
 def link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows (key, chunk, lhash, line, component or null) sorted by group: whole groups, many at a time."""
+    """(a, b) from rows (place, lhash, line, groups, component or null) sorted by place: whole places, many at a time. Lines of a place that have one of
+    ``groups`` in common are compared, larger groups first, and those that are linked by then no more."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        known = {r[2]: r[3] for r in rows}
-        sets = dict(zip(known, shingle_sets(list(known.values()))))
+        lines = {r[1]: r[2] for r in rows}
+        sets = dict(zip(lines, shingle_sets(list(lines.values()))))
         found: list[tuple[int, int]] = []
-        for _, group in groupby(rows, key=lambda r: r[:2]):
-            group = list(group)
-            hashes = [r[2] for r in group]
-            found += links_of(hashes, [sets[h] for h in hashes], known=None if group[0][4] is None else [r[4] for r in group])
+        for _, at in groupby(rows, key=lambda r: r[0]):
+            label: dict[int, int] = {}
+            groups: dict[int, list[int]] = {}
+            for _, h, _, mine, component in at:
+                label[h] = h if component is None else component
+                for g in mine:
+                    groups.setdefault(g, []).append(h)
+            roots: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := roots.get(x, x)) != x:
+                    roots[x] = roots.get(up, up)
+                    x = up
+                return x
+
+            for hashes in sorted(groups.values(), key=len, reverse=True):
+                known = [root(label[h]) for h in hashes]
+                if len(set(known)) > 1:
+                    links = links_of(hashes, [sets[h] for h in hashes], known=known)
+                    for x, y in links:
+                        roots[root(label[x])] = root(label[y])
+                    found += links
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     open_rows: list[tuple] = []
     size = 0
-    for batch in slices(batches, 3):
+    for batch in slices(batches, 2):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > SEGMENT and row[:2] != open_rows[-1][:2]:
+            if size > SEGMENT and row[0] != open_rows[-1][0]:
                 yield work(open_rows)
                 open_rows, size = [], 0
             open_rows.append(row)
-            size += len(row[3])
+            size += len(row[2])
     if open_rows:
         yield work(open_rows)
 
@@ -226,55 +264,171 @@ def line_table(docs: DataFrame) -> DataFrame:
     return _rows(docs).withColumn("th", F.xxhash64("text")).mapInArrow(work, "doc_id long, th long, line_no int, lhash long, keys array<long>")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes and normalised texts of a task's lines, each mostly once."""
-    seen: set[int] = set()
-    for batch in slices(batches, 0, 256):
-        new: dict[int, str] = {}
-        for text in batch.column(0).to_pylist():
-            for line in _lines(text):
-                if line:
-                    h = line_hash(line)
-                    if h not in seen:
-                        seen.add(h)
-                        new[h] = line
-        if len(seen) > SEEN:
-            seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.string())], ["lhash", "line"])
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of ``lhash``: bit h modulo its size, a power of two of ``BITS_EACH`` a row up to ``MOST_BITS``, is set. Others have their bit set by chance."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS_EACH * hashes.count() - 1).bit_length()))
+    bit = F.col("lhash").bitwiseAND(bits - 1)
+    words = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(lhash & 63 as int))")).alias("set")).toArrow()  # a bounded number
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return out
+
+
+def _texts_of(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(lhash, line) of the lines of ``docs`` with these ``lhash``, each mostly once a task, and of some others."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(hashes))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        words = shipped.value
+        for batch in slices(batches, 0, 256):
+            lines = [line for text in batch.column(0).to_pylist() for line in _lines(text) if line]
+            h = np.array([line_hash(line) for line in lines], np.int64)
+            wanted = np.flatnonzero(words[(h >> 6) & (len(words) - 1)] >> (h & 63) & 1)
+            new: dict[int, str] = {}
+            for i, x in zip(wanted.tolist(), h[wanted].tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new[x] = lines[i]
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.string())], ["lhash", "line"])
+
+    return _rows(docs).select("text").mapInArrow(work, "lhash long, line string")
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """(a, b) of rows (key, chunk, lhash, line, component)."""
-    members = members.select("key", "chunk", "lhash", "line", "component").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    """(a, b) of rows (place, lhash, line, groups, component)."""
+    members = members.select("place", "lhash", "line", "groups", "component").repartition("place").sortWithinPartitions("place")
     return members.mapInArrow(link_groups, "a long, b long").distinct()
 
 
+def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, pairs) from rows (lhash, keys): (key, lhash) of many lines in one binary value for each bucket."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            pairs = np.concatenate(held)
+            at = (pairs[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            at = at.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(at, kind="stable")
+            some, first = np.unique(at[order], return_index=True)
+            offsets = np.append(first, len(at)).astype(np.int32) * np.int32(16)
+            data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(pairs[order])])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), data], ["bucket", "pairs"])
+
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            keys = batch.column(1)
+            sizes = pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False)
+            held.append(np.stack((keys.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)), axis=1))
+            size += len(held[-1])
+            if size >= SENT:
+                yield send()
+                held, size = [], 0
+        if size:
+            yield send()
+
+    return work
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lhash, lo, lines) of the keys that several lines have, from rows (bucket, pairs) sorted by bucket. The new ``key`` is a digest of the key's
+    lines, so that keys of the same lines are one; ``lo`` is the smallest of them, ``lines`` their number. A key of very many lines stays itself,
+    its lines are sent on unsorted and may repeat, and ``lines`` is null."""
+
+    def rows(key: np.ndarray, lhash: np.ndarray, lo: np.ndarray, lines: np.ndarray | None = None) -> pa.RecordBatch:
+        number = pa.nulls(len(key), pa.int64()) if lines is None else pa.array(lines, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lhash, pa.int64()), pa.array(lo, pa.int64()), number], ["key", "lhash", "lo", "lines"])
+
+    def apart(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Different pairs in the order of their keys, and where keys begin."""
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        pairs = pairs[new]
+        return pairs, np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)])
+
+    def narrow(pairs: np.ndarray, wide: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of other keys, pairs of the keys that are ``wide`` or become so)."""
+        pairs, first = apart(pairs)
+        sizes = np.diff(np.append(first, len(pairs)))
+        wide.update(pairs[first[sizes > WIDE], 0].tolist())
+        out = np.isin(pairs[:, 0], np.array(sorted(wide), np.int64))
+        return pairs[~out], pairs[out]
+
+    def work(pairs: np.ndarray) -> pa.RecordBatch:
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        same = pairs[1:, 0] == pairs[:-1, 0]
+        pairs, first = apart(pairs[np.append(same, False) | np.append(False, same)])
+        if not len(pairs):
+            return rows(*[pairs[:, 0]] * 4)
+        sizes = np.diff(np.append(first, len(pairs)))
+        mixed = pairs[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+        digest = np.bitwise_xor.reduceat(mixed ^ mixed >> np.uint64(32), first).view(np.int64)
+        several = np.repeat(sizes > 1, sizes)
+        return rows(*[x[several] for x in (np.repeat(digest, sizes), pairs[:, 1], np.repeat(pairs[first, 1], sizes), np.repeat(sizes, sizes))])
+
+    held: list[np.ndarray] = []
+    size, most, bucket, wide = 0, HELD, None, set()
+    for batch in slices(batches, 1):
+        for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if at != bucket and held:
+                pairs = np.concatenate(held)
+                if wide:
+                    pairs, out = narrow(pairs, wide)
+                    yield rows(out[:, 0], out[:, 1], out[:, 1])
+                yield work(pairs)
+                held, size, most, wide = [], 0, HELD, set()
+            bucket = at
+            held.append(np.frombuffer(blob, np.int64).reshape(-1, 2))
+            size += len(held[-1])
+            if size > most:
+                pairs, out = narrow(np.concatenate(held), wide)
+                held, size, most = [pairs], len(pairs), HELD + len(pairs)
+                yield rows(out[:, 0], out[:, 1], out[:, 1])
+    if held:
+        pairs = np.concatenate(held)
+        if wide:
+            pairs, out = narrow(pairs, wide)
+            yield rows(out[:, 0], out[:, 1], out[:, 1])
+        yield work(pairs)
+
+
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """(key, lhash, lo, lines) of the keys that several lines of a stored ``line_table`` have, as ``_meet`` has them; rows may repeat."""
+    fresh = lines.filter("keys is not null").select("lhash", "keys")
+    dealt = fresh.mapInArrow(_deal(max(1, BANDS * lines.count() // DEALT)), "bucket int, pairs binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key long, lhash long, lo long, lines long")
+
+
 def fuzzy_links(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a, b): hashes of different ``lines`` (a stored ``line_table`` of ``docs``) that join them into their components, but for those that chunks of
     large keys keep apart; (key, lhash) of the large keys; (lhash, line) of lines with keys."""
-    same_key = Window.partitionBy("key")
-    shared = lines.select(F.explode("keys").alias("key"), "lhash").withColumns({"lo": F.min("lhash").over(same_key), "hi": F.max("lhash").over(same_key)})
-    shared = durable(shared.filter("lo < hi").select("key", "lhash").distinct(), "line_keys")
-    # keys with the same lines are one: of each count and digest the smallest key stays
-    mixed = F.xxhash64("key", "lhash")
-    keys = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("lhash")).alias("x"), F.bit_xor(F.xxhash64("lhash", F.lit(1))).alias("y"))
-    keys = keys.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    members = durable(join_counted(shared, keys.select("key", "n", F.col("n").alias("lines")), "key", shared.count()), "line_members")
+    shared = durable(shared_keys(lines), "line_keys")
+    wide = shared.filter("lines is null").select("key", "lhash").distinct()
+    wide = wide.join(F.broadcast(wide.groupBy("key").agg(F.count("*").alias("lines"))), "key")  # a row for each of very many lines
+    large = durable(shared.filter(F.col("lines") > block).select("key", "lhash", "lines").distinct().unionByName(wide.select("key", "lhash", "lines")), "line_members")
 
-    large = members.filter(F.col("lines") > block)
+    mixed = F.xxhash64("key", "lhash")
     chunk = F.pmod(mixed, F.ceil(F.col("lines") / F.lit(block // 2))).cast("int")
     # representatives: those of the smallest mixed hashes, found by a threshold that keeps about as many of every large key
     least = -(2**63) + F.floor(F.lit(float(REPRESENTATIVES) * 2**64) / F.col("lines")).cast("decimal(38,0)")
     chosen = large.filter(mixed.cast("decimal(38,0)") < least).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("lines") / F.lit(block // 2)).cast("int") - 1)))
     columns = ["key", "chunk", "lhash"]
-    each = (
-        members.filter(F.col("lines") <= block).withColumn("chunk", F.lit(0)).select(columns)
-        .unionByName(large.withColumn("chunk", chunk).select(columns).unionByName(chosen.select(columns)).distinct())
-    )
-    need = shared.select("lhash").distinct()
-    need = F.broadcast(need) if 8 * need.count() <= SMALL else need
-    texts = durable(_rows(docs).select("text").mapInArrow(_texts, "lhash long, line string").join(need, "lhash").dropDuplicates(["lhash"]), "line_texts")
-    return _grouped(each.join(texts, "lhash").withColumn("component", F.lit(None).cast("long"))), large.select("key", "lhash"), texts
+    chunks = large.withColumn("chunk", chunk).select(columns).unionByName(chosen.select(columns)).withColumn("place", F.xxhash64("key", "chunk"))
+    # the same lines' keys are one group, and groups of the same first line one place
+    each = shared.filter(F.col("lines") <= block).select("lhash", F.struct(F.col("lo").alias("place"), F.col("key").alias("group")).alias("at"))
+    each = each.unionByName(chunks.select("lhash", F.struct("place", F.col("place").alias("group")).alias("at")))
+    places = durable(each.groupBy("lhash").agg(F.collect_set("at").alias("at")), "line_places")
+    texts = _texts_of(docs, places.select("lhash"))
+    texts = durable(texts.dropDuplicates(["lhash"]).join(places, "lhash"), "line_texts")
+    of_places = texts.withColumn("place", F.explode(F.array_distinct(F.transform("at", lambda x: x["place"]))))
+    groups = F.transform(F.filter("at", lambda x: x["place"] == F.col("place")), lambda x: x["group"])
+    members = of_places.select("place", "lhash", "line", groups.alias("groups"), F.lit(None).cast("long").alias("component"))
+    return _grouped(members), large.select("key", "lhash"), texts.select("lhash", "line")
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +540,9 @@ def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int
     own = rare.filter("key <> 0")
     groups = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("smaller").alias("some"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("lhash")).alias("x")).filter("lo < hi and some")
     groups = durable(groups.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", F.col("n").alias("lines")), "line_groups")  # the same lines once
-    more = _grouped(_tiles(own.join(groups, "key"), "lines", block // 2).join(texts, "lhash"))
+    texts = open_lines.select("lhash", "line")  # few of all lines with keys
+    place = F.xxhash64("key", "chunk")
+    more = _grouped(_tiles(own.join(groups, "key"), "lines", block // 2).join(texts, "lhash").withColumns({"place": place, "groups": F.array(place)}))
 
     # lines that only common shingles can tell apart: tiles of the large keys that they share
     dense = rare.filter("key = 0")
@@ -434,13 +590,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return durable(gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("removed")).withColumn("n_removed", F.size("removed")), "lines_removed")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, any other columns) with the lines gone that repeat an earlier line, exactly or nearly.
-
-    Blank lines stay, and null texts; an empty table gives an empty one. A document all of whose lines are repeats keeps its row, with an empty
-    text (or its blank lines). Rows that repeat wholly keep the same lines each; rows with a null doc_id come first; of equal lines in one
-    row the first stays. Very long lines and texts are compared whole. Other columns pass through, whatever their names.
-    """
+def _with_kept(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    """``docs`` with the kept lines as texts and, if it is named, a column of how many lines went."""
     gone = repeated_lines(docs)
     size = gone.agg(F.coalesce(F.sum(F.lit(32) + 4 * F.col("n_removed")), F.lit(0))).first()[0]
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th"), F.col("removed").alias("__removed"))
@@ -449,12 +600,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked["__removed"])
     kept = let(F.split(marked["text"], "\n"), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))
     text = F.when(marked["__removed"].isNull(), marked["text"]).otherwise(kept).cast(docs.schema["text"].dataType)
-    return marked.select(*[text.alias(c) if c == "text" else marked[c] for c in docs.columns])
+    number = [] if removed is None else [F.coalesce(F.size(marked["__removed"]), F.lit(0)).alias(removed)]
+    return marked.select(*[text.alias(c) if c == "text" else marked[c] for c in docs.columns], *number)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, any other columns) with the lines gone that repeat an earlier line, exactly or nearly.
+
+    Blank lines stay, and null texts; an empty table gives an empty one. A document all of whose lines are repeats keeps its row, with an empty
+    text (or its blank lines). Rows that repeat wholly keep the same lines each; rows with a null doc_id come first; of equal lines in one
+    row the first stays. Very long lines and texts are compared whole. Other columns pass through, whatever their names.
+    """
+    return _with_kept(docs)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_kept, text): each document with its kept lines; the lines counted aren't blank."""
     docs = table(spark, sf_dir, "documents")
-    lines = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?md)^[^\S\n]*[^\s]"))
-    kept = dedup_lines(docs.select("doc_id", "text", lines(F.col("text")).alias("n_lines")))
-    return kept.select("doc_id", "n_lines", lines(F.col("text")).alias("n_kept"), "text")
+    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?md)^[^\S\n]*[^\s]"))
+    kept = _with_kept(docs.select("doc_id", "text", lines.alias("n_lines")), "n_removed")  # no blank line goes
+    return kept.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_removed")).alias("n_kept"), "text")

@@ -133,3 +133,54 @@ def test_a_second_look_finds_all_links_between_components(spark, monkeypatch, co
                 comp[find(hashes[i])] = find(hashes[j])
     assert got == {frozenset(h for h in hashes if find(h) == find(x)) for x in hashes}
     assert 1 < len(got) < 150
+
+
+@pytest.mark.parametrize("wide", [1 << 16, 5])
+def test_keys_meet_in_buckets_many_in_a_row(monkeypatch, wide):
+    """Keys of one line alone go, keys of the same lines are one, and keys of very many lines leave a bucket in pieces but whole."""
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(9)
+    lines = [(h, [rng.choice([rng.getrandbits(62), rng.randrange(40) << 57, 7 << 58]) for _ in range(line_op.BANDS)]) for h in range(-60, 400)]
+    lines += lines[:50]  # repeats from another task
+    batch = pa.RecordBatch.from_arrays([pa.array([h for h, _ in lines], pa.int64()), pa.array([k for _, k in lines], pa.list_(pa.int64()))], ["lhash", "keys"])
+    monkeypatch.setattr(line_op, "SENT", 1_000)
+    monkeypatch.setattr(line_op, "WIDE", wide)
+    monkeypatch.setattr(line_op, "HELD", 300)
+    dealt = list(line_op._deal(3)(iter(batch.slice(i, 20) for i in range(0, len(lines), 20))))
+    assert sum(b.num_rows for b in dealt) <= 3 * len(dealt) <= 30
+    rows = sorted((x for b in dealt for x in zip(*(c.to_pylist() for c in b.columns))), key=lambda x: x[0])
+    dealt = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "pairs"])
+    got, numbers = {}, {}
+    for b in line_op._meet(iter([dealt])):
+        for key, h, lo, n in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault(key, set()).add(h)
+            numbers.setdefault(key, set()).add((n, None if n is None else lo))
+    want = {}
+    for h, keys in lines:
+        for k in keys:
+            want.setdefault(k, set()).add(h)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, {frozenset(x) for x in want.values() if len(x) > 1}))
+    for key, x in got.items():
+        assert numbers[key] in ({(len(x), min(x))}, {(None, None)})
+    assert ({(None, None)} in numbers.values()) == (wide == 5)
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_links_join_what_pairs_join(monkeypatch, known):
+    rng = random.Random(3)
+    monkeypatch.setattr(line_op, "COLUMNS", 50)
+    base = "".join(rng.choice("abcdef ") for _ in range(150))
+    lines = list({"".join(c if rng.random() > 0.012 * (i % 4) else rng.choice("xyz") for c in base) for i in range(60)})
+    each, comp = [sets(x) for x in lines], [i % 20 if known else i for i in range(len(lines))]
+    links = line_op.links_of(list(range(len(lines))), line_op.shingle_sets(lines), known=list(comp) if known else None)
+    first, second = list(comp), list(comp)
+    join = lambda c, i, j: [c[i] if x == c[j] else x for x in c]
+    for i, j in links:
+        assert first[i] != first[j]
+        first = join(first, i, j)
+    for i, a in enumerate(each):
+        for j in range(i):
+            if len(a & each[j]) >= 0.8 * len(a | each[j]) - 1e-9:
+                second = join(second, i, j)
+    groups = lambda c: {frozenset(i for i, x in enumerate(c) if x == y) for y in c}
+    assert groups(first) == groups(second) and len(set(first)) < len(set(comp))
