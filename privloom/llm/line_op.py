@@ -2,7 +2,8 @@
 
 Lines are compared lower-cased and with white space collapsed. One hash of each shingle fills the bins of a one-permutation
 MinHash (empty bins borrow from the next filled one); bands of bins are candidate keys. Keys are dealt into buckets, many in one row, and
-sorted there by arrays; those of one line alone go. Lines that share a key meet in a task that
+sorted there by arrays; those of one line alone go. Lines that share a key meet first by the sizes of their shingle sets and bitmaps of parities, which
+tell an exact bound of their similarity: most lines share a key by chance, and their texts stay where they are. The others meet in a task that
 compares their shingle sets exactly and passes on a spanning forest of the pairs at or above the threshold. Groups of the same first line meet in
 one place, where each text arrives once. A key of more than a block of
 lines is dealt out anew: each line goes to one chunk, which all the key's representatives visit too, so that work grows with the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from privloom.llm.common import components, durable, join_counted, let, slices, table
+from privloom.llm.common import SLICE_ROWS, components, durable, join_counted, let, slices, table
 
 #: Characters of a shingle, least Jaccard similarity of their sets.
 SHINGLE, SIMILAR = 6, 0.8
@@ -46,6 +47,8 @@ SMALL = 8_000_000
 SEGMENT, SEEN = 50_000, 250_000
 #: Bits of a line in the filter by which texts are looked up, and of the whole filter.
 BITS_EACH, MOST_BITS = 64, 1 << 27
+#: Bits of a line's parities: as many as it has shingles, or the next power of two, between these bounds.
+LEAST_PARITIES, MOST_PARITIES = 64, 4_096
 #: Shingles by which a group's lines are multiplied at once.
 COLUMNS = 4_096
 
@@ -144,6 +147,72 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> list[bytes]:
+    """Of each set a bitmap: whether the number of its hashes that fall on a bit is odd. A hash that one of two sets lacks changes one bit, so that they
+    differ in at least as many hashes as bits."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    width = np.clip(1 << np.ceil(np.log2(sizes)).astype(np.int64), LEAST_PARITIES, MOST_PARITIES)
+    ends = np.cumsum(width)
+    at = np.concatenate(sets) & np.repeat((width - 1).astype(np.uint64), sizes)
+    odd = np.bincount(at.astype(np.int64) + np.repeat(ends - width, sizes), minlength=ends[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip(((ends - width) // 8).tolist(), (ends // 8).tolist())]
+
+
+def may_link(sizes: list[int], bitmaps: list[bytes], similar: float = SIMILAR) -> list[bool]:
+    """Which sets may have a Jaccard similarity of ``similar`` or more to another of them, by their sizes and ``parities``; no set that has is missed.
+
+    Sets of s and t elements that are similar enough differ in (1 - similar) / (1 + similar) * (s + t) elements at most. A bitmap of fewer bits
+    is met by the wider one folded.
+    """
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    size, width = [sizes[i] for i in order], [8 * len(bitmaps[i]) for i in order]
+    bits = [int.from_bytes(bitmaps[i], "little") for i in order]
+    most, out = (1 - similar) / (1 + similar), [False] * len(order)
+    for i, s in enumerate(size):
+        for j in range(i + 1, len(order)):
+            if s < similar * size[j] - 1e-6:
+                break
+            if not (out[i] and out[j]):
+                x, w = bits[j], width[j]
+                while w > width[i]:
+                    w >>= 1
+                    x = x >> w ^ x & (1 << w) - 1
+                if (x ^ bits[i]).bit_count() <= most * (s + size[j]) + 1e-6:
+                    out[i] = out[j] = True
+    found = [False] * len(order)
+    for i, x in zip(order, out):
+        found[i] = x
+    return found
+
+
+def likely_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lhash, place, groups) from rows (place, lhash, size, parities, groups) sorted by place: of each line's groups those where it may have a link."""
+
+    def send() -> pa.RecordBatch:
+        columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, ["lhash", "place", "groups"])
+
+    out: list[tuple] = []
+    rows = (row for batch in slices(batches) for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for place, at in groupby(rows, key=lambda r: r[0]):
+        groups: dict[int, list[tuple]] = {}
+        for row in at:
+            for g in row[4]:
+                groups.setdefault(g, []).append(row)
+        found: dict[int, list[int]] = {}
+        for g, members in groups.items():
+            for row, some in zip(members, may_link([r[2] for r in members], [r[3] for r in members])):
+                if some:
+                    found.setdefault(row[1], []).append(g)
+        out += [(h, place, g) for h, g in found.items()]
+        if len(out) >= SLICE_ROWS:
+            yield send()
+            out = []
+    if out:
+        yield send()
+
+
 def links_of(hashes: list[int], sets: list[np.ndarray], similar: float = SIMILAR, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose shingle sets have a Jaccard similarity of ``similar`` or more, over the components ``known`` so far.
 
@@ -275,7 +344,7 @@ def _filter_of(hashes: DataFrame) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(lhash, line) of the lines of ``docs`` with these ``lhash``, each mostly once a task, and of some others."""
+    """(lhash, line, size, parities) of the lines of ``docs`` with these ``lhash``, each mostly once a task, and of some others; ``size`` counts shingles."""
     shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(hashes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +361,32 @@ def _texts_of(docs: DataFrame, hashes: DataFrame) -> DataFrame:
                     new[x] = lines[i]
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.string())], ["lhash", "line"])
+            texts = list(new.values())
+            sizes, bitmaps, at, chars = [], [], 0, 0
+            for i, line in enumerate(texts, 1):  # shingle sets of bounded size at once
+                chars += len(line)
+                if chars > SEGMENT or i == len(texts):
+                    sets = shingle_sets(texts[at:i])
+                    sizes += map(len, sets)
+                    bitmaps += parities(sets)
+                    at, chars = i, 0
+            columns = [pa.array(list(new), pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lhash", "line", "size", "parities"])
+
+    return _rows(docs).select("text").mapInArrow(work, "lhash long, line string, size int, parities binary")
+
+
+def _chosen(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(lhash, line) of the stored ``texts`` with these ``lhash``, once each, and of some others; most other lines' texts are not shuffled."""
+    shipped = texts.sparkSession.sparkContext.broadcast(_filter_of(hashes))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shipped.value
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((words[(h >> 6) & (len(words) - 1)] >> (h & 63) & 1).astype(bool)))
 
-    return _rows(docs).select("text").mapInArrow(work, "lhash long, line string")
+    return texts.select("lhash", "line").mapInArrow(work, "lhash long, line string").dropDuplicates(["lhash"])
 
 
 def _grouped(members: DataFrame) -> DataFrame:
@@ -406,7 +498,7 @@ def shared_keys(lines: DataFrame) -> DataFrame:
 
 def fuzzy_links(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a, b): hashes of different ``lines`` (a stored ``line_table`` of ``docs``) that join them into their components, but for those that chunks of
-    large keys keep apart; (key, lhash) of the large keys; (lhash, line) of lines with keys."""
+    large keys keep apart; (key, lhash) of the large keys; (lhash, line) of lines with shared keys, which may repeat."""
     shared = durable(shared_keys(lines), "line_keys")
     wide = shared.filter("lines is null").select("key", "lhash").distinct()
     wide = wide.join(F.broadcast(wide.groupBy("key").agg(F.count("*").alias("lines"))), "key")  # a row for each of very many lines
@@ -423,11 +515,16 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, block: int = BLOCK) -> tuple[
     each = shared.filter(F.col("lines") <= block).select("lhash", F.struct(F.col("lo").alias("place"), F.col("key").alias("group")).alias("at"))
     each = each.unionByName(chunks.select("lhash", F.struct("place", F.col("place").alias("group")).alias("at")))
     places = durable(each.groupBy("lhash").agg(F.collect_set("at").alias("at")), "line_places")
-    texts = _texts_of(docs, places.select("lhash"))
-    texts = durable(texts.dropDuplicates(["lhash"]).join(places, "lhash"), "line_texts")
-    of_places = texts.withColumn("place", F.explode(F.array_distinct(F.transform("at", lambda x: x["place"]))))
+    texts = durable(_texts_of(docs, places.select("lhash")), "line_texts")
+    met = texts.select("lhash", "size", "parities").dropDuplicates(["lhash"]).join(places, "lhash")
+    met = met.withColumn("place", F.explode(F.array_distinct(F.transform("at", lambda x: x["place"]))))
     groups = F.transform(F.filter("at", lambda x: x["place"] == F.col("place")), lambda x: x["group"])
-    members = of_places.select("place", "lhash", "line", groups.alias("groups"), F.lit(None).cast("long").alias("component"))
+    met = met.select("place", "lhash", "size", "parities", groups.alias("groups")).repartition("place").sortWithinPartitions("place")
+    # the texts of lines that may have a link go to those places alone
+    likely = met.mapInArrow(likely_members, "lhash long, place long, groups array<long>")
+    likely = durable(likely.groupBy("lhash").agg(F.collect_list(F.struct("place", "groups")).alias("at")), "line_likely")
+    members = _chosen(texts, likely.select("lhash")).join(likely, "lhash").select("lhash", "line", F.explode("at").alias("at"))
+    members = members.select("at.place", "lhash", "line", "at.groups", F.lit(None).cast("long").alias("component"))
     return _grouped(members), large.select("key", "lhash"), texts.select("lhash", "line")
 
 
@@ -513,7 +610,8 @@ def rare_links(large: DataFrame, texts: DataFrame, joined: DataFrame, block: int
     if not apart.take(1):
         return None
     members = members.join(apart, "key")
-    open_lines = durable(members.select("lhash", "component").distinct().join(texts, "lhash"), "line_open")
+    ids = durable(members.select("lhash", "component").distinct(), "line_open_ids")
+    open_lines = durable(_chosen(texts, ids.select("lhash")).join(ids, "lhash").select("lhash", "component", "line"), "line_open")
     counts = np.zeros(BUCKETS, np.int64)
     found = open_lines.select("line").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()

@@ -184,3 +184,48 @@ def test_links_join_what_pairs_join(monkeypatch, known):
                 second = join(second, i, j)
     groups = lambda c: {frozenset(i for i, x in enumerate(c) if x == y) for y in c}
     assert groups(first) == groups(second) and len(set(first)) < len(set(comp))
+
+
+@pytest.mark.parametrize("most", [4_096, 64])
+def test_parities_miss_no_similar_pair(monkeypatch, most):
+    """Sets of all sizes, with bitmaps of one width or of several; of those that can't be told apart a few stay."""
+    monkeypatch.setattr(line_op, "MOST_PARITIES", most)
+    rng, near, left, far = random.Random(4), 0, 0, 0
+    for _ in range(2_000):
+        n = rng.choice([1, 2, 5, 30, 62, 100, 200, 500])
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[: n - rng.randint(0, max(1, n // 3))] + [rng.getrandbits(64) for _ in range(rng.randint(0, max(1, n // 3)))]
+        pair = [line_op.np.array(sorted(x or [0]), line_op.np.uint64) for x in rng.sample([a, b], 2)]
+        found = line_op.may_link([len(x) for x in pair], line_op.parities(pair))
+        x, y = map(set, (a, b or [0]))
+        assert found[0] == found[1]
+        if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            near += 1
+            assert found[0]
+        elif len(x & y) <= 0.7 * len(x | y):
+            far += 1
+            left += found[0]
+    assert near > 300 and far > 300 and left <= (0.1 if most == 4_096 else 0.9) * far
+
+
+def test_texts_of_chance_candidates_stay_where_they_are(spark, monkeypatch):
+    """Lines that share a key but can't be similar meet by bitmaps alone."""
+    rng = random.Random(5)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz ")
+    lines, near = [], set()
+    for i in range(300):
+        base = "".join(letter() for _ in range(220))
+        other = list(base)
+        for at in range(0, 220, 220) if i < 100 else range(0, 220, 26):
+            other[at + 5] = "0"
+        pair = [line_op.normal(x) for x in (base, "".join(other))]
+        lines += pair
+        if len(sets(pair[0]) & sets(pair[1])) >= 0.8 * len(sets(pair[0]) | sets(pair[1])):
+            near |= set(map(line_op.line_hash, pair))
+    assert len(near) == 200
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    met = []
+    monkeypatch.setattr(line_op, "_grouped", lambda members, f=line_op._grouped: met.append(members) or f(members))
+    removed = sum(r.n_removed for r in line_op.repeated_lines(docs).collect())
+    got = {r.lhash for r in met[0].select("lhash").collect()}
+    assert removed == 100 and near <= got and len(got - near) <= 20
